@@ -132,7 +132,7 @@ def _advice_sql() -> str:
         f"""CASE WHEN coalesce("Loan_Amount_Term" < 360, false) AND coalesce(risk_score > 30, false)
              THEN {q(R.ADVICE_TERM)} END""",
     ]
-    return "list_filter([" + ", ".join(items) + "], x -> x IS NOT NULL)"
+    return "list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL)"
 
 
 def _decision_blocks() -> str:
@@ -254,7 +254,7 @@ def _validate_sql() -> str:
         items.append(f"""CASE WHEN "{c}" < {lo!r}E0 THEN {q(f"{c} is below {lo:g}")} END""")
     items.append("""CASE WHEN "Credit_History" IS NOT NULL AND "Credit_History" NOT IN (0.0E0, 1.0E0)
       THEN 'Credit_History is not 0 or 1' END""")
-    arr = "list_filter([" + ", ".join(items) + "], x -> x IS NOT NULL)"
+    arr = "list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL)"
     return f"""WITH {LOANS}, r AS (SELECT "Loan_ID", {arr} AS reasons FROM loans)
 SELECT "Loan_ID", len(reasons) = 0 AS valid, array_to_string(reasons, '; ') AS reasons FROM r"""
 
@@ -284,7 +284,7 @@ oracle("segment_names", WITH_DEC + """SELECT cent.cluster, round(income_center,
  round(amount_center, 6) AS amount_center, round(credit_center, 6) AS credit_center, segment_name
  FROM cent JOIN segnames ON cent.cluster = segnames.cluster""")
 oracle("rule_attributions", WITH_DEC + """SELECT "Loan_ID", array_to_string(list_transform(range(1, len(attr_keys) + 1),
- i -> attr_keys[i] || '=' || CAST(attr_vals[i] AS VARCHAR)), ';') AS attributions FROM dec""")
+ lambda i: attr_keys[i] || '=' || CAST(attr_vals[i] AS VARCHAR)), ';') AS attributions FROM dec""")
 oracle("top_contributions", WITH_DEC + """, e AS (SELECT "Loan_ID", unnest(range(1, len(attr_keys) + 1)) AS i, attr_keys, attr_vals FROM dec),
 t AS (SELECT "Loan_ID", i, attr_keys[i] AS k, attr_vals[i] AS v,
   row_number() OVER (PARTITION BY "Loan_ID" ORDER BY abs(attr_vals[i]) DESC, i) AS rn FROM e)
