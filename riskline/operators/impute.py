@@ -14,13 +14,7 @@ from pyspark.sql import functions as F
 
 from riskline.functions import encode as E
 from riskline.functions import features as X
-
-
-def _stack(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """Unpivot ``cols`` into (column, value string) keeping ``extra`` columns."""
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
-    return df.select(*extra, pairs.alias("_p")).select(*extra, "_p.column", "_p.value")
+from riskline.operators import ranking as K
 
 
 def mode_table(df: DataFrame, cols: Sequence[str], tie: str = "smallest",
@@ -30,60 +24,75 @@ def mode_table(df: DataFrame, cols: Sequence[str], tie: str = "smallest",
     One shuffle on (column, value) with map-side partial counts, then a tiny
     per-column pick.  Ties: ``smallest`` value, or ``first`` seen in ``order_col`` order.
     """
-    extra = [order_col] if tie == "first" else []
     if tie == "first" and order_col is None:
         raise ValueError("tie='first' needs order_col")
-    long = _stack(df, cols, extra).where(F.col("value").isNotNull())
-    aggs = [F.count(F.lit(1)).alias("n")]
-    if tie == "first":
-        aggs.append(F.min(order_col).alias("first_seen"))
-    counts = long.groupBy("column", "value").agg(*aggs)
-    rank_key = (F.struct(-F.col("n"), F.col("first_seen"), F.col("value")) if tie == "first"
-                else F.struct(-F.col("n"), F.col("value")))
-    return counts.groupBy("column").agg(F.min_by("value", rank_key).alias("mode"))
+    freq = K.value_frequencies(df, cols, "string", first_seen=order_col if tie == "first" else None)
+    return K.modes(freq, tie)
+
+
+def mode_row(df: DataFrame, cols: Sequence[str], tie: str = "smallest",
+             order_col: str | None = None) -> DataFrame:
+    """One-row frame of modes (as text), one column per input column."""
+    return K.to_one_row(mode_table(df, cols, tie, order_col), list(cols), "mode")
+
+
+def fill_stats(df: DataFrame, mode_cols: Sequence[str] = (), median_cols: Sequence[str] = (),
+               tie: str = "smallest", order_col: str | None = None, mode_fallback: str | None = None,
+               median_fallback: float | None = None, approx: bool = False) -> DataFrame:
+    """I1 + I2 (+ I4) in one plan: the statistics of the frame itself, computed from
+    the unfilled rows, applied in a single projection.
+
+    Each statistics frame is one row by construction, so broadcasting it is safe.
+    """
+    mode_cols, median_cols = list(mode_cols), list(median_cols)
+    out = df
+    if mode_cols:
+        m = mode_row(df, mode_cols, tie, order_col)
+        out = out.crossJoin(F.broadcast(m.select(*[F.col(c).alias(f"__mode_{c}") for c in mode_cols])))
+    if median_cols:
+        md = median_row(df, median_cols, approx)
+        out = out.crossJoin(F.broadcast(md.select(*[F.col(c).alias(f"__med_{c}") for c in median_cols])))
+    types = dict(df.dtypes)
+    fills = {}
+    for c in mode_cols:
+        parts = [F.col(c), F.col(f"__mode_{c}").cast(types[c])]
+        if mode_fallback is not None:
+            parts.append(F.lit(mode_fallback).cast(types[c]))
+        fills[c] = F.coalesce(*parts)
+    for c in median_cols:
+        parts = [F.col(c).cast("double"), F.col(f"__med_{c}")]
+        if median_fallback is not None:
+            parts.append(F.lit(float(median_fallback)))
+        fills[c] = F.coalesce(*parts)
+    return out.select(*[fills[c].alias(c) if c in fills else F.col(f"`{c}`") for c in df.columns])
 
 
 def fill_mode(df: DataFrame, cols: Sequence[str], tie: str = "smallest", order_col: str | None = None,
               fallback: str | None = None) -> DataFrame:
     """Fill nulls with the column's own mode; ``fallback`` when a column is all null."""
-    cols = list(cols)
-    modes = mode_table(df, cols, tie, order_col)
-    one_row = modes.groupBy().pivot("column", cols).agg(F.first("mode"))
-    one_row = one_row.select(*[F.col(f"`{c}`").alias(f"__mode_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(one_row))
-    types = dict(df.dtypes)
-    for c in cols:
-        m = F.col(f"__mode_{c}").cast(types[c])
-        fill = F.coalesce(F.col(c), m) if fallback is None else F.coalesce(F.col(c), m, F.lit(fallback).cast(types[c]))
-        out = out.withColumn(c, fill)
-    return out.drop(*[f"__mode_{c}" for c in cols])
+    return fill_stats(df, mode_cols=cols, tie=tie, order_col=order_col, mode_fallback=fallback)
 
 
-def median_row(df: DataFrame, cols: Sequence[str], approx: bool = False, accuracy: int = 100000) -> DataFrame:
-    """One-row frame of medians, exact (mean of the middle two) or approximate.
+def median_row(df: DataFrame, cols: Sequence[str], approx: bool = False, accuracy: int = 100000,
+               buckets: int = K.DEFAULT_BUCKETS) -> DataFrame:
+    """One-row frame of medians: exact (mean of the two middle values) or approximate.
 
-    Exact medians keep one counter per distinct value of each column; use
-    ``approx=True`` for continuous columns of very large tables.
+    Exact medians come from a value-frequency table and bucketed rank sums
+    (``riskline.operators.ranking``), never from a single-group buffer of all
+    distinct values; ``approx=True`` uses ``percentile_approx`` (one pass).
     """
+    cols = list(cols)
     if approx:
-        aggs = [F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c) for c in cols]
-    else:
-        aggs = [F.median(F.col(c).cast("double")).alias(c) for c in cols]
-    return df.agg(*aggs)
+        return df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c) for c in cols])
+    freq = K.value_frequencies(df, cols, "double")
+    med = K.exact_quantiles(freq, [0.5], buckets, midpoint=True)
+    return K.to_one_row(med, cols, "q")
 
 
 def fill_median(df: DataFrame, cols: Sequence[str], fallback: float | None = None,
                 approx: bool = False) -> DataFrame:
     """Fill nulls with the column's own median; ``fallback`` when a column is all null."""
-    cols = list(cols)
-    stats = median_row(df, cols, approx).select(*[F.col(c).alias(f"__med_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(stats))
-    for c in cols:
-        m = F.col(f"__med_{c}")
-        if fallback is not None:
-            m = F.coalesce(m, F.lit(float(fallback)))
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), m))
-    return out.drop(*[f"__med_{c}" for c in cols])
+    return fill_stats(df, median_cols=cols, median_fallback=fallback, approx=approx)
 
 
 def fill_constant(df: DataFrame, values: dict) -> DataFrame:
@@ -139,11 +148,11 @@ V1_COLUMNS = ["Gender", "Married", "Dependents", "Education", "Self_Employed", "
               "TotalIncome", "LoanAmount_log"]
 
 
-def clean_v1(df: DataFrame, key: str = "Loan_ID", label: str | None = "Loan_Status") -> DataFrame:
+def clean_v1(df: DataFrame, key: str = "Loan_ID", label: str | None = "Loan_Status",
+             approx: bool = False) -> DataFrame:
     """Offline cleaning: modes (first-seen ties) and exact medians of the frame itself,
     pass-through codes as text, TotalIncome, guarded log of the amount.  The key is kept."""
-    out = fill_mode(df, V1_MODE_COLS, tie="first", order_col=key)
-    out = fill_median(out, V1_MEDIAN_COLS)
+    out = fill_stats(df, V1_MODE_COLS, V1_MEDIAN_COLS, tie="first", order_col=key, approx=approx)
     for c, mp in E.V1_MAPS.items():
         out = out.withColumn(c, E.encode_passthrough(c, mp))
     if label and label in df.columns:
@@ -155,13 +164,13 @@ def clean_v1(df: DataFrame, key: str = "Loan_ID", label: str | None = "Loan_Stat
 
 
 def clean_v2(df: DataFrame, key: str = "Loan_ID", label: str | None = "Loan_Status",
-             interest_noise_sd: float = 0.2, seed: int = 42) -> DataFrame:
+             interest_noise_sd: float = 0.2, seed: int = 42, approx: bool = False) -> DataFrame:
     """Production features: numeric Dependents (null → 0), modes (smallest ties,
     ``Unknown`` if all null), medians (0.0 if all null), TotalIncome, ln(1+amount),
     Debt_to_Income (term 0 → 360), strict codes, targets on the same row."""
     out = df.withColumn("Dependents", E.dependents_to_number("Dependents", 0.0))
-    out = fill_mode(out, V2_MODE_COLS, tie="smallest", fallback="Unknown")
-    out = fill_median(out, V2_MEDIAN_COLS, fallback=0.0)
+    out = fill_stats(out, V2_MODE_COLS, V2_MEDIAN_COLS, tie="smallest", mode_fallback="Unknown",
+                     median_fallback=0.0, approx=approx)
     out = (out.withColumn("TotalIncome", X.total_income())
               .withColumn("LoanAmount_log", X.log1p("LoanAmount"))
               .withColumn("Debt_to_Income", X.debt_to_income(nonpositive_term=False)))

@@ -10,6 +10,7 @@ from riskline.functions import encode as E
 from riskline.functions import rules as R
 from riskline.operators.decide import area_centers, decide, name_segments
 from riskline.operators.impute import clean_v2
+from riskline.session import ensure_checkpoint_dir
 from riskline.sources.loans import loan_view
 
 DIGITS = 6
@@ -30,9 +31,29 @@ def loans(spark: SparkSession, d: str) -> DataFrame:
     return loan_view(spark, d)
 
 
+_PREPARED: dict[tuple, DataFrame] = {}
+
+
+def prepared(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """A derived table computed once per session and data folder, then reused.
+
+    ``checkpoint()`` writes it under the session's ``spark.checkpoint.dir`` (the
+    shared folder on a cluster), which cuts the lineage: a lost executor costs a
+    re-read of the written files, not a re-run of the cleaning statistics.
+    """
+    key = (spark.sparkContext.applicationId, d.rstrip("/"), name)
+    df = _PREPARED.get(key)
+    if df is None:
+        ensure_checkpoint_dir(spark)
+        df = build().checkpoint(eager=True)
+        _PREPARED[key] = df
+    return df
+
+
 def features(spark: SparkSession, d: str, noise_sd: float = 0.0) -> DataFrame:
-    """v2 features + targets (noise-free interest label unless asked)."""
-    return clean_v2(loans(spark, d), interest_noise_sd=noise_sd)
+    """v2 features + targets (noise-free interest label unless asked); prepared once."""
+    return prepared(spark, d, f"features:{noise_sd}",
+                    lambda: clean_v2(loans(spark, d), interest_noise_sd=noise_sd))
 
 
 def scorecard_decisions(spark: SparkSession, d: str) -> DataFrame:
