@@ -297,3 +297,86 @@ _KPI = """count(*) AS total_applications, round(avg(CAST(approved AS DOUBLE)) *
  round(avg(default_probability) * 100.0E0, 6) AS avg_default_pct, count_if(fraud_detected) AS fraud_flags"""
 oracle("kpis", WITH_DEC + f"SELECT {_KPI} FROM dec")
 oracle("kpis_by_area", WITH_DEC + f"""SELECT CAST("Property_Area" AS INTEGER) AS area, {_KPI} FROM dec GROUP BY 1""")
+
+
+# --- profiles -------------------------------------------------------------------
+_CAT = ["Gender", "Married", "Dependents", "Education", "Self_Employed", "Property_Area"]
+_ALL_LOAN = ["Loan_ID", "user_id", "ts", "Gender", "Married", "Dependents", "Education", "Self_Employed",
+             "ApplicantIncome", "CoapplicantIncome", "LoanAmount", "Loan_Amount_Term", "Credit_History",
+             "Property_Area", "Loan_Status"]
+
+
+def _long(src: str, cols, cast: str = "VARCHAR", key: str | None = None) -> str:
+    k = f', "{key}" AS k' if key else ""
+    return " UNION ALL ".join(f"""SELECT '{c}' AS "column", CAST("{c}" AS {cast}) AS value{k} FROM {src}"""
+                              for c in cols)
+
+
+def shorten_sql(x: str, width: int = 120, ph: str = "...") -> str:
+    s = f"regexp_replace(trim({x}), '\\s+', ' ', 'g')"
+    room = width - len(ph)
+    head = f"regexp_extract(substring({s}, 1, {room + 1}), '^(.*\\S)\\s', 1)"
+    return (f"CASE WHEN length({s}) <= {width} THEN {s} ELSE (CASE WHEN {head} = '' THEN substring({s}, 1, {room}) "
+            f"ELSE {head} END) || '{ph}' END")
+
+
+oracle("value_counts", f"""WITH {LOANS}, l AS ({_long('loans', _CAT)})
+SELECT "column", coalesce(value, 'NA') AS value, count(*) AS "count" FROM l GROUP BY ALL""")
+
+oracle("missing_table", f"WITH {LOANS} " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE "{c}" IS NULL) AS missing FROM loans""" for c in _ALL_LOAN))
+
+oracle("missing_mask", f"WITH {LOANS} SELECT \"Loan_ID\", " + ", ".join(
+    f'CAST("{c}" IS NULL AS INTEGER) AS "{c}"' for c in _ALL_LOAN if c != "Loan_ID") + " FROM loans")
+
+oracle("sample_uniques", f"""WITH {LOANS}, l AS ({_long('loans', _CAT, key='Loan_ID')}),
+dd AS (SELECT "column", value, min(k) AS first_seen FROM l WHERE value IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY first_seen, value) AS rn FROM dd),
+j AS (SELECT "column", string_agg(value, ', ' ORDER BY first_seen, value) AS t FROM r WHERE rn <= 6 GROUP BY 1)
+SELECT "column", {shorten_sql('t')} AS sample_uniques FROM j""")
+
+_HIST = ["ApplicantIncome", "CoapplicantIncome", "LoanAmount", "Loan_Amount_Term", "TotalIncome",
+         "LoanAmount_log", "Debt_to_Income"]
+oracle("histogram20", WITH_V2 + f""", l AS ({_long('v2', _HIST, 'DOUBLE')}),
+l2 AS (SELECT * FROM l WHERE value IS NOT NULL AND NOT isnan(value)),
+rng AS (SELECT "column", CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo,
+  CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi FROM l2 GROUP BY 1),
+c AS (SELECT l2."column", least(CAST(floor((value - lo) * (20.0E0 / (hi - lo))) AS INTEGER), 19) AS bin, count(*) AS n
+  FROM l2 JOIN rng ON l2."column" = rng."column" GROUP BY ALL),
+g AS (SELECT "column", lo, hi, CAST(unnest(range(0, 20)) AS INTEGER) AS bin FROM rng)
+SELECT g."column", g.bin, round(lo + bin * ((hi - lo) / 20.0E0), 6) AS lower,
+  round(lo + (bin + 1) * ((hi - lo) / 20.0E0), 6) AS upper, coalesce(n, 0) AS "count"
+FROM g LEFT JOIN c USING ("column", bin)""")
+
+_BOX = ["ApplicantIncome", "CoapplicantIncome", "LoanAmount", "TotalIncome"]
+oracle("box_stats", f"""WITH cv1 AS ({ORACLE['clean_v1']}), l AS ({_long('cv1', _BOX, 'DOUBLE')}),
+l2 AS (SELECT * FROM l WHERE value IS NOT NULL AND NOT isnan(value)),
+qq AS (SELECT "column", count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.25) AS q1,
+  quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM l2 GROUP BY 1),
+w AS (SELECT qq.*, q3 - q1 AS iqr,
+  (SELECT min(value) FROM l2 WHERE l2."column" = qq."column" AND value >= q1 - 1.5 * (q3 - q1)) AS whisker_low,
+  (SELECT max(value) FROM l2 WHERE l2."column" = qq."column" AND value <= q3 + 1.5 * (q3 - q1)) AS whisker_high
+  FROM qq)
+SELECT "column", n, round(mean, 6) AS mean, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+  round(iqr, 6) AS iqr, round(whisker_low, 6) AS whisker_low, round(whisker_high, 6) AS whisker_high,
+  CAST((SELECT count(*) FROM l2 WHERE l2."column" = w."column" AND (value < whisker_low OR value > whisker_high))
+       AS BIGINT) AS outliers
+FROM w""")
+
+
+def _corr_sql() -> str:
+    cols = FEATURE_COLS
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    aggs = ", ".join(f'corr("{a}", "{b}") AS c{i}' for i, (a, b) in enumerate(pairs))
+    sel = []
+    for i, (a, b) in enumerate(pairs):
+        sel.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(CASE WHEN isnan(c{i}) THEN NULL ELSE c{i} END, 6) AS corr FROM cc")
+        if a != b:
+            sel.append(f"SELECT '{b}' AS col_a, '{a}' AS col_b, round(CASE WHEN isnan(c{i}) THEN NULL ELSE c{i} END, 6) AS corr FROM cc")
+    return WITH_V2 + f", cc AS (SELECT {aggs} FROM v2)\n" + "\nUNION ALL ".join(sel)
+
+
+oracle("correlation", _corr_sql())
+
+oracle("preview", f"""SELECT "Loan_ID", "ApplicantIncome", "CoapplicantIncome", "TotalIncome", "LoanAmount",
+ "LoanAmount_log" FROM ({ORACLE['clean_v1']}) t ORDER BY "Loan_ID" LIMIT 10""")

@@ -160,3 +160,65 @@ def q_kpis_by_area(spark, d):
     from riskline.operators.portfolio import portfolio_kpis
     f = scorecard_decisions(spark, d).withColumn("area", F.col("Property_Area").cast("int"))
     return finish(portfolio_kpis(f, by=["area"]))
+
+
+# --- profiles -------------------------------------------------------------------
+CAT_COLS = ["Gender", "Married", "Dependents", "Education", "Self_Employed", "Property_Area"]
+HIST_COLS = ["ApplicantIncome", "CoapplicantIncome", "LoanAmount", "Loan_Amount_Term", "TotalIncome",
+             "LoanAmount_log", "Debt_to_Income"]
+BOX_COLS = ["ApplicantIncome", "CoapplicantIncome", "LoanAmount", "TotalIncome"]
+DEMO_COLS = ["ApplicantIncome", "CoapplicantIncome", "TotalIncome", "LoanAmount", "LoanAmount_log"]
+
+
+def cleaned_v1(spark, d):
+    from riskline.plans.base import prepared
+    return prepared(spark, d, "clean_v1", lambda: I.clean_v1(loans(spark, d)))
+
+
+@query("value_counts")
+def q_value_counts(spark, d):
+    from riskline.operators.profile import value_counts
+    return value_counts(loans(spark, d), CAT_COLS)
+
+
+@query("missing_table")
+def q_missing_table(spark, d):
+    from riskline.operators.profile import missing_table
+    return missing_table(loans(spark, d))
+
+
+@query("missing_mask")
+def q_missing_mask(spark, d):
+    from riskline.operators.profile import missing_mask
+    return missing_mask(loans(spark, d), "Loan_ID")
+
+
+@query("sample_uniques")
+def q_sample_uniques(spark, d):
+    from riskline.operators.profile import sample_uniques
+    return sample_uniques(loans(spark, d), CAT_COLS, "Loan_ID")
+
+
+@query("histogram20")
+def q_histogram20(spark, d):
+    from riskline.operators.profile import histogram
+    return finish(histogram(features(spark, d), HIST_COLS, 20))
+
+
+@query("box_stats")
+def q_box_stats(spark, d):
+    from riskline.operators.profile import box_stats
+    return finish(box_stats(cleaned_v1(spark, d), BOX_COLS))
+
+
+@query("correlation")
+def q_correlation(spark, d):
+    from riskline.operators.profile import correlation
+    from riskline.schema import FEATURES
+    return finish(correlation(features(spark, d), FEATURES))
+
+
+@query("preview")
+def q_preview(spark, d):
+    from riskline.operators.profile import preview
+    return finish(preview(cleaned_v1(spark, d), DEMO_COLS, "Loan_ID", 10))
