@@ -380,3 +380,68 @@ oracle("correlation", _corr_sql())
 
 oracle("preview", f"""SELECT "Loan_ID", "ApplicantIncome", "CoapplicantIncome", "TotalIncome", "LoanAmount",
  "LoanAmount_log" FROM ({ORACLE['clean_v1']}) t ORDER BY "Loan_ID" LIMIT 10""")
+
+
+# --- evaluation -----------------------------------------------------------------
+EVAL_BLOCKS = """, mo AS (SELECT "Loan_ID", "Loan_Status_encoded" AS label, 1.0E0 - default_probability AS good,
+  "Credit_History", "Married" FROM sc),
+mp AS (SELECT "Loan_ID", label, good, floor(good * 100.0E0) / 100.0E0 AS lr_prob,
+  floor(least(greatest(good * 0.9E0 + 0.1E0 * "Married", 0.0E0), 1.0E0) * 100.0E0) / 100.0E0 AS rf_prob,
+  "Credit_History" FROM mo),
+ev AS (
+ SELECT "Loan_ID", 'naive_bayes' AS model, label, CASE WHEN good >= 0.6E0 THEN 1 ELSE 0 END AS prediction,
+   CAST(NULL AS DOUBLE) AS probability FROM mp
+ UNION ALL SELECT "Loan_ID", 'decision_tree', label, CASE WHEN "Credit_History" = 1.0E0 THEN 1 ELSE 0 END, NULL FROM mp
+ UNION ALL SELECT "Loan_ID", 'logistic', label, CASE WHEN lr_prob >= 0.5E0 THEN 1 ELSE 0 END, lr_prob FROM mp
+ UNION ALL SELECT "Loan_ID", 'random_forest', label, CASE WHEN rf_prob >= 0.5E0 THEN 1 ELSE 0 END, rf_prob FROM mp),
+cm AS (SELECT model, count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+  count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp, count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+  count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp, count(*) AS "rows" FROM ev GROUP BY model),
+met AS (SELECT *, coalesce((tp + tn) / nullif(CAST(tp + tn + fp + fn AS DOUBLE), 0), 0) AS accuracy,
+  coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0) AS precision, coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0) AS recall,
+  coalesce(2.0 * tp / nullif(2.0 * tp + fp + fn, 0), 0) AS f1, tp + fn AS support FROM cm),
+st AS (SELECT model, probability AS score, count(*) FILTER (WHERE label = 1) AS pos,
+  count(*) FILTER (WHERE label = 0) AS neg FROM ev WHERE probability IS NOT NULL GROUP BY ALL),
+cu AS (SELECT *, sum(pos) OVER (PARTITION BY model ORDER BY score DESC) AS cum_pos,
+  sum(neg) OVER (PARTITION BY model ORDER BY score DESC) AS cum_neg,
+  sum(pos) OVER (PARTITION BY model) AS "P", sum(neg) OVER (PARTITION BY model) AS "N" FROM st),
+auc AS (SELECT model, CAST(CASE WHEN "P" > 0 THEN 1 ELSE 0 END + CASE WHEN "N" > 0 THEN 1 ELSE 0 END AS INTEGER) AS classes,
+  CASE WHEN "P" > 0 AND "N" > 0 THEN sum(neg * (cum_pos - pos + 0.5 * pos)) / (CAST("P" AS DOUBLE) * "N") END AS auc,
+  CASE WHEN NOT ("P" > 0 AND "N" > 0) THEN 'only one class present in the labels' END AS reason
+  FROM cu GROUP BY model, "P", "N")
+"""
+WITH_EVAL = WITH_DEC + EVAL_BLOCKS
+
+oracle("align_key", WITH_EVAL + """SELECT "Loan_ID", CASE WHEN label = 1 THEN 'Y' ELSE 'N' END AS "Loan_Status",
+ prediction, round(coalesce(probability, 0.0), 6) AS probability FROM ev WHERE model = 'logistic'""")
+oracle("align_position", WITH_EVAL + """SELECT row_number() OVER (ORDER BY "Loan_ID") - 1 AS row_index, "Loan_ID",
+ CASE WHEN label = 1 THEN 'Y' ELSE 'N' END AS "Loan_Status", prediction AS "RF_Predicted" FROM ev WHERE model = 'random_forest'""")
+oracle("compare_predictions", WITH_EVAL + """SELECT "Loan_ID",
+ max(prediction) FILTER (WHERE model = 'naive_bayes') AS naive_bayes_pred,
+ max(prediction) FILTER (WHERE model = 'decision_tree') AS decision_tree_pred,
+ max(prediction) FILTER (WHERE model = 'logistic') AS logistic_pred,
+ max(prediction) FILTER (WHERE model = 'random_forest') AS random_forest_pred,
+ CAST(max(label) AS INTEGER) AS "Actual_bin" FROM ev GROUP BY "Loan_ID\"""")
+oracle("confusion", WITH_EVAL + "SELECT model, tn, fp, fn, tp FROM cm")
+oracle("metrics_summary", WITH_EVAL + """SELECT model, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision,
+ round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM met""")
+oracle("roc_auc", WITH_EVAL + "SELECT model, classes, round(auc, 6) AS auc, reason FROM auc")
+oracle("roc_curve", WITH_EVAL + """SELECT model, CAST(NULL AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr FROM auc
+ WHERE classes = 2 UNION ALL SELECT model, round(score, 6), round(cum_neg / CAST("N" AS DOUBLE), 6),
+ round(cum_pos / CAST("P" AS DOUBLE), 6) FROM cu WHERE "P" > 0 AND "N" > 0""")
+oracle("model_report", WITH_EVAL + """SELECT met.model, "rows", tn, fp, fn, tp, round(accuracy, 6) AS accuracy,
+ round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support, round(auc.auc, 6) AS auc,
+ coalesce(reason, '') AS auc_note, CASE WHEN "rows" <> (SELECT count(*) FROM v2)
+   THEN format('length mismatch: {} rows vs {} expected', "rows", (SELECT count(*) FROM v2)) END AS error,
+ 'MAE / MSE / RMSE not applicable to classification' AS regression_note
+ FROM met LEFT JOIN auc ON met.model = auc.model""")
+oracle("rmse", WITH_DEC + """SELECT risk_level, round(sqrt(avg((predicted_interest_rate - "Interest_Rate") *
+ (predicted_interest_rate - "Interest_Rate"))), 6) AS rmse, count(*) AS n FROM dec GROUP BY risk_level""")
+oracle("label_agreement", """WITH lab AS (SELECT quality AS label, 1 - toxic AS prediction FROM labels),
+cm AS (SELECT count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+  count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp, count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+  count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp FROM lab)
+SELECT tn, fp, fn, tp, round(coalesce((tp + tn) / nullif(CAST(tp + tn + fp + fn AS DOUBLE), 0), 0), 6) AS accuracy,
+ round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0), 6) AS precision,
+ round(coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0), 6) AS recall,
+ round(coalesce(2.0 * tp / nullif(2.0 * tp + fp + fn, 0), 0), 6) AS f1, tp + fn AS support FROM cm""")

@@ -222,3 +222,91 @@ def q_correlation(spark, d):
 def q_preview(spark, d):
     from riskline.operators.profile import preview
     return finish(preview(cleaned_v1(spark, d), DEMO_COLS, "Loan_ID", 10))
+
+
+# --- evaluation -----------------------------------------------------------------
+@query("align_key")
+def q_align_key(spark, d):
+    from riskline.operators.evaluate import align_by_key
+    from riskline.plans.base import model_outputs, truth
+    df, pc, prob = model_outputs(spark, d)["logistic"]
+    return finish(align_by_key(truth(spark, d), df, "Loan_ID", pc, prob))
+
+
+@query("align_position")
+def q_align_position(spark, d):
+    from riskline.operators.evaluate import align_by_position
+    from riskline.plans.base import model_outputs, truth
+    df, pc, _ = model_outputs(spark, d)["random_forest"]
+    return align_by_position(truth(spark, d), df, "Loan_ID", "Loan_ID", [pc])
+
+
+@query("compare_predictions")
+def q_compare_predictions(spark, d):
+    from riskline.operators.evaluate import compare_predictions, to_long
+    from riskline.plans.base import MODELS, model_outputs, truth
+    return compare_predictions(truth(spark, d), to_long(model_outputs(spark, d), "Loan_ID"), "Loan_ID",
+                               "Loan_Status", MODELS)
+
+
+@query("confusion")
+def q_confusion(spark, d):
+    from riskline.operators.evaluate import confusion_matrix
+    from riskline.plans.base import evaluation_long
+    return confusion_matrix(evaluation_long(spark, d))
+
+
+@query("metrics_summary")
+def q_metrics_summary(spark, d):
+    from riskline.operators.evaluate import metrics_summary
+    from riskline.plans.base import evaluation_long
+    return finish(metrics_summary(evaluation_long(spark, d)))
+
+
+@query("roc_auc")
+def q_roc_auc(spark, d):
+    from riskline.operators.evaluate import roc_auc
+    from riskline.plans.base import evaluation_long
+    return finish(roc_auc(evaluation_long(spark, d).where(F.col("probability").isNotNull())))
+
+
+@query("roc_curve")
+def q_roc_curve(spark, d):
+    from riskline.operators.evaluate import roc_curve
+    from riskline.plans.base import evaluation_long
+    return finish(roc_curve(evaluation_long(spark, d).where(F.col("probability").isNotNull())))
+
+
+@query("model_report")
+def q_model_report(spark, d):
+    from riskline.operators.evaluate import model_report
+    from riskline.plans.base import evaluation_long, features
+    n = features(spark, d).count()
+    return finish(model_report(evaluation_long(spark, d), expected_rows=n))
+
+
+@query("rmse")
+def q_rmse(spark, d):
+    from riskline.operators.evaluate import rmse
+    return finish(rmse(scorecard_decisions(spark, d), "Interest_Rate", "predicted_interest_rate", ["risk_level"]))
+
+
+@query("label_agreement")
+def q_label_agreement(spark, d):
+    """A8/A9 on the driver's ``labels`` table: quality as truth, not-toxic as prediction."""
+    from pyspark.sql import functions as F2
+    from riskline.operators.evaluate import classification_metrics
+    lab = spark.read.parquet(f"{d.rstrip('/')}/labels.parquet").select(
+        F2.col("quality").alias("label"), (F2.lit(1) - F2.col("toxic")).alias("prediction"))
+    return finish(classification_metrics(lab, by=()))
+
+
+@query("detect_columns")
+def q_detect_columns(spark, d):
+    """A14/A15 over the four prediction tables: the detected column names."""
+    from riskline.operators.evaluate import detect_prediction_column, detect_probability_column
+    from riskline.plans.base import model_outputs
+    rows = []
+    for m, (df, _, _) in model_outputs(spark, d).items():
+        rows.append((m, detect_prediction_column(df), detect_probability_column(df)))
+    return spark.createDataFrame(rows, "model string, prediction_column string, probability_column string")
