@@ -32,6 +32,28 @@ SEGMENT_PREMIUM = "Premium Customer"
 DISPLAY_PREMIUM = "Premium Customers"
 DISPLAY_HIGH_RISK = "High Risk / Subprime"
 DISPLAY_REGULAR = "Regular Customers"
+# Rule answers of the support chat (R8); %s slots are filled in order.
+REASON_CREDIT = "a poor credit history record (0.0)"
+REASON_AMOUNT = "requesting a loan amount higher than recommended based on your monthly income capacity"
+REASON_DEFAULT = "a elevated risk profile"
+ANSWER_APPROVED = ("Your loan was approved because you have a healthy credit risk profile (Risk Score: %s/100) "
+                   "and your credit history record is clean. We have offered a premium interest rate of %s%%. "
+                   "To keep this status, continue maintaining low credit card balances.")
+ANSWER_REJECTED = ("Your loan application was flagged as high risk (Risk Score: %s/100) and was rejected "
+                   "primarily because of %s.\n\n"
+                   "To improve your chances:\n"
+                   "1. Clear any outstanding balances to build up credit history.\n"
+                   "2. Apply for a lower loan amount (close to ₹%s).\n"
+                   "3. Secure a co-applicant to lower the overall default risk.")
+ANSWER_RATE = ("Your dynamically calculated interest rate is %s%%. This rate is directly tied to your "
+               "risk score of %s/100. Lowering your overall risk score by improving your credit history "
+               "will qualify you for lower rates (starting at 6.5%%).")
+ANSWER_IMPROVE = "Here are the top actions you can take to improve your approval chances:\n"
+ANSWER_NO_RECOMMENDATIONS = "No specific recommendations at this time."
+ANSWER_STATUS = ("Thank you for contacting customer support. Regarding your application: "
+                 "Status: %s, Risk Score: %s/100, Recommended Loan Amount: ₹%s, Interest Rate: %s%%.\n"
+                 "Please let me know if you would like tips on improving your score or understanding your "
+                 "interest rate.")
 # ---------------------------------------------------------------------------
 
 

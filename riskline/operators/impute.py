@@ -164,13 +164,19 @@ def clean_v1(df: DataFrame, key: str = "Loan_ID", label: str | None = "Loan_Stat
 
 
 def clean_v2(df: DataFrame, key: str = "Loan_ID", label: str | None = "Loan_Status",
-             interest_noise_sd: float = 0.2, seed: int = 42, approx: bool = False) -> DataFrame:
+             interest_noise_sd: float = 0.2, seed: int = 42, approx: bool = False,
+             keep_inputs: bool = False) -> DataFrame:
     """Production features: numeric Dependents (null → 0), modes (smallest ties,
     ``Unknown`` if all null), medians (0.0 if all null), TotalIncome, ln(1+amount),
     Debt_to_Income (term 0 → 360), strict codes, targets on the same row."""
-    out = df.withColumn("Dependents", E.dependents_to_number("Dependents", 0.0))
+    out = df.withColumn("_dep_text", F.coalesce(F.col("Dependents").cast("string"), F.lit("0")))
+    out = out.withColumn("Dependents", E.dependents_to_number("Dependents", 0.0))
     out = fill_stats(out, V2_MODE_COLS, V2_MEDIAN_COLS, tie="smallest", mode_fallback="Unknown",
                      median_fallback=0.0, approx=approx)
+    if keep_inputs:
+        # the application as submitted (complete): filled values, Dependents as text
+        out = out.withColumn("inputs", F.struct(*[
+            (F.col("_dep_text") if c == "Dependents" else F.col(c)).alias(c) for c in INPUT_COLUMNS]))
     out = (out.withColumn("TotalIncome", X.total_income())
               .withColumn("LoanAmount_log", X.log1p("LoanAmount"))
               .withColumn("Debt_to_Income", X.debt_to_income(nonpositive_term=False)))
@@ -182,8 +188,8 @@ def clean_v2(df: DataFrame, key: str = "Loan_ID", label: str | None = "Loan_Stat
                   .withColumn("Default", X.default_label("Loan_Status_encoded"))
                   .withColumn("Interest_Rate", X.interest_label(key=key, seed=seed, noise_sd=interest_noise_sd)))
         cols += ["Loan_Status_encoded", "Default", "Interest_Rate"]
-    extra = [c for c in ("user_id", "ts") if c in df.columns]
+    extra = [c for c in ("user_id", "ts") if c in df.columns] + (["inputs"] if keep_inputs else [])
     return out.select(*cols, *extra)
 
 
-from riskline.schema import FEATURES as X_FEATURES  # noqa: E402
+from riskline.schema import FEATURES as X_FEATURES, INPUT_COLUMNS  # noqa: E402

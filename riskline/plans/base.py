@@ -10,7 +10,7 @@ from riskline.functions import encode as E
 from riskline.functions import rules as R
 from riskline.operators.decide import area_centers, decide, name_segments
 from riskline.operators.impute import clean_v2
-from riskline.session import ensure_checkpoint_dir
+from riskline.session import scratch_path
 from riskline.sources.loans import loan_view
 
 DIGITS = 6
@@ -34,18 +34,24 @@ def loans(spark: SparkSession, d: str) -> DataFrame:
 _PREPARED: dict[tuple, DataFrame] = {}
 
 
-def prepared(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+def prepared(spark: SparkSession, d: str, name: str, build, write: bool = True) -> DataFrame:
     """A derived table computed once per session and data folder, then reused.
 
-    ``checkpoint()`` writes it under the session's ``spark.checkpoint.dir`` (the
-    shared folder on a cluster), which cuts the lineage: a lost executor costs a
-    re-read of the written files, not a re-run of the cleaning statistics.
+    It is written as parquet to a fresh folder under the session's
+    ``spark.checkpoint.dir`` (the shared folder on a cluster) and read back: the
+    lineage is cut, so a lost executor costs a re-read of written files, not a
+    re-run of the cleaning statistics; and unlike an RDD checkpoint the table keeps
+    column pruning and size statistics for the planner.  ``write=False`` is for
+    builders that already return a read-back table.
     """
     key = (spark.sparkContext.applicationId, d.rstrip("/"), name)
     df = _PREPARED.get(key)
     if df is None:
-        ensure_checkpoint_dir(spark)
-        df = build().checkpoint(eager=True)
+        df = build()
+        if write:
+            path = scratch_path(spark, name.replace(":", "-"))
+            df.write.mode("overwrite").parquet(path)
+            df = spark.read.parquet(path)
         _PREPARED[key] = df
     return df
 
@@ -53,7 +59,7 @@ def prepared(spark: SparkSession, d: str, name: str, build) -> DataFrame:
 def features(spark: SparkSession, d: str, noise_sd: float = 0.0) -> DataFrame:
     """v2 features + targets (noise-free interest label unless asked); prepared once."""
     return prepared(spark, d, f"features:{noise_sd}",
-                    lambda: clean_v2(loans(spark, d), interest_noise_sd=noise_sd))
+                    lambda: clean_v2(loans(spark, d), interest_noise_sd=noise_sd, keep_inputs=True))
 
 
 def scorecard_decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -117,3 +123,16 @@ def evaluation_long(spark: SparkSession, d: str) -> DataFrame:
     return long.join(f, "Loan_ID").select(
         "Loan_ID", "model", "label", F.coalesce(E.normalize_binary("prediction", "zero"), F.lit(0)).alias("prediction"),
         "probability")
+
+
+def log_table(spark: SparkSession, d: str) -> DataFrame:
+    """The decision log of all scored applications: appended (day-partitioned) to a
+    fresh folder under the checkpoint folder once per session, then read back."""
+    from riskline.session import scratch_path
+    from riskline.sources.io import append_decisions, decision_log, read_log
+
+    def build():
+        path = scratch_path(spark, "decision-log")
+        append_decisions(decision_log(scorecard_decisions(spark, d)), path)
+        return read_log(spark, path)
+    return prepared(spark, d, "decision_log", build, write=False)

@@ -85,10 +85,11 @@ def _v2_blocks() -> str:
     for c in ['"ApplicantIncome"', '"CoapplicantIncome"', '"LoanAmount"', '"Loan_Amount_Term"', '"Credit_History"']:
         fills.append(f"coalesce({c}, (SELECT coalesce(median({c}), 0.0E0) FROM v2raw)) AS {c}")
     enc = [f'{case_map(c, m, "DOUBLE")} AS {c}' for c, m in V2.items()]
-    return f"""v2raw AS (SELECT "Loan_ID", user_id, ts, "Gender", "Married", {dep} AS "Dependents", "Education",
+    return f"""v2raw AS (SELECT "Loan_ID", user_id, ts, coalesce(loans."Dependents", '0') AS dep_text, "Gender", "Married",
+  {dep} AS "Dependents", "Education",
   "Self_Employed", "ApplicantIncome", "CoapplicantIncome", "LoanAmount", "Loan_Amount_Term", "Credit_History",
   "Property_Area", "Loan_Status" FROM loans),
-v2fill AS (SELECT "Loan_ID", user_id, ts, "Dependents", "Loan_Status", {", ".join(fills)} FROM v2raw),
+v2fill AS (SELECT "Loan_ID", user_id, ts, dep_text, "Dependents", "Loan_Status", {", ".join(fills)} FROM v2raw),
 v2 AS (SELECT "Loan_ID", {enc[0]}, {enc[1]}, "Dependents", {enc[2]}, {enc[3]},
   "ApplicantIncome", "CoapplicantIncome", "LoanAmount", "Loan_Amount_Term", "Credit_History", {enc[4]},
   "ApplicantIncome" + "CoapplicantIncome" AS "TotalIncome",
@@ -445,3 +446,77 @@ SELECT tn, fp, fn, tp, round(coalesce((tp + tn) / nullif(CAST(tp + tn + fp + fn
  round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0), 6) AS precision,
  round(coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0), 6) AS recall,
  round(coalesce(2.0 * tp / nullif(2.0 * tp + fp + fn, 0), 0), 6) AS f1, tp + fn AS support FROM cm""")
+
+
+
+# --- decision log and portfolio --------------------------------------------------------
+LOG_BLOCKS = """, inp AS (SELECT "Loan_ID" AS k, "ApplicantIncome" AS i_app, "CoapplicantIncome" AS i_coapp,
+  "LoanAmount" AS i_amount, "Loan_Amount_Term" AS i_term, "Credit_History" AS i_credit, dep_text FROM v2fill),
+lg AS (SELECT CAST("Loan_ID" AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS uid, ts AS "timestamp", inp.*,
+  approved, risk_score, risk_level, default_probability, fraud_detected, recommended_loan_amount,
+  predicted_interest_rate, recommendations, segment_name FROM dec JOIN inp ON dec."Loan_ID" = inp.k)
+"""
+WITH_LOG = WITH_DEC + LOG_BLOCKS
+_TS = """strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp\""""
+
+oracle("decision_log", WITH_LOG + f"""SELECT id, uid AS user_id, {_TS}, CAST(CAST(date_trunc('month', "timestamp") AS DATE) AS VARCHAR) AS month,
+ approved, round(risk_score, 6) AS risk_score, risk_level, segment_name,
+ CAST(len(recommendations) AS INTEGER) AS n_recommendations, dep_text AS dependents_text FROM lg""")
+oracle("log_kpis", WITH_LOG + f"SELECT {_KPI} FROM lg")
+oracle("user_history", WITH_LOG + f"""SELECT id, uid AS user_id, {_TS}, round(risk_score, 6) AS risk_score, approved
+ FROM lg WHERE uid = (SELECT uid FROM (SELECT uid, count(*) AS n FROM lg GROUP BY uid) ORDER BY n DESC, uid LIMIT 1)""")
+oracle("all_history", WITH_LOG + f"""SELECT id, uid AS user_id, {_TS}, risk_level, approved FROM lg""")
+
+
+def _it(x: str) -> str:
+    return f"format('{{:,}}', CAST(trunc({x}) AS BIGINT))"
+
+
+oracle("history_view", WITH_LOG + f"""SELECT id, uid AS user_id, strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS time,
+ {_it('i_app')} AS applicant_income, {_it('i_coapp')} AS coapplicant_income,
+ {_it('i_app + i_coapp')} AS household_income, {_it('i_amount * 1000.0E0')} AS loan_requested,
+ CAST(trunc(i_term) AS BIGINT) AS term_months, printf('%.1f%%', round_even(risk_score, 1)) AS risk_score, risk_level,
+ CASE WHEN approved THEN 'Approved' ELSE 'Rejected' END AS decision,
+ CASE WHEN fraud_detected THEN 'Alert' ELSE 'Passed' END AS fraud_check FROM lg""")
+
+_DISPLAY = f"""CASE WHEN contains(segment_name, 'Premium') THEN {q(R.DISPLAY_PREMIUM)}
+ WHEN contains(segment_name, 'High Risk') OR contains(segment_name, 'Subprime') THEN {q(R.DISPLAY_HIGH_RISK)}
+ ELSE {q(R.DISPLAY_REGULAR)} END"""
+oracle("segment_points", WITH_LOG + f""", pts AS (SELECT id, i_app + i_coapp AS income, i_amount AS loan_amount,
+ {_DISPLAY} AS cluster FROM lg)
+SELECT id, round(income, 6) AS income, round(loan_amount, 6) AS loan_amount, cluster, 'application' AS kind FROM pts
+UNION ALL SELECT NULL, round(avg(income), 6), round(avg(loan_amount), 6), cluster, 'centre' FROM pts GROUP BY cluster""")
+
+
+def _answers_sql() -> str:
+    score0 = "printf('%.0f', round_even(score, 0))"
+    rate1 = "printf('%.1f', round_even(rate, 1))"
+    recs = f"CASE WHEN has_dec THEN recommendations ELSE [{q(R.ANSWER_NO_RECOMMENDATIONS)}] END"
+    reasons = (f"list_filter([CASE WHEN credit = 0.0 THEN {q(R.REASON_CREDIT)} END, "
+               f"CASE WHEN amount > rec THEN {q(R.REASON_AMOUNT)} END], lambda x: x IS NOT NULL)")
+    why = "(contains(m, 'why') AND (contains(m, 'reject') OR contains(m, 'denied') OR contains(m, 'approve')))"
+    rate_q = "(contains(m, 'interest') OR contains(m, 'rate'))"
+    improve = "(contains(m, 'recommend') OR contains(m, 'how to') OR contains(m, 'improve'))"
+    return WITH_LOG + f""", lastd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid
+   ORDER BY "timestamp" DESC, id DESC) AS rn FROM lg) WHERE rn = 1),
+msg AS (SELECT CAST(conv_id AS VARCHAR) AS user_id, turn, text FROM conversations WHERE role = 'user'),
+j AS (SELECT msg.user_id, turn, lower(text) AS m, lastd.id IS NOT NULL AS has_dec,
+  coalesce(approved, false) AS appr, coalesce(risk_score, 50.0) AS score,
+  coalesce(recommended_loan_amount, 100.0) AS rec, coalesce(predicted_interest_rate, 10.5) AS rate,
+  coalesce(i_credit, 1.0) AS credit, coalesce(i_amount, 0.0) AS amount, recommendations
+  FROM msg LEFT JOIN lastd ON msg.user_id = lastd.uid),
+j2 AS (SELECT *, {reasons} AS reasons FROM j)
+SELECT user_id, turn,
+ CASE WHEN {why} THEN 'why' WHEN {rate_q} THEN 'rate' WHEN {improve} THEN 'improve' ELSE 'status' END AS intent,
+ CASE WHEN {why} AND appr THEN printf({q(R.ANSWER_APPROVED)}, {score0}, {rate1})
+  WHEN {why} THEN printf({q(R.ANSWER_REJECTED)}, {score0},
+     CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, ' and ') ELSE {q(R.REASON_DEFAULT)} END,
+     {thousands('rec * 1000.0')})
+  WHEN {rate_q} THEN printf({q(R.ANSWER_RATE)}, {rate1}, {score0})
+  WHEN {improve} THEN {q(R.ANSWER_IMPROVE)} || array_to_string(list_transform({recs}, lambda r: '- ' || r), chr(10))
+  ELSE printf({q(R.ANSWER_STATUS)}, CASE WHEN appr THEN 'Approved' ELSE 'Rejected' END, {score0},
+     {thousands('rec * 1000.0')}, {rate1}) END AS answer
+FROM j2"""
+
+
+oracle("answers", _answers_sql())

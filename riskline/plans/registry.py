@@ -310,3 +310,74 @@ def q_detect_columns(spark, d):
     for m, (df, _, _) in model_outputs(spark, d).items():
         rows.append((m, detect_prediction_column(df), detect_probability_column(df)))
     return spark.createDataFrame(rows, "model string, prediction_column string, probability_column string")
+
+
+# --- decision log and portfolio --------------------------------------------------------
+def _ts(c="timestamp"):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+@query("decision_log")
+def q_decision_log(spark, d):
+    from riskline.plans.base import log_table
+    log = log_table(spark, d)
+    return finish(log.select("id", "user_id", _ts(), F.col("month").cast("string").alias("month"),
+                             F.col("outputs.approved").alias("approved"), F.col("outputs.risk_score").alias("risk_score"),
+                             F.col("outputs.risk_level").alias("risk_level"),
+                             F.col("outputs.segment_name").alias("segment_name"),
+                             F.size("outputs.recommendations").alias("n_recommendations"),
+                             F.col("inputs.Dependents").alias("dependents_text")))
+
+
+@query("log_kpis")
+def q_log_kpis(spark, d):
+    from riskline.operators.portfolio import portfolio_kpis
+    from riskline.plans.base import log_table
+    return finish(portfolio_kpis(log_table(spark, d)))
+
+
+@query("user_history")
+def q_user_history(spark, d):
+    from riskline.operators.portfolio import busiest_user, user_history
+    from riskline.plans.base import log_table
+    log = log_table(spark, d)
+    h = user_history(log, busiest_user(log))
+    return finish(h.select("id", "user_id", _ts(), F.col("outputs.risk_score").alias("risk_score"),
+                           F.col("outputs.approved").alias("approved")))
+
+
+@query("all_history")
+def q_all_history(spark, d):
+    from riskline.operators.portfolio import all_history
+    from riskline.plans.base import log_table
+    h = all_history(log_table(spark, d))
+    return finish(h.select("id", "user_id", _ts(), F.col("outputs.risk_level").alias("risk_level"),
+                           F.col("outputs.approved").alias("approved")))
+
+
+@query("history_view")
+def q_history_view(spark, d):
+    from riskline.operators.portfolio import history_view
+    from riskline.plans.base import log_table
+    return history_view(log_table(spark, d))
+
+
+@query("segment_points")
+def q_segment_points(spark, d):
+    """R12 + U1: every logged application's point, plus one mean point per display
+    segment, concatenated by name."""
+    from riskline.operators.portfolio import segment_points, union_by_name
+    from riskline.plans.base import log_table
+    pts = segment_points(log_table(spark, d)).withColumn("kind", F.lit("application"))
+    centres = pts.groupBy("cluster").agg(F.avg("income").alias("income"), F.avg("loan_amount").alias("loan_amount"))
+    return finish(union_by_name(pts, centres.withColumn("kind", F.lit("centre"))))
+
+
+@query("answers")
+def q_answers(spark, d):
+    """Rule answers to every user message of ``conversations`` (conv_id as the user)."""
+    from riskline.operators.portfolio import answer_messages
+    from riskline.plans.base import log_table
+    msgs = (spark.read.parquet(f"{d.rstrip('/')}/conversations.parquet")
+            .where(F.col("role") == "user").select(F.col("conv_id").cast("string").alias("user_id"), "turn", "text"))
+    return answer_messages(msgs, log_table(spark, d)).drop("text")
