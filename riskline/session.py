@@ -54,3 +54,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/riskline/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``riskline`` importable on executors (pandas UDFs pickle references to
+    its classes): zip the package once per application and ``addPyFile`` it.
+
+    The zip goes to the session's checkpoint folder when that is a local path
+    (tests), otherwise to the driver's temp folder — Spark's file server copies it
+    to every executor either way."""
+    import hashlib
+    import io
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"riskline/{p.relative_to(root)}")
+    data = buf.getvalue()
+    digest = hashlib.sha1(data).hexdigest()[:12]
+    ck = checkpoint_dir(spark) or ""
+    local = ck.startswith("file:") or (ck and "://" not in ck)
+    folder = Path(ck.replace("file://", "").replace("file:", "")) if local else Path(tempfile.gettempdir())
+    folder = folder / "riskline-pkg"
+    folder.mkdir(parents=True, exist_ok=True)
+    target = folder / f"riskline-{digest}.zip"
+    if not target.exists():
+        target.write_bytes(data)
+    sc.addPyFile(str(target))
+    _SHIPPED.add(sc.applicationId)
