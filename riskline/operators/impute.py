@@ -165,14 +165,23 @@ def clean_v1(df: DataFrame, key: str = "Loan_ID", label: str | None = "Loan_Stat
 
 def clean_v2(df: DataFrame, key: str = "Loan_ID", label: str | None = "Loan_Status",
              interest_noise_sd: float = 0.2, seed: int = 42, approx: bool = False,
-             keep_inputs: bool = False) -> DataFrame:
+             keep_inputs: bool = False, stats: "CleanV2Model | None" = None) -> DataFrame:
     """Production features: numeric Dependents (null → 0), modes (smallest ties,
     ``Unknown`` if all null), medians (0.0 if all null), TotalIncome, ln(1+amount),
     Debt_to_Income (term 0 → 360), strict codes, targets on the same row."""
     out = df.withColumn("_dep_text", F.coalesce(F.col("Dependents").cast("string"), F.lit("0")))
     out = out.withColumn("Dependents", E.dependents_to_number("Dependents", 0.0))
-    out = fill_stats(out, V2_MODE_COLS, V2_MEDIAN_COLS, tie="smallest", mode_fallback="Unknown",
-                     median_fallback=0.0, approx=approx)
+    if stats is None:
+        out = fill_stats(out, V2_MODE_COLS, V2_MEDIAN_COLS, tie="smallest", mode_fallback="Unknown",
+                         median_fallback=0.0, approx=approx)
+    else:
+        types = dict(out.dtypes)
+        for c in V2_MODE_COLS:
+            out = out.withColumn(c, F.coalesce(F.col(c), F.lit(stats.modes.get(c)).cast(types[c]),
+                                               F.lit("Unknown").cast(types[c])))
+        for c in V2_MEDIAN_COLS:
+            out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(stats.medians.get(c)).cast("double"),
+                                               F.lit(0.0)))
     if keep_inputs:
         # the application as submitted (complete): filled values, Dependents as text
         out = out.withColumn("inputs", F.struct(*[
@@ -193,3 +202,24 @@ def clean_v2(df: DataFrame, key: str = "Loan_ID", label: str | None = "Loan_Stat
 
 
 from riskline.schema import FEATURES as X_FEATURES, INPUT_COLUMNS  # noqa: E402
+
+
+class CleanV2Model:
+    """``clean_v2`` with its statistics learnt once (I3-style) and applied as
+    literals: the transform is a projection, so it also runs on a stream, where
+    modes and medians of the unbounded input cannot be computed."""
+
+    def __init__(self, modes: dict, medians: dict):
+        self.modes, self.medians = modes, medians
+
+    @classmethod
+    def fit(cls, df: DataFrame, approx: bool = False) -> "CleanV2Model":
+        base = df.withColumn("Dependents", E.dependents_to_number("Dependents", 0.0))
+        # one row each, bounded by the number of columns
+        m = mode_row(base, V2_MODE_COLS).first()
+        md = median_row(base, V2_MEDIAN_COLS, approx).first()
+        return cls({c: m[c] for c in V2_MODE_COLS}, {c: md[c] for c in V2_MEDIAN_COLS})
+
+    def transform(self, df: DataFrame, key: str = "Loan_ID", label: str | None = "Loan_Status",
+                  keep_inputs: bool = False, stats: "CleanV2Model | None" = None) -> DataFrame:
+        return clean_v2(df, key, label, interest_noise_sd=0.0, keep_inputs=keep_inputs, stats=self)

@@ -13,7 +13,7 @@ def _field(df: DataFrame, name: str, struct: str = "outputs"):
     return F.col(f"{struct}.{name}") if struct in df.columns else F.col(name)
 
 
-def portfolio_kpis(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def portfolio_kpis(df: DataFrame, by: Sequence = ()) -> DataFrame:
     """Applications, approval rate %, mean default probability %, fraud flags.
     One partial aggregation; an empty log gives one row of nulls (count 0)."""
     aggs = [

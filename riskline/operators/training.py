@@ -50,11 +50,16 @@ def _named(model, prefix: str):
     return model
 
 
-def train(spark: SparkSession, feats: DataFrame, key: str = "Loan_ID", trees: int = 100, max_depth: int = 12,
+def train(spark: SparkSession, feats: DataFrame, key: str = "Loan_ID", trees: int = 100, max_depth: int = 8,
           seed: int = 42, forest_seed: int = 22, k: int = 3, n_init: int = 10,
           iso_trees: int = 100, iso_samples: int = 256, contamination: float = 0.05) -> TrainedModels:
     """Fit the v2 models on ``feats`` (v2 features with Loan_Status_encoded,
-    Default, Interest_Rate).  The assembled frame is cached: six fits read it."""
+    Default, Interest_Rate).  The assembled frame is cached: six fits read it.
+
+    ``max_depth`` bounds every forest: a tree's size, its broadcast node table and
+    the cost of explaining it (TreeSHAP is linear in leaves) all grow as 2^depth.
+    The reference grows unbounded trees on 614 rows; on large tables 8 keeps
+    the explainer affordable, and Spark accepts up to 30."""
     from riskline.operators.isolation import fit_isolation_forest
 
     data = M.assemble(feats.where(F.col("Loan_Status_encoded").isNotNull()))
@@ -129,7 +134,8 @@ def score(df: DataFrame, models: TrainedModels, key: str = "Loan_ID", explain: s
                "segment_cluster", "left")
     drop = ["features", "seg_features", "approval_raw", "approval_prob", "default_raw", "default_prob",
             *[f"{c}_z" for c in M.SEGMENT_INPUTS]]
-    x = x.withColumn("_pd", M.positive_probability("default_prob"))
+    x = (x.withColumn("_pd", M.positive_probability("default_prob"))
+          .withColumn("approval_probability", M.positive_probability("approval_prob")))
     attributions = None
     if explain == "shap":
         from riskline.operators.treeshap import tree_attributions

@@ -62,11 +62,15 @@ def features(spark: SparkSession, d: str, noise_sd: float = 0.0) -> DataFrame:
                     lambda: clean_v2(loans(spark, d), interest_noise_sd=noise_sd, keep_inputs=True))
 
 
-def scorecard_decisions(spark: SparkSession, d: str) -> DataFrame:
+def segment_names_for(f: DataFrame) -> DataFrame:
+    """cluster → segment name from the property-area centres (k rows)."""
+    return name_segments(area_centers(f))
+
+
+def scorecard_decide(f: DataFrame, names: DataFrame) -> DataFrame:
     """Decisions with the deterministic scorecard in place of fitted models and the
-    property-area grouping in place of k-means; inputs are the v2 features."""
-    f = features(spark, d)
-    names = name_segments(area_centers(f))
+    property-area grouping in place of k-means; ``f`` holds v2 features (a table
+    or a stream), ``names`` the k-row segment-name table (broadcast)."""
     f = f.withColumn("segment_cluster", F.col("Property_Area").cast("int"))
     f = f.join(F.broadcast(names), f.segment_cluster == names.cluster, "left").drop("cluster")
     pd_ = R.scorecard_default_probability()
@@ -81,6 +85,11 @@ def scorecard_decisions(spark: SparkSession, d: str) -> DataFrame:
     ).drop("_pd")
 
 
+def scorecard_decisions(spark: SparkSession, d: str) -> DataFrame:
+    f = features(spark, d)
+    return scorecard_decide(f, segment_names_for(f))
+
+
 MODELS = ["naive_bayes", "decision_tree", "logistic", "random_forest"]
 
 
@@ -136,3 +145,26 @@ def log_table(spark: SparkSession, d: str) -> DataFrame:
         append_decisions(decision_log(scorecard_decisions(spark, d)), path)
         return read_log(spark, path)
     return prepared(spark, d, "decision_log", build, write=False)
+
+
+_TRAINED: dict[tuple, object] = {}
+
+
+def trained(spark: SparkSession, d: str, trees: int = 100, n_init: int = 10):
+    """The v2 models fitted once per session on the prepared features (interest
+    label with its N(0, 0.2) noise, as in the reference)."""
+    from riskline.operators.training import train
+    key = (spark.sparkContext.applicationId, d.rstrip("/"), trees, n_init)
+    m = _TRAINED.get(key)
+    if m is None:
+        m = train(spark, features(spark, d, noise_sd=0.2), trees=trees, n_init=n_init)
+        _TRAINED[key] = m
+    return m
+
+
+def scored(spark: SparkSession, d: str, explain: str = "rules") -> DataFrame:
+    """T18 over every application, written once per session."""
+    from riskline.operators.training import score
+    return prepared(spark, d, f"scored-{explain}",
+                    lambda: score(features(spark, d, noise_sd=0.2), trained(spark, d), explain=explain)
+                    .drop("inputs"))

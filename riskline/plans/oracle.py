@@ -520,3 +520,55 @@ FROM j2"""
 
 
 oracle("answers", _answers_sql())
+
+
+# --- splits, scaling, models ------------------------------------------------------------
+def _hash_sql(key: str, seed: int) -> str:
+    return f"('0x' || substring(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 13))::BIGINT"
+
+
+oracle("stratified_split", WITH_V2 + f""", r AS (SELECT "Loan_ID", "Loan_Status_encoded" AS label,
+  row_number() OVER (PARTITION BY "Loan_Status_encoded" ORDER BY {_hash_sql('"Loan_ID"', 42)}, "Loan_ID") AS rk
+  FROM v2),
+c AS (SELECT label, count(*) AS nk FROM r GROUP BY label),
+t AS (SELECT sum(nk) AS n, ceil(0.2 * sum(nk)) AS ntest FROM c),
+a AS (SELECT label, floor(nk * ntest / n) AS base, nk * ntest / n - floor(nk * ntest / n) AS rem, ntest FROM c, t),
+b AS (SELECT label, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, label)
+   <= ntest - sum(base) OVER () THEN 1 ELSE 0 END AS k FROM a)
+SELECT "Loan_ID", r.label, CASE WHEN rk <= k THEN 'test' ELSE 'train' END AS split FROM r JOIN b ON r.label = b.label""")
+
+oracle("random_split", WITH_V2 + f"""SELECT "Loan_ID", CASE WHEN {_hash_sql('"Loan_ID"', 42)} < {int(0.2 * 16 ** 13)}
+ THEN 'test' ELSE 'train' END AS split FROM v2""")
+
+oracle("standardize", WITH_V2 + """, s AS (SELECT avg("TotalIncome") m1, stddev_pop("TotalIncome") s1, avg("LoanAmount") m2,
+ stddev_pop("LoanAmount") s2, avg("Credit_History") m3, stddev_pop("Credit_History") s3 FROM v2)
+SELECT "Loan_ID", round(("TotalIncome" - m1) / CASE WHEN s1 = 0 THEN 1.0 ELSE s1 END, 6) AS "TotalIncome_z",
+ round(("LoanAmount" - m2) / CASE WHEN s2 = 0 THEN 1.0 ELSE s2 END, 6) AS "LoanAmount_z",
+ round(("Credit_History" - m3) / CASE WHEN s3 = 0 THEN 1.0 ELSE s3 END, 6) AS "Credit_History_z" FROM v2, s""")
+
+
+def _nb_sql() -> str:
+    cols = FEATURE_COLS
+    moments = ", ".join(f'avg("{c}") AS m{i}, var_pop("{c}") AS v{i}' for i, c in enumerate(cols))
+    eps = "1e-9 * greatest(" + ", ".join(f'var_pop("{c}")' for c in cols) + ")"
+    ll = " + ".join(f'(-0.5 * ln(2 * pi() * (v{i} + e)) - ("{c}" - m{i}) * ("{c}" - m{i}) / (2 * (v{i} + e)))'
+                    for i, c in enumerate(cols))
+    return WITH_V2 + f""", lab AS (SELECT * FROM v2 WHERE "Loan_Status_encoded" IS NOT NULL),
+st AS (SELECT "Loan_Status_encoded" AS cls, count(*) AS nc, {moments} FROM lab GROUP BY 1),
+ep AS (SELECT {eps} AS e, count(*) AS n FROM lab),
+sc AS (SELECT "Loan_ID", cls, ln(nc / n) + {ll} AS ll FROM lab, st, ep)
+SELECT "Loan_ID", CAST(arg_max(cls, ll) AS INTEGER) AS prediction FROM sc GROUP BY "Loan_ID\""""
+
+
+oracle("gaussian_nb", _nb_sql())
+
+
+# --- streaming (equal to the batch statements) ----------------------------------------
+oracle("score_stream", WITH_DEC + """SELECT "Loan_ID", round(default_probability, 6) AS default_probability,
+ round(risk_score, 6) AS risk_score, risk_level, approved, round(recommended_loan_amount, 6) AS recommended_loan_amount,
+ round(predicted_interest_rate, 6) AS predicted_interest_rate, segment_name FROM dec""")
+oracle("kpi_stream", ORACLE["kpis_by_area"])
+oracle("kpi_stream_windowed", WITH_DEC + f""", w AS (SELECT *, time_bucket(INTERVAL 30 DAY, CAST(ts AS TIMESTAMP),
+  TIMESTAMP '1970-01-01') AS ws FROM dec)
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws + INTERVAL 30 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+ {_KPI} FROM w GROUP BY ws HAVING ws + INTERVAL 30 DAY <= (SELECT max(ts) FROM dec) - INTERVAL 60 DAY""")

@@ -381,3 +381,197 @@ def q_answers(spark, d):
     msgs = (spark.read.parquet(f"{d.rstrip('/')}/conversations.parquet")
             .where(F.col("role") == "user").select(F.col("conv_id").cast("string").alias("user_id"), "turn", "text"))
     return answer_messages(msgs, log_table(spark, d)).drop("text")
+
+
+# --- splits, scaling, models ------------------------------------------------------------
+@query("stratified_split")
+def q_stratified_split(spark, d):
+    from riskline.operators.models import stratified_split
+    f = features(spark, d).select("Loan_ID", F.col("Loan_Status_encoded").alias("label"))
+    return stratified_split(f, "label", "Loan_ID", 0.2, 42)
+
+
+@query("random_split")
+def q_random_split(spark, d):
+    from riskline.operators.models import random_split
+    return random_split(features(spark, d).select("Loan_ID"), "Loan_ID", 0.2, 42)
+
+
+@query("standardize")
+def q_standardize(spark, d):
+    from riskline.operators.models import SEGMENT_INPUTS, standardize
+    z = standardize(features(spark, d).select("Loan_ID", *SEGMENT_INPUTS), SEGMENT_INPUTS, suffix="_z")
+    return finish(z.select("Loan_ID", *[f"{c}_z" for c in SEGMENT_INPUTS]))
+
+
+def _labelled(spark, d):
+    from riskline.operators.models import assemble
+    f = features(spark, d).where(F.col("Loan_Status_encoded").isNotNull())
+    return assemble(f.withColumn("label", F.col("Loan_Status_encoded").cast("double")))
+
+
+@query("gaussian_nb")
+def q_gaussian_nb(spark, d):
+    """T5 fitted on every labelled application, applied to the same rows (as the
+    reference labels its training file)."""
+    from riskline.operators.models import fit_gaussian_nb
+    x = _labelled(spark, d)
+    m = fit_gaussian_nb(x, "label")
+    return m.transform(x).select("Loan_ID", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query("logistic")
+def q_logistic(spark, d):
+    """T4 on standardised features (T3), C = 1; probability and Y/N label per row."""
+    from riskline.operators.models import assemble, fit_logistic, positive_probability, standardize
+    from riskline.schema import FEATURES
+    f = features(spark, d).where(F.col("Loan_Status_encoded").isNotNull())
+    z = standardize(f, FEATURES)
+    x = assemble(z.withColumn("label", F.col("Loan_Status_encoded").cast("double")))
+    m = fit_logistic(x, "label", f.count())
+    p = m.transform(x).withColumn("Logistic_Prob", positive_probability())
+    return finish(p.select("Loan_ID", "Logistic_Prob", E.label_yn(E.threshold("Logistic_Prob")).alias("Logistic_Predicted")))
+
+
+@query("decision_tree")
+def q_decision_tree(spark, d):
+    from riskline.operators.models import fit_decision_tree
+    x = _labelled(spark, d)
+    m = fit_decision_tree(x, "label")
+    return m.transform(x).select("Loan_ID", E.label_yn(F.col("prediction").cast("int")).alias("DT_Predicted"))
+
+
+@query("random_forest")
+def q_random_forest(spark, d):
+    """Fitted on the stratified 80 % (seed 42, forest seed 22), applied to every
+    row; ``split`` says which rows were fitted (D-3)."""
+    from riskline.operators.models import fit_random_forest, positive_probability, stratified_split
+    x = stratified_split(_labelled(spark, d), "label", "Loan_ID", 0.2, 42).cache()
+    m = fit_random_forest(x.where(F.col("split") == "train"), "label", seed=22)
+    p = m.transform(x).withColumn("RF_Prob", positive_probability())
+    return finish(p.select("Loan_ID", "split", "RF_Prob", E.label_yn(E.threshold("RF_Prob")).alias("RF_Predicted")))
+
+
+@query("approval")
+def q_approval(spark, d):
+    from riskline.plans.base import scored
+    return scored(spark, d).select("Loan_ID", F.col("approval_pred").cast("int").alias("approval_pred"), "approved")
+
+
+@query("default_pd")
+def q_default_pd(spark, d):
+    from riskline.plans.base import scored
+    return finish(scored(spark, d).select("Loan_ID", "default_probability", "risk_score", "risk_level"))
+
+
+@query("interest_rf")
+def q_interest_rf(spark, d):
+    from riskline.plans.base import scored
+    return finish(scored(spark, d).select("Loan_ID", "interest_pred", "predicted_interest_rate"))
+
+
+@query("segments")
+def q_segments(spark, d):
+    from riskline.plans.base import scored
+    return scored(spark, d).select("Loan_ID", "segment_cluster", "segment_name")
+
+
+@query("isolation_forest")
+def q_isolation_forest(spark, d):
+    from riskline.plans.base import scored
+    return finish(scored(spark, d).select("Loan_ID", "raw_anomaly", "fraud_score", "fraud_detected"))
+
+
+@query("score")
+def q_score(spark, d):
+    """Every model and rule over every application."""
+    from riskline.plans.base import scored
+    s = scored(spark, d)
+    return finish(s.select("Loan_ID", "approved", "risk_score", "risk_level", "default_probability", "fraud_score",
+                           "fraud_detected", "recommended_loan_amount", "predicted_interest_rate",
+                           F.array_join("recommendations", " | ").alias("recommendations"),
+                           "segment_cluster", "segment_name"))
+
+
+@query("tree_attributions")
+def q_tree_attributions(spark, d):
+    """TreeSHAP of the approval forest for every application, with the
+    additivity residual |Σφ + E[f] − P(approve)|."""
+    from riskline.plans.base import scored
+    s = scored(spark, d, explain="shap")
+    total = F.aggregate(F.map_values("shap_values"), F.lit(0.0), lambda a, b: a + b)
+    return finish(s.select("Loan_ID", _map_text("shap_values").alias("attributions"),
+                           F.abs(total + F.col("shap_values_expected") - F.col("approval_probability"))
+                           .alias("additivity_residual")))
+
+
+@query("runs_view")
+def q_runs_view(spark, d):
+    """S6 → S5 → R10: the training run appended to a run log, read back, displayed."""
+    from riskline.operators.portfolio import runs_view
+    from riskline.operators.training import run_row
+    from riskline.plans.base import prepared, trained
+    from riskline.session import scratch_path
+    from riskline.sources.io import append_run, read_runs
+
+    def build():
+        path = scratch_path(spark, "runs")
+        append_run(run_row(spark, trained(spark, d)), path)
+        return read_runs(spark, path)
+    return runs_view(prepared(spark, d, "runs", build, write=False))
+
+
+# --- streaming --------------------------------------------------------------------------
+def _stream_decisions(spark, d):
+    """Decisions of the orders stream (cleaner and segment names fitted on the table)."""
+    from riskline.operators.impute import CleanV2Model
+    from riskline.plans.base import scorecard_decide, segment_names_for
+    from riskline.streaming import application_stream
+    cleaner = CleanV2Model.fit(loans(spark, d))
+    names = segment_names_for(features(spark, d)).cache()
+    return scorecard_decide(cleaner.transform(application_stream(spark, d)), names)
+
+
+def _streamed(spark, d, name, start):
+    from riskline.plans.base import prepared
+    from riskline.session import scratch_path
+    from riskline.streaming.scoring import run_to_end
+
+    def build():
+        sink, ck = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+        run_to_end(start(sink, ck))
+        return spark.read.parquet(sink)
+    return prepared(spark, d, name, build, write=False)
+
+
+@query("score_stream")
+def q_score_stream(spark, d):
+    """ST1: the orders stream scored and appended; equals the batch decisions."""
+    from riskline.streaming import score_stream
+    out = _streamed(spark, d, "score-stream",
+                    lambda sink, ck: score_stream(_stream_decisions(spark, d).drop("recommendations", "shap_values"),
+                                                  lambda x: x, sink, ck))
+    return finish(out.select("Loan_ID", "default_probability", "risk_score", "risk_level", "approved",
+                             "recommended_loan_amount", "predicted_interest_rate", "segment_name"))
+
+
+@query("kpi_stream")
+def q_kpi_stream(spark, d):
+    """ST2 (complete mode) per property area; equals the batch KPIs."""
+    from riskline.streaming import kpi_stream
+    out = _streamed(spark, d, "kpi-stream",
+                    lambda sink, ck: kpi_stream(_stream_decisions(spark, d).withColumn(
+                        "area", F.col("Property_Area").cast("int")), sink, ck, by=["area"]))
+    return finish(out)
+
+
+@query("kpi_stream_windowed")
+def q_kpi_stream_windowed(spark, d):
+    """ST2 with 30-day event-time windows and a 60-day watermark (append mode):
+    the windows the watermark has closed."""
+    from riskline.streaming import windowed_kpi_stream
+    out = _streamed(spark, d, "kpi-window-stream",
+                    lambda sink, ck: windowed_kpi_stream(_stream_decisions(spark, d), "ts", sink, ck))
+    return finish(out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                             F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("window_end"),
+                             "total_applications", "approval_rate_pct", "avg_default_pct", "fraud_flags"))

@@ -29,10 +29,15 @@ def loan_view(spark: SparkSession, sf_dir: str, with_status: bool = True) -> Dat
     ``autoBroadcastJoinThreshold`` by statistics, sort-merge on ``custkey`` beyond, AQE
     re-plans on runtime sizes).  Only the columns used are read.
     """
-    o = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    return loan_view_from(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer"),
+                          read_table(spark, sf_dir, "nation"), with_status)
+
+
+def loan_view_from(orders: DataFrame, customer: DataFrame, nation: DataFrame, with_status: bool = True) -> DataFrame:
+    """The loan view over given frames; ``orders`` may be a stream (stream–static joins)."""
+    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    c = customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    n = nation.select("n_nationkey", "n_regionkey")
     j = (o.join(c, o.o_custkey == c.c_custkey)
           .join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")))
     k = F.col("o_orderkey")
