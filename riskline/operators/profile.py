@@ -116,9 +116,14 @@ def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     in one aggregation; undefined (constant column) → null."""
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    none = F.lit(None).cast(T.DoubleType())
-    one = df.agg(*[F.nanvl(F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")), none)
-                   .alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    def pearson(a: str, b: str) -> Column:
+        x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
+        # pairwise-complete rows; ANSI mode makes corr() raise on a constant column
+        x2, y2 = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        r = F.try_divide(F.covar_pop(x2, y2), F.stddev_pop(x2) * F.stddev_pop(y2))
+        return F.nanvl(r, F.lit(None).cast(T.DoubleType()))
+
+    one = df.agg(*[pearson(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     cells = F.explode(F.array(*[
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"`{i}`").alias("corr"))
         for i, (a, b) in enumerate(pairs)] + [

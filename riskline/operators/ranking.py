@@ -172,7 +172,7 @@ def exact_quantiles(freq: DataFrame, probs: Sequence[float], buckets: int = DEFA
     want = tot.select("column", "total", ps)
     pos = (F.col("total") - 1) * F.col("p")
     want = want.select("column", "p", F.floor(pos).cast("long").alias("r_lo"),
-                       F.least(F.floor(pos).cast("long") + 1, F.col("total") - 1).alias("r_hi"),
+                       F.least(F.ceil(pos).cast("long"), F.col("total") - 1).alias("r_hi"),
                        (pos - F.floor(pos)).alias("frac"))
     r = ranked.select(F.col("column").alias("_c"), "value", "lo", "hi")
     in_lo = F.col("r_lo").between(F.col("lo"), F.col("hi"))
