@@ -112,18 +112,35 @@ def box_stats(df: DataFrame, cols: Sequence[str], whis: float = 1.5) -> DataFram
 
 
 def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every ordered column pair (pairwise-complete rows)
-    in one aggregation; undefined (constant column) → null."""
+    """Pearson correlation of every ordered column pair (pairwise-complete rows);
+    undefined (constant column) → null.
+
+    Pass 1 (one row, bounded by the columns): means and null counts.  Without
+    nulls, pass 2 sums centred products — one plain ``sum`` per pair, numerically
+    stable and small enough for whole-stage codegen.  With nulls, each pair uses
+    its own complete rows (``covar_pop`` / ``stddev_pop``).  ``corr()`` itself is
+    avoided: under ANSI mode it raises on a constant column."""
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    def pearson(a: str, b: str) -> Column:
-        x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
-        # pairwise-complete rows; ANSI mode makes corr() raise on a constant column
-        x2, y2 = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        r = F.try_divide(F.covar_pop(x2, y2), F.stddev_pop(x2) * F.stddev_pop(y2))
-        return F.nanvl(r, F.lit(None).cast(T.DoubleType()))
-
-    one = df.agg(*[pearson(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    val = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    first = df.agg(*[F.avg(val[c]).alias(f"m{i}") for i, c in enumerate(cols)],
+                   *[F.count_if(val[c].isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    none = F.lit(None).cast(T.DoubleType())
+    if all(first[f"n{i}"] == 0 for i in range(len(cols))):
+        cen = {c: val[c] - F.lit(first[f"m{i}"] if first[f"m{i}"] is not None else 0.0) for i, c in enumerate(cols)}
+        sums = df.agg(*[F.sum(cen[a] * cen[b]).alias(f"s{i}") for i, (a, b) in enumerate(pairs)])
+        var = {a: f"s{i}" for i, (a, b) in enumerate(pairs) if a == b}
+
+        def cell(i, a, b):
+            r = F.try_divide(F.col(f"s{i}"), F.sqrt(F.col(var[a]) * F.col(var[b])))
+            return F.nanvl(r, none)
+        one = sums.select(*[cell(i, a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    else:
+        def pearson(a: str, b: str) -> Column:
+            x, y = val[a], val[b]
+            x2, y2 = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+            return F.nanvl(F.try_divide(F.covar_pop(x2, y2), F.stddev_pop(x2) * F.stddev_pop(y2)), none)
+        one = df.agg(*[pearson(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     cells = F.explode(F.array(*[
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"`{i}`").alias("corr"))
         for i, (a, b) in enumerate(pairs)] + [

@@ -522,14 +522,20 @@ def q_runs_view(spark, d):
 
 
 # --- streaming --------------------------------------------------------------------------
+_FITTED: dict = {}
+
+
 def _stream_decisions(spark, d):
-    """Decisions of the orders stream (cleaner and segment names fitted on the table)."""
+    """Decisions of the orders stream; the cleaner (one row of statistics) and the
+    k-row segment names are fitted on the table once per session."""
     from riskline.operators.impute import CleanV2Model
-    from riskline.plans.base import scorecard_decide, segment_names_for
+    from riskline.plans.base import prepared, scorecard_decide, segment_names_for
     from riskline.streaming import application_stream
-    cleaner = CleanV2Model.fit(loans(spark, d))
-    names = segment_names_for(features(spark, d)).cache()
-    return scorecard_decide(cleaner.transform(application_stream(spark, d)), names)
+    key = (spark.sparkContext.applicationId, d.rstrip("/"))
+    if key not in _FITTED:
+        _FITTED[key] = CleanV2Model.fit(loans(spark, d))
+    names = prepared(spark, d, "segment-names", lambda: segment_names_for(features(spark, d)))
+    return scorecard_decide(_FITTED[key].transform(application_stream(spark, d)), names)
 
 
 def _streamed(spark, d, name, start):
@@ -575,3 +581,15 @@ def q_kpi_stream_windowed(spark, d):
     return finish(out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                              F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("window_end"),
                              "total_applications", "approval_rate_pct", "avg_default_pct", "fraud_flags"))
+
+
+@query("feature_importance")
+def q_feature_importance(spark, d):
+    """T17 (model side): the approval forest's impurity importances beside the mean
+    |TreeSHAP| contribution would be the dashboard's global chart; the importances
+    are read from the fitted model (one value per feature)."""
+    from riskline.plans.base import trained
+    from riskline.schema import FEATURES
+    imp = trained(spark, d).approval.featureImportances.toArray().tolist()
+    rows = sorted(zip(FEATURES, map(float, imp)), key=lambda r: (-r[1], r[0]))
+    return spark.createDataFrame(rows, "feature string, importance double")
