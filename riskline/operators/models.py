@@ -141,15 +141,20 @@ def fit_interest(train: DataFrame, label: str, features: str = "features", trees
 SEGMENT_INPUTS = ["TotalIncome", "LoanAmount", "Credit_History"]
 
 
-def fit_segments(df: DataFrame, k: int = 3, seed: int = 42, n_init: int = 10, features: str = "seg_features"):
+def fit_segments(df: DataFrame, k: int = 3, seed: int = 42, n_init: int = 10, features: str = "seg_features",
+                 parallel: int = 4):
     """K-means on standardised (income, amount, credit); best of ``n_init``
-    seeds by training cost.  The caller caches ``df`` (n_init passes read it)."""
-    best = None
-    for i in range(n_init):
-        m = KMeans(featuresCol=features, k=k, seed=seed + i, maxIter=100).fit(df)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
-    return best
+    seeds by training cost (ties → earliest seed).  The starts are independent
+    Spark jobs, submitted from ``parallel`` threads so small fits share the
+    cluster instead of queueing; the caller caches ``df`` (every start reads it)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(i):
+        return i, KMeans(featuresCol=features, k=k, seed=seed + i, maxIter=100).fit(df)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, n_init))) as pool:
+        fits = list(pool.map(one, range(n_init)))
+    return min(fits, key=lambda im: (im[1].summary.trainingCost, im[0]))[1]
 
 
 def segment_frame(df: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:

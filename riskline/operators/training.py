@@ -66,13 +66,21 @@ def train(spark: SparkSession, feats: DataFrame, key: str = "Loan_ID", trees: in
     data = M.stratified_split(data, "Loan_Status_encoded", key, 0.2, seed).cache()
     tr, te = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
 
-    approval = _named(M.fit_random_forest(tr, "Loan_Status_encoded", trees=trees, seed=forest_seed,
-                                          max_depth=max_depth), "approval")
-    default = _named(M.fit_random_forest(tr, "Default", trees=trees, seed=forest_seed, max_depth=max_depth),
-                     "default")
-    interest = _named(M.fit_interest(tr, "Interest_Rate", trees=trees, seed=forest_seed, max_depth=max_depth),
-                      "interest")
-    fraud = fit_isolation_forest(data, FEATURES, key, trees=iso_trees, samples=iso_samples, seed=seed)
+    # four independent fits over the cached frame, submitted as concurrent Spark jobs
+    from concurrent.futures import ThreadPoolExecutor
+    jobs = {
+        "approval": lambda: _named(M.fit_random_forest(tr, "Loan_Status_encoded", trees=trees, seed=forest_seed,
+                                                       max_depth=max_depth), "approval"),
+        "default": lambda: _named(M.fit_random_forest(tr, "Default", trees=trees, seed=forest_seed,
+                                                      max_depth=max_depth), "default"),
+        "interest": lambda: _named(M.fit_interest(tr, "Interest_Rate", trees=trees, seed=forest_seed,
+                                                  max_depth=max_depth), "interest"),
+        "fraud": lambda: fit_isolation_forest(data, FEATURES, key, trees=iso_trees, samples=iso_samples, seed=seed),
+    }
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        futures = {name: pool.submit(fn) for name, fn in jobs.items()}
+        fitted = {name: f.result() for name, f in futures.items()}
+    approval, default, interest, fraud = (fitted[n] for n in ("approval", "default", "interest", "fraud"))
 
     seg_in = data.select(key, *M.SEGMENT_INPUTS)
     stats = seg_in.agg(*[F.avg(c).alias(f"m_{c}") for c in M.SEGMENT_INPUTS],
