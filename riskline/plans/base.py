@@ -93,45 +93,57 @@ def scorecard_decisions(spark: SparkSession, d: str) -> DataFrame:
 MODELS = ["naive_bayes", "decision_tree", "logistic", "random_forest"]
 
 
-def model_outputs(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, str, str | None]]:
-    """Four prediction tables in the reference's file shapes (Y/N text, 1/0 text,
-    probability + label), produced by fixed scorecard variants so every metric can
-    be checked value by value.  Probabilities are floored to 0.01 to create ties."""
-    f = features(spark, d)
+def _model_columns(f: DataFrame) -> dict:
+    """Per stand-in model: (prediction column name, its expression, probability
+    column name or None, its expression) over the prepared feature table."""
     good = F.lit(1.0) - R.scorecard_default_probability()
     lr = F.floor(good * 100.0) / 100.0
     rf = F.floor(F.least(F.greatest(good * 0.9 + F.lit(0.1) * F.col("Married"), F.lit(0.0)), F.lit(1.0)) * 100.0) / 100.0
-    base = f.select("Loan_ID", good.alias("_good"), lr.alias("lr_prob"), rf.alias("rf_prob"), "Credit_History")
     return {
-        "naive_bayes": (base.select("Loan_ID", F.when(F.col("_good") >= 0.6, "Y").otherwise("N")
-                                    .alias("Loan_Status_Predicted")), "Loan_Status_Predicted", None),
-        "decision_tree": (base.select("Loan_ID", F.when(F.col("Credit_History") == 1.0, "1").otherwise("0")
-                                      .alias("DT_Predicted")), "DT_Predicted", None),
-        "logistic": (base.select("Loan_ID", F.col("lr_prob").alias("Logistic_Prob"),
-                                 E.label_yn(E.threshold("lr_prob")).alias("Logistic_Predicted")),
-                     "Logistic_Predicted", "Logistic_Prob"),
-        "random_forest": (base.select("Loan_ID", F.col("rf_prob").alias("RF_Prob"),
-                                      E.label_yn(E.threshold("rf_prob")).alias("RF_Predicted")),
-                          "RF_Predicted", "RF_Prob"),
+        "naive_bayes": ("Loan_Status_Predicted", F.when(good >= 0.6, "Y").otherwise("N"), None, None),
+        "decision_tree": ("DT_Predicted", F.when(F.col("Credit_History") == 1.0, "1").otherwise("0"), None, None),
+        "logistic": ("Logistic_Predicted", E.label_yn(E.threshold(lr)), "Logistic_Prob", lr),
+        "random_forest": ("RF_Predicted", E.label_yn(E.threshold(rf)), "RF_Prob", rf),
     }
 
 
+def model_outputs(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, str, str | None]]:
+    """Four prediction tables in the reference's file shapes (Y/N text, 1/0 text,
+    probability + label), produced by fixed scorecard variants so every metric can
+    be checked value by value.  Probabilities are floored to 0.01 to create ties."""
+    f = features(spark, d)
+    out = {}
+    for m, (pc, pe, qc, qe) in _model_columns(f).items():
+        cols = [F.col("Loan_ID"), pe.alias(pc)] + ([qe.alias(qc)] if qc else [])
+        out[m] = (f.select(*cols), pc, qc)
+    return out
+
+
 def truth(spark: SparkSession, d: str) -> DataFrame:
     """(Loan_ID, Loan_Status Y/N) of every application."""
     return features(spark, d).select("Loan_ID", E.label_yn("Loan_Status_encoded").alias("Loan_Status"))
 
 
+def predictions_long(spark: SparkSession, d: str, with_label: bool = False) -> DataFrame:
+    """(Loan_ID[, label], model, prediction text, probability) for the four models
+    from ONE scan of the prepared table: each row explodes into four model rows
+    (a union of four projections would scan the table four times)."""
+    f = features(spark, d)
+    items = [F.struct(F.lit(m).alias("model"), pe.cast("string").alias("prediction"),
+                      (qe if qe is not None else F.lit(None).cast("double")).alias("probability"))
+             for m, (_, pe, _, qe) in _model_columns(f).items()]
+    label = [F.col("Loan_Status_encoded").alias("label")] if with_label else []
+    return f.select("Loan_ID", *label, F.explode(F.array(*items)).alias("_m")).select(
+        "Loan_ID", *(["label"] if with_label else []), "_m.model", "_m.prediction", "_m.probability")
+
+
 def evaluation_long(spark: SparkSession, d: str) -> DataFrame:
-    """(Loan_ID, model, label, prediction, probability) for the four models; the
-    truth is a column of the same prepared table, so no join is needed."""
-    from riskline.operators.evaluate import to_long
-    f = features(spark, d).select("Loan_ID", F.col("Loan_Status_encoded").alias("label"))
-    outs = model_outputs(spark, d)
-    long = to_long(outs, "Loan_ID")
-    # both sides are projections of one checkpointed table; the planner joins on the key
-    return long.join(f, "Loan_ID").select(
-        "Loan_ID", "model", "label", F.coalesce(E.normalize_binary("prediction", "zero"), F.lit(0)).alias("prediction"),
-        "probability")
+    """(Loan_ID, model, label, prediction 0/1, probability) for the four models; one
+    scan, no join (the label is a column of the same table)."""
+    x = predictions_long(spark, d, with_label=True)
+    return x.select("Loan_ID", "model", "label",
+                    F.coalesce(E.normalize_binary("prediction", "zero"), F.lit(0)).alias("prediction"),
+                    "probability")
 
 
 def log_table(spark: SparkSession, d: str) -> DataFrame:

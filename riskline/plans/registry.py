@@ -243,10 +243,9 @@ def q_align_position(spark, d):
 
 @query("compare_predictions")
 def q_compare_predictions(spark, d):
-    from riskline.operators.evaluate import compare_predictions, to_long
-    from riskline.plans.base import MODELS, model_outputs, truth
-    return compare_predictions(truth(spark, d), to_long(model_outputs(spark, d), "Loan_ID"), "Loan_ID",
-                               "Loan_Status", MODELS)
+    from riskline.operators.evaluate import compare_predictions
+    from riskline.plans.base import MODELS, predictions_long, truth
+    return compare_predictions(truth(spark, d), predictions_long(spark, d), "Loan_ID", "Loan_Status", MODELS)
 
 
 @query("confusion")
