@@ -158,26 +158,49 @@ def ranked_values(freq: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
 
 
 def exact_quantiles(freq: DataFrame, probs: Sequence[float], buckets: int = DEFAULT_BUCKETS,
-                    midpoint: bool = False) -> DataFrame:
+                    midpoint: bool = False, accuracy: int = 10000) -> DataFrame:
     """(column, p, q): exact quantiles of numeric value-frequency tables.
 
     Default: linear interpolation between the ranks around (n−1)·p (NumPy's
     default).  ``midpoint=True`` with p = 0.5 gives (a + b) / 2 of the two middle
-    values (the reference's median).  The rank table (columns × probs × 2 rows) is
-    broadcast into a range join against the ranked values.
+    values (the reference's median).
+
+    Only the value ranges that hold a wanted rank are ranked: one aggregation gives
+    each column's total and range bounds, per-bucket totals give the offsets
+    (columns × buckets rows, broadcast), and the window runs inside the few target
+    buckets — not over all distinct values.
     """
-    ranked = ranked_values(freq, buckets)
-    tot = freq.groupBy("column").agg(F.sum("n").alias("total"))
-    ps = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
-    want = tot.select("column", "total", ps)
+    _check_buckets(buckets)
+    probs = [float(p) for p in probs]
+    aggs = [F.sum("n").alias("total")]
+    if buckets > 1:
+        aggs.append(F.percentile_approx("value", [i / buckets for i in range(1, buckets)], accuracy).alias("_bounds"))
+    meta = freq.groupBy("column").agg(*aggs)
+    if buckets == 1:
+        meta = meta.withColumn("_bounds", F.array().cast("array<double>"))
+    # one row per column: bounded by the number of columns
+    x = freq.join(F.broadcast(meta.select("column", "_bounds")), "column")
+    v = F.col("value")
+    x = x.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < v))).drop("_bounds")
+    bt = x.groupBy("column", "_bucket").agg(F.sum("n").alias("_bn"))
+    before = Window.partitionBy("column").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bt = bt.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
     pos = (F.col("total") - 1) * F.col("p")
-    want = want.select("column", "p", F.floor(pos).cast("long").alias("r_lo"),
-                       F.least(F.ceil(pos).cast("long"), F.col("total") - 1).alias("r_hi"),
-                       (pos - F.floor(pos)).alias("frac"))
-    r = ranked.select(F.col("column").alias("_c"), "value", "lo", "hi")
+    want = meta.select("column", "total", F.explode(F.array(*[F.lit(p) for p in probs])).alias("p")).select(
+        "column", "p", F.floor(pos).cast("long").alias("r_lo"),
+        F.least(F.ceil(pos).cast("long"), F.col("total") - 1).alias("r_hi"), (pos - F.floor(pos)).alias("frac"))
+    ranks = want.select("column", F.explode(F.array("r_lo", "r_hi")).alias("_r"))
+    target = (ranks.join(bt, "column")
+              .where(F.col("_r").between(F.col("_off"), F.col("_off") + F.col("_bn") - 1))
+              .select("column", "_bucket", "_off").distinct())
+    # rank inside the target buckets only; both small tables are broadcast
+    sub = x.join(F.broadcast(target), ["column", "_bucket"])
+    within = (Window.partitionBy("column", "_bucket").orderBy("value")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cum = F.col("_off") + F.sum("n").over(within)
+    r = sub.select(F.col("column").alias("_c"), "value", (cum - F.col("n")).alias("lo"), (cum - 1).alias("hi"))
     in_lo = F.col("r_lo").between(F.col("lo"), F.col("hi"))
     in_hi = F.col("r_hi").between(F.col("lo"), F.col("hi"))
-    # big side streams, the rank table (columns × probs rows) is broadcast
     hit = r.join(F.broadcast(want), (F.col("_c") == F.col("column")) & (in_lo | in_hi))
     both = hit.groupBy("column", "p").agg(
         F.max(F.when(in_lo, F.col("value"))).alias("v_lo"), F.max(F.when(in_hi, F.col("value"))).alias("v_hi"),

@@ -33,13 +33,15 @@ def test_row_index_independent_of_partitioning(spark):
     assert a == b
 
 
-def test_exact_quantiles_match_numpy(spark):
+@pytest.mark.parametrize("buckets", [1, 8, 64])
+def test_exact_quantiles_match_numpy(spark, buckets):
     rng = np.random.default_rng(3)
     x = np.round(rng.lognormal(8, 1, 1001), 2)
     x[:100] = x[0]  # a hot value
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
     freq = K.value_frequencies(df, ["x"], "double")
-    q = {r["p"]: r["q"] for r in K.exact_quantiles(freq, [0.1, 0.25, 0.5, 0.75, 0.9], buckets=8).collect()}
+    q = {r["p"]: r["q"] for r in K.exact_quantiles(freq, [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0], buckets=buckets).collect()}
+    assert len(q) == 7
     for p, v in q.items():
         assert abs(v - np.percentile(x, p * 100)) < 1e-9
 
