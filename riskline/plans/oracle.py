@@ -295,7 +295,8 @@ oracle("global_importance", WITH_DEC + """, e AS (SELECT unnest(attr_keys) AS fe
 SELECT feature, round(avg(abs(value)), 6) AS mean_abs FROM e GROUP BY feature""")
 
 _KPI = """count(*) AS total_applications, round(avg(CAST(approved AS DOUBLE)) * 100.0E0, 6) AS approval_rate_pct,
- round(avg(default_probability) * 100.0E0, 6) AS avg_default_pct, count_if(fraud_detected) AS fraud_flags"""
+ round(avg(default_probability) * 100.0E0, 6) AS avg_default_pct,
+ CAST(count_if(fraud_detected) AS BIGINT) AS fraud_flags"""
 oracle("kpis", WITH_DEC + f"SELECT {_KPI} FROM dec")
 oracle("kpis_by_area", WITH_DEC + f"""SELECT CAST("Property_Area" AS INTEGER) AS area, {_KPI} FROM dec GROUP BY 1""")
 
