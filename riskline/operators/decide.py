@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskline.functions import rules as R
@@ -61,35 +61,36 @@ def name_segments(centers: DataFrame, cluster: str = "cluster", income: str = "i
 
     Lowest credit centre → High Risk / Subprime; of the other two the strictly larger
     income centre → Premium (a tie gives Premium to the second by cluster id), the
-    other → Regular.  Runs on the k-row centre table only.
+    other → Regular.  Window aggregates over the k-row centre table only.
     """
+    w = Window.partitionBy(F.lit(1))  # the k centres
     c = centers.select(F.col(cluster).alias("cluster"), F.col(income).alias("inc"), F.col(credit).alias("cr"))
-    hr = c.agg(F.min_by("cluster", F.struct("cr", "cluster")).alias("hr"))
-    rest = c.crossJoin(F.broadcast(hr)).where(F.col("cluster") != F.col("hr"))
-    # rank the two remaining clusters by id; first = smaller id
-    pair = rest.agg(F.min("cluster").alias("a"), F.max("cluster").alias("b"),
-                    F.min_by("inc", "cluster").alias("inc_a"), F.max_by("inc", "cluster").alias("inc_b"))
+    c = c.withColumn("hr", F.min_by("cluster", F.struct("cr", "cluster")).over(w))
+    other = F.col("cluster") != F.col("hr")
+    c = (c.withColumn("a", F.min(F.when(other, F.col("cluster"))).over(w))
+          .withColumn("b", F.max(F.when(other, F.col("cluster"))).over(w)))
+    c = (c.withColumn("inc_a", F.max(F.when(F.col("cluster") == F.col("a"), F.col("inc"))).over(w))
+          .withColumn("inc_b", F.max(F.when(F.col("cluster") == F.col("b"), F.col("inc"))).over(w)))
     premium = F.when(F.col("inc_a") > F.col("inc_b"), F.col("a")).otherwise(F.col("b"))
-    names = c.crossJoin(F.broadcast(hr.crossJoin(pair).select("hr", premium.alias("premium"))))
-    return names.select(
+    return c.select(
         "cluster",
         F.when(F.col("cluster") == F.col("hr"), F.lit(R.SEGMENT_HIGH_RISK))
-         .when(F.col("cluster") == F.col("premium"), F.lit(R.SEGMENT_PREMIUM))
+         .when(F.col("cluster") == premium, F.lit(R.SEGMENT_PREMIUM))
          .otherwise(F.lit(R.SEGMENT_REGULAR)).alias("segment_name"))
 
 
 def area_centers(features: DataFrame, cols: Sequence[str] = ("TotalIncome", "LoanAmount", "Credit_History"),
                  cluster: str = "Property_Area") -> DataFrame:
     """Standardised (population std) centre per group: a fixed three-group segmentation
-    (by property area) used where a k-means model is not wanted.  Two aggregations,
-    both partial (map-side); the output has one row per group."""
+    (by property area) used where a k-means model is not wanted.  The means and stds
+    are fitted (one row) and applied as literals; the centres are one partial
+    aggregation with one output row per group."""
+    from riskline.operators.models import scale_with
+    from riskline.operators.ranking import one_row
     cols = list(cols)
-    stats = features.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
-                         *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
-    z = features.crossJoin(F.broadcast(stats)).select(
-        F.col(cluster).cast("int").alias("cluster"),
-        *[((F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") == 0, 1.0).otherwise(F.col(f"s_{c}"))).alias(c)
-          for c in cols])
-    return z.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in cols]).select(
+    stats = one_row(features.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
+                                 *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]))
+    z = scale_with(features.select(F.col(cluster).cast("int").alias("cluster"), *cols), cols, stats, suffix="_z")
+    return z.groupBy("cluster").agg(*[F.avg(f"{c}_z").alias(c) for c in cols]).select(
         "cluster", F.col(cols[0]).alias("income_center"), F.col(cols[1]).alias("amount_center"),
         F.col(cols[2]).alias("credit_center"))

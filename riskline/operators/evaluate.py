@@ -143,8 +143,11 @@ def score_table(df: DataFrame, label: str = "label", score: str = "probability",
     s = s.withColumn("_down", -F.col("score"))
     x = K.prefix_sums(s, ["_down"], ["pos", "neg"], by, buckets).drop("_down")
     tot = s.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    if not by:
+        t = K.one_row(tot)
+        return x.withColumn("P", F.lit(t.get("P") or 0).cast("long")).withColumn("N", F.lit(t.get("N") or 0).cast("long"))
     # one row per group (few models): broadcast
-    return x.join(F.broadcast(tot), by) if by else x.crossJoin(F.broadcast(tot))
+    return x.join(F.broadcast(tot), by)
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "probability",

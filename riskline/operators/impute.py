@@ -39,32 +39,25 @@ def mode_row(df: DataFrame, cols: Sequence[str], tie: str = "smallest",
 def fill_stats(df: DataFrame, mode_cols: Sequence[str] = (), median_cols: Sequence[str] = (),
                tie: str = "smallest", order_col: str | None = None, mode_fallback: str | None = None,
                median_fallback: float | None = None, approx: bool = False) -> DataFrame:
-    """I1 + I2 (+ I4) in one plan: the statistics of the frame itself, computed from
-    the unfilled rows, applied in a single projection.
-
-    Each statistics frame is one row by construction, so broadcasting it is safe.
+    """I1 + I2 (+ I4): the statistics of the frame itself, computed from the
+    unfilled rows (one job each), then applied as literals in a single projection.
     """
     mode_cols, median_cols = list(mode_cols), list(median_cols)
-    out = df
-    if mode_cols:
-        m = mode_row(df, mode_cols, tie, order_col)
-        out = out.crossJoin(F.broadcast(m.select(*[F.col(c).alias(f"__mode_{c}") for c in mode_cols])))
-    if median_cols:
-        md = median_row(df, median_cols, approx)
-        out = out.crossJoin(F.broadcast(md.select(*[F.col(c).alias(f"__med_{c}") for c in median_cols])))
+    modes = K.one_row(mode_row(df, mode_cols, tie, order_col)) if mode_cols else {}
+    medians = K.one_row(median_row(df, median_cols, approx)) if median_cols else {}
     types = dict(df.dtypes)
     fills = {}
     for c in mode_cols:
-        parts = [F.col(c), F.col(f"__mode_{c}").cast(types[c])]
+        parts = [F.col(c), F.lit(modes.get(c)).cast(types[c])]
         if mode_fallback is not None:
             parts.append(F.lit(mode_fallback).cast(types[c]))
         fills[c] = F.coalesce(*parts)
     for c in median_cols:
-        parts = [F.col(c).cast("double"), F.col(f"__med_{c}")]
+        parts = [F.col(c).cast("double"), F.lit(medians.get(c)).cast("double")]
         if median_fallback is not None:
             parts.append(F.lit(float(median_fallback)))
         fills[c] = F.coalesce(*parts)
-    return out.select(*[fills[c].alias(c) if c in fills else F.col(f"`{c}`") for c in df.columns])
+    return df.select(*[fills[c].alias(c) if c in fills else F.col(f"`{c}`") for c in df.columns])
 
 
 def fill_mode(df: DataFrame, cols: Sequence[str], tie: str = "smallest", order_col: str | None = None,
@@ -216,9 +209,9 @@ class CleanV2Model:
     def fit(cls, df: DataFrame, approx: bool = False) -> "CleanV2Model":
         base = df.withColumn("Dependents", E.dependents_to_number("Dependents", 0.0))
         # one row each, bounded by the number of columns
-        m = mode_row(base, V2_MODE_COLS).first()
-        md = median_row(base, V2_MEDIAN_COLS, approx).first()
-        return cls({c: m[c] for c in V2_MODE_COLS}, {c: md[c] for c in V2_MEDIAN_COLS})
+        m = K.one_row(mode_row(base, V2_MODE_COLS))
+        md = K.one_row(median_row(base, V2_MEDIAN_COLS, approx))
+        return cls({c: m.get(c) for c in V2_MODE_COLS}, {c: md.get(c) for c in V2_MEDIAN_COLS})
 
     def transform(self, df: DataFrame, key: str = "Loan_ID", label: str | None = "Loan_Status",
                   keep_inputs: bool = False, stats: "CleanV2Model | None" = None) -> DataFrame:

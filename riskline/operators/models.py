@@ -51,12 +51,12 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
     x = df.withColumn("_h", hash_rank(key, seed)).withColumn("_one", F.lit(1))
     ranked = K.prefix_sums(x, ["_h", key], ["_one"], [label], buckets, prefix="_r")
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nk"))
-    tot = counts.agg(F.sum("_nk").alias("_n"))
-    alloc = counts.crossJoin(tot).withColumn("_ntest", F.ceil(F.lit(test_fraction) * F.col("_n")))
+    # classes are few: windows over this one-row-per-class table are cheap
+    alloc = counts.withColumn("_n", F.sum("_nk").over(Window.partitionBy(F.lit(1))))
+    alloc = alloc.withColumn("_ntest", F.ceil(F.lit(test_fraction) * F.col("_n")))
     exact = F.col("_nk") * F.col("_ntest") / F.col("_n")
     alloc = alloc.withColumn("_base", F.floor(exact)).withColumn("_rem", exact - F.floor(exact))
-    # classes are few: this window runs on a table of one row per class
-    w = Window.orderBy(F.desc("_rem"), F.col(label))
+    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("_rem"), F.col(label))
     left = F.col("_ntest") - F.sum("_base").over(Window.partitionBy(F.lit(1)))
     alloc = alloc.withColumn("_k", (F.col("_base") + F.when(F.row_number().over(w) <= left, 1).otherwise(0))
                              .cast("long")).select(label, "_k")
@@ -75,15 +75,22 @@ def random_split(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int
 def standardize(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None,
                 suffix: str = "") -> DataFrame:
     """(x − mean) / population std, statistics from ``fit_on`` (default: df);
-    a zero std scales by 1.  One aggregation, applied by a broadcast one-row join."""
+    a zero std scales by 1.  One aggregation, applied as literals."""
     cols = list(cols)
     src = fit_on if fit_on is not None else df
-    stats = src.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    x = df.crossJoin(F.broadcast(stats))
+    st = K.one_row(src.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
+                           *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]))
+    return scale_with(df, cols, st, suffix)
+
+
+def scale_with(df: DataFrame, cols: Sequence[str], stats: dict, suffix: str = "") -> DataFrame:
+    """Apply fitted means ``m_<c>`` and population stds ``s_<c>`` as literals (std 0 → 1)."""
+    out = df
     for c in cols:
-        s = F.when(F.col(f"_s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{c}"))
-        x = x.withColumn(f"{c}{suffix}", (F.col(c) - F.col(f"_m_{c}")) / s)
-    return x.drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
+        m, s = stats.get(f"m_{c}"), stats.get(f"s_{c}")
+        s = 1.0 if not s else float(s)
+        out = out.withColumn(f"{c}{suffix}", (F.col(c) - F.lit(m).cast("double")) / F.lit(s))
+    return out
 
 
 def assemble(df: DataFrame, cols: Sequence[str] = FEATURES, out: str = "features",

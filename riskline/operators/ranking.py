@@ -27,6 +27,18 @@ DEFAULT_BUCKETS = 64
 MAX_BUCKETS = 1 << 14
 
 
+def one_row(df: DataFrame) -> dict:
+    """The single row of a statistics frame as a dict (``{}`` if empty).
+
+    Statistics are fitted, brought to the driver — one row, bounded by the number
+    of columns — and applied as literals (Spark ML's fit/transform pattern), so no
+    plan joins data to a statistics table.  More than one row is an error."""
+    rows = df.limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("expected at most one statistics row")
+    return rows[0].asDict() if rows else {}
+
+
 def _check_buckets(buckets: int) -> int:
     if not 1 <= buckets <= MAX_BUCKETS:
         raise ValueError(f"buckets must be in 1..{MAX_BUCKETS}")
@@ -48,8 +60,13 @@ def range_buckets(df: DataFrame, order_col: str, part_cols: Sequence[str] = (),
     probs = [i / buckets for i in range(1, buckets)]
     bounds = df.groupBy(*part_cols).agg(
         F.percentile_approx(F.col(order_col), probs, accuracy).alias("_bounds"))
-    x = df.join(F.broadcast(bounds), part_cols, "left") if part_cols else df.crossJoin(F.broadcast(bounds))
     v = F.col(order_col)
+    if not part_cols:
+        b = one_row(bounds).get("_bounds") or []
+        lit = F.array(*[F.lit(x) for x in b]) if b else F.array().cast(f"array<{df.schema[order_col].dataType.simpleString()}>")
+        return df.withColumn("_bucket", F.size(F.filter(lit, lambda x: x < v)))
+    # one row per part (parts are few by contract): broadcast
+    x = df.join(F.broadcast(bounds), part_cols, "left")
     return x.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < v))).drop("_bounds")
 
 

@@ -35,7 +35,7 @@ class TrainedModels:
     interest: object
     fraud: object
     segments: object
-    segment_stats: DataFrame           # one row: means and population stds of the segment inputs
+    segment_stats: dict                # means m_<c> and population stds s_<c> of the segment inputs
     segment_names: DataFrame           # k rows: cluster → name
     metrics: dict = field(default_factory=dict)
     params: dict = field(default_factory=dict)
@@ -83,8 +83,9 @@ def train(spark: SparkSession, feats: DataFrame, key: str = "Loan_ID", trees: in
     approval, default, interest, fraud = (fitted[n] for n in ("approval", "default", "interest", "fraud"))
 
     seg_in = data.select(key, *M.SEGMENT_INPUTS)
-    stats = seg_in.agg(*[F.avg(c).alias(f"m_{c}") for c in M.SEGMENT_INPUTS],
-                       *[F.stddev_pop(c).alias(f"s_{c}") for c in M.SEGMENT_INPUTS]).cache()
+    from riskline.operators.ranking import one_row
+    stats = one_row(seg_in.agg(*[F.avg(c).alias(f"m_{c}") for c in M.SEGMENT_INPUTS],
+                               *[F.stddev_pop(c).alias(f"s_{c}") for c in M.SEGMENT_INPUTS]))
     seg = _apply_segment_scaling(seg_in, stats).cache()
     segments = M.fit_segments(seg, k=k, seed=seed, n_init=n_init)
     seg_pred = segments.transform(seg)
@@ -105,13 +106,9 @@ def train(spark: SparkSession, feats: DataFrame, key: str = "Loan_ID", trees: in
                                  "fraud_contamination": contamination})
 
 
-def _apply_segment_scaling(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Standardise the segment inputs with the training statistics (one broadcast row)."""
-    x = df.crossJoin(F.broadcast(stats))
-    for c in M.SEGMENT_INPUTS:
-        s = F.when(F.col(f"s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"s_{c}"))
-        x = x.withColumn(f"{c}_z", (F.col(c) - F.col(f"m_{c}")) / s)
-    x = x.drop(*[f"m_{c}" for c in M.SEGMENT_INPUTS], *[f"s_{c}" for c in M.SEGMENT_INPUTS])
+def _apply_segment_scaling(df: DataFrame, stats: dict) -> DataFrame:
+    """Standardise the segment inputs with the training statistics (literals)."""
+    x = M.scale_with(df, M.SEGMENT_INPUTS, stats, suffix="_z")
     from pyspark.ml.feature import VectorAssembler
     return VectorAssembler(inputCols=[f"{c}_z" for c in M.SEGMENT_INPUTS], outputCol="seg_features").transform(x)
 
