@@ -66,9 +66,16 @@ def train(spark: SparkSession, feats: DataFrame, key: str = "Loan_ID", trees: in
     data = M.stratified_split(data, "Loan_Status_encoded", key, 0.2, seed).cache()
     tr, te = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
 
-    # four independent fits over the cached frame, submitted as concurrent Spark jobs
+    seg_in = data.select(key, *M.SEGMENT_INPUTS)
+    from riskline.operators.ranking import one_row
+    stats = one_row(seg_in.agg(*[F.avg(c).alias(f"m_{c}") for c in M.SEGMENT_INPUTS],
+                               *[F.stddev_pop(c).alias(f"s_{c}") for c in M.SEGMENT_INPUTS]))
+    seg = _apply_segment_scaling(seg_in, stats).cache()
+
+    # five independent fits over cached frames, submitted as concurrent Spark jobs
     from concurrent.futures import ThreadPoolExecutor
     jobs = {
+        "segments": lambda: M.fit_segments(seg, k=k, seed=seed, n_init=n_init),
         "approval": lambda: _named(M.fit_random_forest(tr, "Loan_Status_encoded", trees=trees, seed=forest_seed,
                                                        max_depth=max_depth), "approval"),
         "default": lambda: _named(M.fit_random_forest(tr, "Default", trees=trees, seed=forest_seed,
@@ -80,14 +87,8 @@ def train(spark: SparkSession, feats: DataFrame, key: str = "Loan_ID", trees: in
     with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
         futures = {name: pool.submit(fn) for name, fn in jobs.items()}
         fitted = {name: f.result() for name, f in futures.items()}
-    approval, default, interest, fraud = (fitted[n] for n in ("approval", "default", "interest", "fraud"))
-
-    seg_in = data.select(key, *M.SEGMENT_INPUTS)
-    from riskline.operators.ranking import one_row
-    stats = one_row(seg_in.agg(*[F.avg(c).alias(f"m_{c}") for c in M.SEGMENT_INPUTS],
-                               *[F.stddev_pop(c).alias(f"s_{c}") for c in M.SEGMENT_INPUTS]))
-    seg = _apply_segment_scaling(seg_in, stats).cache()
-    segments = M.fit_segments(seg, k=k, seed=seed, n_init=n_init)
+    approval, default, interest, fraud, segments = (
+        fitted[n] for n in ("approval", "default", "interest", "fraud", "segments"))
     seg_pred = segments.transform(seg)
     sil = M.silhouette(seg_pred)
     names = name_segments(M.centers_frame(spark, segments)).cache()
