@@ -170,24 +170,29 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "probability",
               by: Sequence[str] = ("model",), drop_intermediate: bool = False) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score (descending) plus the
     origin (threshold null, 0, 0); groups with one class are skipped.
-    ``drop_intermediate`` removes points collinear with their neighbours."""
+    ``drop_intermediate`` removes points collinear with their neighbours (as
+    scikit-learn's ``roc_curve`` does by default)."""
     by = list(by)
     t = score_table(df, label, score, by).where((F.col("P") > 0) & (F.col("N") > 0))
     pts = t.select(*by, F.col("score").alias("threshold"),
                    (F.col("cum_neg") / F.col("N")).alias("fpr"), (F.col("cum_pos") / F.col("P")).alias("tpr"))
     origin = t.select(*by).distinct().select(*by, F.lit(None).cast("double").alias("threshold"),
                                              F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    out = origin.unionByName(pts)
     if drop_intermediate:
-        from pyspark.sql import Window
-        w = Window.partitionBy(*by).orderBy(F.col("threshold").desc_nulls_first())
-        prev_f, next_f = F.lag("fpr").over(w), F.lead("fpr").over(w)
-        prev_t, next_t = F.lag("tpr").over(w), F.lead("tpr").over(w)
-        # second differences of both coordinates are zero on a straight run
-        straight = ((F.col("fpr") - prev_f) == (next_f - F.col("fpr"))) & \
-                   ((F.col("tpr") - prev_t) == (next_t - F.col("tpr")))
-        out = out.withColumn("_drop", F.coalesce(straight, F.lit(False))).where(~F.col("_drop")).drop("_drop")
-    return out
+        # sklearn's rule: a point whose incoming and outgoing steps are equal (pos and
+        # neg counts of its score equal those of the next lower score) lies on a
+        # straight run and is dropped; the first and last points are kept.  The next
+        # score is found by an equi-join on the distributed rank, not by a window.
+        ranked = K.prefix_sums(t.withColumn("_one", F.lit(1)).withColumn("_down", -F.col("score")),
+                               ["_down"], ["_one"], by, prefix="_r").drop("_one", "_down")
+        nxt = ranked.select(*by, (F.col("_r_one") - 1).alias("_r_one"), F.col("pos").alias("_npos"),
+                            F.col("neg").alias("_nneg"))
+        j = ranked.join(nxt, [*by, "_r_one"], "left")
+        keep = (F.col("_r_one") == 1) | F.col("_npos").isNull() | (F.col("pos") != F.col("_npos")) | \
+               (F.col("neg") != F.col("_nneg"))
+        pts = j.where(keep).select(*by, F.col("score").alias("threshold"),
+                                   (F.col("cum_neg") / F.col("N")).alias("fpr"), (F.col("cum_pos") / F.col("P")).alias("tpr"))
+    return origin.unionByName(pts)
 
 
 def class_count(df: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:

@@ -38,7 +38,29 @@ def test_auc_one_class_and_curve(spark):
            V.roc_curve(df2, "label", "p", by=()).orderBy(F.col("threshold").desc_nulls_first()).collect()]
     assert pts == [(None, 0.0, 0.0), (0.9, 0.0, 0.5), (0.8, 0.5, 0.5), (0.7, 0.5, 1.0), (0.1, 1.0, 1.0)]
     kept = V.roc_curve(df2, "label", "p", by=(), drop_intermediate=True).count()
-    assert kept <= 5
+    assert kept == 5  # no three collinear points here
+
+
+def _sklearn_rule(labels, scores):
+    """Reference behaviour of drop_intermediate, written out with NumPy."""
+    import numpy as np
+    order = np.argsort(-np.asarray(scores), kind="mergesort")
+    y, s = np.asarray(labels)[order], np.asarray(scores)[order]
+    idx = np.r_[np.where(np.diff(s))[0], y.size - 1]
+    tps, fps, thr = np.cumsum(y)[idx], (1 + idx) - np.cumsum(y)[idx], s[idx]
+    keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+    return sorted(float(t) for t in thr[keep])
+
+
+def test_roc_drop_intermediate_matches_rule(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(rnd.randint(0, 1), float(rnd.randint(0, 40))) for _ in range(300)]
+    rows += [(1, 100.0 + i) for i in range(6)] + [(0, -10.0 - i) for i in range(6)]  # straight runs
+    df = spark.createDataFrame(rows, "label int, p double")
+    got = sorted(r["threshold"] for r in V.roc_curve(df, "label", "p", by=(), drop_intermediate=True).collect()
+                 if r["threshold"] is not None)
+    assert got == _sklearn_rule([r[0] for r in rows], [r[1] for r in rows])
 
 
 def test_metrics_edge_cases(spark):
