@@ -577,9 +577,8 @@ def q_kpi_stream_windowed(spark, d):
     from riskline.streaming import windowed_kpi_stream
     out = _streamed(spark, d, "kpi-window-stream",
                     lambda sink, ck: windowed_kpi_stream(_stream_decisions(spark, d), "ts", sink, ck))
-    return finish(out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-                             F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("window_end"),
-                             "total_applications", "approval_rate_pct", "avg_default_pct", "fraud_flags"))
+    return finish(out.select("window_start", "window_end", "total_applications", "approval_rate_pct",
+                             "avg_default_pct", "fraud_flags"))
 
 
 @query("feature_importance")
