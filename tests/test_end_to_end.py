@@ -65,3 +65,16 @@ def test_same_result_with_one_and_many_partitions(spark):
     a = clean_v2(loans.repartition(1), interest_noise_sd=0.2).orderBy("Loan_ID").collect()
     b = clean_v2(loans.repartition(8), interest_noise_sd=0.2).orderBy("Loan_ID").collect()
     assert a == b
+
+
+def test_windowed_stream_ignores_session_time_zone(spark, duck):
+    """Windows align on the stored wall clock whatever the session time zone."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = entry.queries()["kpi_stream_windowed"](spark, SF_SMALL)
+        rows = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    res = duck.execute(entry.oracle_sql()["kpi_stream_windowed"])
+    assert _rows(df.columns, rows) == _rows([d[0] for d in res.description], res.fetchall())
