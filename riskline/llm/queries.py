@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskline.llm import hash_tree, langid, sentencepiece, token_counts, url_rules
+from riskline.llm import hash_tree, langid, sentencepiece, token_counts, url_rules, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,6 +53,35 @@ FROM u LEFT JOIN hit USING (n)
 """
 
 
+@query("op3_winnowing")
+def q_winnowing(spark, d):
+    found = winnow.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", winnow.covered_words("spans").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+ORACLE["op3_winnowing"] = r"""
+WITH lowered AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(10, len(w)) AS n FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS t
+       FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+lengths AS (SELECT DISTINCT n FROM sized),
+places AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS t
+       FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM lowered, lengths WHERE len(w) >= n)),
+hits AS (SELECT r, i, p.n, item_id FROM places p JOIN windows USING (n, t)),
+words AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT r, i, unnest(range(0, n)) AS k FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+       FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lowered LEFT JOIN words USING (r) LEFT JOIN named USING (r)
+"""
+
+
 @query("op4_token_counts")
 def q_token_counts(spark, d):
     return token_counts.count_tokens(table(spark, d, "documents"), tokenizer("byte_bpe_50k.json"))
