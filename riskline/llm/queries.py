@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskline.llm import hash_tree, langid, sentencepiece, token_counts, url_rules, winnow
+from riskline.llm import hash_tree, langid, sentencepiece, token_counts, url_rules, va_file, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -87,6 +87,22 @@ def q_token_counts(spark, d):
     return token_counts.count_tokens(table(spark, d, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+@query("op6_va_file_top_k")
+def q_top_k(spark, d):
+    return va_file.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op6_va_file_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+       FROM embeddings WHERE embedding IS NOT NULL
+       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(v.e AS DOUBLE[])) AS BIGINT) AS score
+       FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
+"""
+
+
 @query("op7_hash_tree_shards")
 def q_shards(spark, d):
     topology = hash_tree.regular_topology(4, 5, 2)
