@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskline.session import scratch_path, ship_package
 
@@ -53,3 +54,43 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES):
         held += n
     if begin < batch.num_rows:
         yield batch.slice(begin)
+
+
+class BitTable:
+    """A bit for the leading bits of every 64-bit hash in a set: what lacks its bit is not in the set.
+
+    The table has about 16 bits a member between 2**16 and 2**26 in all (8 MB), so it may go to every task
+    whatever the set's size; a fuller table lets more through to the join that decides."""
+
+    LEAST, MOST = 16, 26
+
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
+
+    @classmethod
+    def of(cls, hashes: DataFrame, column: str) -> "BitTable":
+        bits = min(cls.MOST, max(cls.LEAST, (16 * max(1, hashes.count())).bit_length()))
+        bit = F.shiftrightunsigned(column, 64 - bits)
+        rows = hashes.select(F.shiftrightunsigned(bit, 6).alias("word"), bit.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy(
+            "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("set")).collect()  # 2**MOST / 64 rows at most
+        words = np.zeros(1 << (bits - 6), np.int64)
+        for r in rows:
+            words[r["word"]] = r["set"]
+        return cls(bits, words.view(np.uint64))
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        bit = hashes >> np.uint64(64 - self.bits)
+        return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)) == 1
+
+
+def having(df: DataFrame, hash_column: str, table: BitTable) -> DataFrame:
+    """The rows whose hash may be in the table's set; only the hashes go to Python."""
+    from pyspark.sql.pandas.functions import arrow_udf
+
+    sent = df.sparkSession.sparkContext.broadcast(table)
+
+    @arrow_udf("boolean")
+    def passes(hashes: pa.Array) -> pa.Array:
+        return pa.array(sent.value.holds(hashes.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return df.where(passes(F.col(hash_column)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskline.llm import hash_tree, langid, sentencepiece, token_counts, url_rules, va_file, winnow
+from riskline.llm import chosen_path, hash_tree, importance, langid, sentencepiece, token_counts, url_rules, va_file, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +33,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_importance_resampling")
+def q_importance(spark, d):
+    return importance.resample(table(spark, d, "documents"), table(spark, d, "labels"),
+                               (F.col("quality") == 1) & (F.col("toxic") == 0), share=0.85)
+
+
 @query("op2_url_rules")
 def q_url_rules(spark, d):
     return url_rules.judge_urls(table(spark, d, "pages"), url_rules.rules_table(spark, URL_RULES))
@@ -109,6 +115,27 @@ def q_shards(spark, d):
     return hash_tree.assign_shards(table(spark, d, "documents"), topology, hash_tree.with_new_region(topology))
 
 
+@query("op8_chosen_path")
+def q_near_duplicates(spark, d):
+    return chosen_path.near_duplicates(table(spark, d, "documents")).drop("row")
+
+
+ORACLE["op8_chosen_path"] = r"""
+WITH RECURSIVE lowered AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM lowered WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+sides AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM lowered UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT l.doc_id, coalesce(n, 0) AS n_shingles, component_id, l.doc_id = component_id AS kept
+FROM lowered l JOIN least ON least.a = l.doc_id LEFT JOIN sizes USING (doc_id)
+"""
+
+
 @query("op9_language_id")
 def q_language_id(spark, d):
     docs = table(spark, d, "documents")

@@ -18,13 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskline.llm.common import prepare, slices, staged, text_buffer
+from riskline.llm.common import BitTable, prepare, slices, staged, text_buffer
 from riskline.llm.words import ALNUM, gram_hashes, mix, word_hashes
 
 WINDOW = 10
 GRAM = 5
-#: Bits of the table of benchmark fingerprints, as powers of two: at least 16 a fingerprint, within these.
-LEAST_BITS, MOST_BITS = 16, 26
 _AROUND = WINDOW - GRAM
 
 _HIT = "struct<gram: bigint, at: int, words: int, near: array<bigint>>"
@@ -84,16 +82,13 @@ def fingerprints(words: np.ndarray, first: np.ndarray, short: list[int], passes,
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hits)
 
 
-def _fingerprinted(rows: DataFrame, short: list[int] | None, bits: int, table, missing: int, n_words: str) -> DataFrame:
+def _fingerprinted(rows: DataFrame, short: list[int] | None, table, missing: int, n_words: str) -> DataFrame:
     """``rows`` (id, key, text) as (id, key, ``n_words``, sequence, hits); ``short`` None: an item's own length if short."""
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         def passes(grams: np.ndarray) -> np.ndarray:
-            if table is None:
-                return np.ones(len(grams), bool)
-            bit = grams >> np.uint64(64 - bits)
-            return (table.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)) == 1
+            return np.ones(len(grams), bool) if table is None else table.value.holds(grams)
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -123,19 +118,6 @@ def _item_hits(words, first, n, passes, missing) -> pa.Array:
     return pa.array(out, pa.list_(_HIT_TYPE))
 
 
-def _bit_table(grams: DataFrame) -> tuple[int, np.ndarray]:
-    """(bits, words) of the table that has a bit for each gram's leading bits."""
-    n = grams.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * max(1, n)).bit_length()))
-    bit = F.shiftrightunsigned("gram", 64 - bits)
-    rows = grams.select(F.shiftrightunsigned(bit, 6).alias("word"), bit.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy(
-        "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("set")).collect()  # 2**MOST_BITS / 64 rows at most
-    table = np.zeros(1 << (bits - 6), np.int64)
-    for r in rows:
-        table[r["word"]] = r["set"]
-    return bits, table.view(np.uint64)
-
-
 def _row_key(id_: Column, text: Column) -> Column:
     return F.xxhash64(id_.cast("string"), text)
 
@@ -154,15 +136,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     prepare(spark)
     item_rows = benchmark.select(F.col(f"`{item_col}`").alias("id"), F.lit(0).cast("long").alias("key"),
                                  F.col(f"`{item_text_col}`").alias("text"))
-    items = staged(_fingerprinted(item_rows, None, 0, None, 1, "n"), "items").where("n > 0")
+    items = staged(_fingerprinted(item_rows, None, None, 1, "n"), "items").where("n > 0")
     grams = items.select("sequence", "n", F.explode("hits").alias("h")).select("sequence", "n", "h.*").drop("at").distinct()
     names = items.groupBy("sequence", "n").agg(F.collect_set(F.col("id").cast("string")).alias("names"))
     short = sorted(r["n"] for r in items.where(f"n < {WINDOW}").select("n").distinct().collect())
-    bits, table = _bit_table(grams.select("gram").distinct())
+    table = BitTable.of(grams.select("gram").distinct(), "gram")
     id_ = F.col(f"`{id_col}`")
     text = F.col(f"`{text_col}`")
     rows = docs.select(id_.alias("id"), _row_key(id_, text).alias("key"), text.alias("text"))
-    found = staged(_fingerprinted(rows, short, bits, spark.sparkContext.broadcast(table), 0, "n_words"), "fingerprints")
+    found = staged(_fingerprinted(rows, short, spark.sparkContext.broadcast(table), 0, "n_words"), "fingerprints")
     hits = found.where(F.size("hits") > 0).select(
         "key", F.col("id").cast("string").alias("name"), F.explode("hits").alias("d")).select("key", "name", "d.*")
     both = hits.alias("d").join(grams.alias("g"), (F.col("d.gram") == F.col("g.gram")) & (F.col("d.words") == F.col("g.words")))
