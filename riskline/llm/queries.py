@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskline.llm import chosen_path, hash_tree, importance, langid, sentencepiece, token_counts, url_rules, va_file, winnow
+from riskline.llm import chosen_path, hash_tree, importance, langid, line_dedup, sentencepiece, token_counts, url_rules, va_file, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -93,6 +93,13 @@ def q_token_counts(spark, d):
     return token_counts.count_tokens(table(spark, d, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+@query("op5_line_dedup")
+def q_line_dedup(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    out = line_dedup.dedup_lines(docs, dropped_col="dropped_lines")
+    return out.withColumn("n_dropped", F.size("dropped_lines"))
+
+
 @query("op6_va_file_top_k")
 def q_top_k(spark, d):
     return va_file.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0)
