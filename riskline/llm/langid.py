@@ -209,102 +209,6 @@ def _expected(rows: DataFrame, path: str, languages: list[str], p: np.ndarray) -
         F.sum("uses").alias("uses"))
 
 
-def predict(self, texts: list[str | None], most: int = 1 << 20) -> tuple[list[str], np.ndarray]:
-        """The best language of each text (of equal ones the first in order) and its share of the likelihood."""
-        languages: list[str] = []
-        scores = np.zeros(len(texts))
-        begin = 0
-        while begin < len(texts):
-            end, held = begin, 0
-            while end < len(texts) and (end == begin or held < most):
-                held += len(texts[end] or "")
-                end += 1
-            words = [words_of(t) for t in texts[begin:end]]
-            if len(self.known) > REMEMBERED:
-                self.known, self.table = {}, self.table[:0]
-            known = self.known
-            self._learn(list({w for ws in words for w in ws if w not in known}))
-            for i, ws in enumerate(words):
-                if not ws or not self.model.languages:
-                    languages.append(UNDETERMINED)
-                    continue
-                total = self.table[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
-                best = int(total.argmax())
-                languages.append(self.model.languages[best])
-                scores[begin + i] = 1.0 / np.exp(total - total[best]).sum()
-            begin = end
-        return languages, scores
-
-
-def fit(docs: DataFrame, path: str, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id",
-        texts: int = FIT_TEXTS, rounds: int = ROUNDS) -> LanguageModel:
-    """A model of the non-null values of ``lang_col``, fitted on about ``texts`` rows of each (all, if fewer;
-    a hash of id and text chooses). Rows without letters add nothing; a table without labels gives a model
-    without languages, under which every text is undetermined."""
-    spark = docs.sparkSession
-    prepare(spark)
-    rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"),
-                       F.col(f"`{id_col}`").cast("string").alias("id")).where("lang is not null")
-    counts = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = [r["lang"] for r in counts]
-    v = vocabulary(path)
-    pieces = len(v.ids)
-    p = np.repeat(prior(v)[:, None], max(1, len(languages)), axis=1)
-    if not languages:
-        return LanguageModel(path, [], p[:, :0])
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, texts / r["count"])))])
-    draw = F.pmod(F.xxhash64("id", "text", F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text")
-    for _ in range(rounds):
-        uses = np.zeros((len(languages), pieces))
-        sums = _expected(chosen, path, languages, p).toArrow()  # a row a language and piece at most
-        uses[sums["language"].to_numpy(), sums["piece"].to_numpy()] = sums["uses"].to_numpy()
-        uses += SMOOTHING
-        p = (uses / uses.sum(axis=1, keepdims=True)).T.copy()
-    return LanguageModel(path, languages, p)
-
-
-def _expected(rows: DataFrame, path: str, languages: list[str], p: np.ndarray) -> DataFrame:
-    """(language, piece, uses): expected uses of the pieces by language."""
-    model = rows.sparkSession.sparkContext.broadcast(np.vstack([p, np.zeros(p.shape[1])]))
-    place = {name: k for k, name in enumerate(languages)}
-
-    def run(batches):
-        v = vocabulary(path)
-        p = model.value
-        uses = np.zeros((len(place), len(v.ids)))
-        for batch in batches:
-            found: dict[str, int] = {}
-            ids, langs = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ws = words_of(text)
-                ids += [found.setdefault(w, len(found)) for w in ws]
-                langs += [place[lang]] * len(ws)
-            weight = np.zeros((len(found), len(place)))
-            np.add.at(weight, (np.array(ids, np.int64), np.array(langs, np.int64)), 1.0)
-            words = list(found)
-            for run_ in by_length(words):
-                expected_uses(Lattice(v, [words[i] for i in run_]), p, weight[run_], uses)
-        k, piece = np.nonzero(uses)
-        for begin in range(0, len(k), 10_000):
-            part = slice(begin, begin + 10_000)
-            yield pa.RecordBatch.from_arrays([pa.array(k[part], pa.int32()), pa.array(piece[part], pa.int32()),
-                                              pa.array(uses[k[part], piece[part]])], ["language", "piece", "uses"])
-
-    sums = rows.mapInArrow(run, "language int, piece int, uses double").groupBy("language", "piece").agg(
-        F.sum("uses").alias("uses"))
-    size = p.shape[0]
-
-    def pack(key, table):
-        out = np.zeros(size)
-        out[table["piece"].to_numpy()] = table["uses"].to_numpy()
-        return pa.table({"language": pa.array([key[0].as_py()], pa.int32()), "uses": pa.array([out.tobytes()])})
-
-    return sums.groupBy("language").applyInArrow(pack, "language int, uses binary")
-
-
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (both replaced if there): one scan, no shuffle, every row kept.
 
