@@ -7,15 +7,17 @@ the classes by tokens: a root deals them out by one coordinate's token, and a no
 that a class that shares its path shares its choices. Two sets of similarity s agree on a coordinate
 with probability s; ``TREES`` independent roots bring the recall at the threshold to the target.
 
-In every node each class is first compared with the node's centre (the class with the most company over
-all nodes), which links most copies without comparing all pairs. Nodes whose classes are by then in one
-component are done; small ones are compared exhaustively across components, large ones are branched, and
-what is still large at the deepest level is compared in pairs of blocks. Comparisons pass a filter on
+In every root's node each class is first compared with the node's centre (the class with the most company
+over all nodes), which links most copies without comparing all pairs. Nodes whose classes are by then in
+one component are done; large ones are branched, small ones compared exhaustively across components, and
+what is still large at the deepest level is compared with its centres and then in pairs of blocks. Comparisons pass a filter on
 sizes and on agreeing coordinates and are then confirmed on the full sets, computed from the texts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,7 +33,7 @@ SIMILARITY = 75
 COORDINATES = 32
 #: Roots: at the threshold a pair stays apart in all of them with probability 0.25 ** TREES, one in a million.
 TREES = 10
-LEAF = 64
+LEAF = 1024
 DEPTH = 8
 #: Agreeing coordinates that a pair needs to be confirmed; 0.75 leaves fewer once in 250,000 times.
 AGREEING = 12
@@ -230,19 +232,24 @@ class _Join:
 
     def run(self) -> None:
         roots = self.classes.select("v", F.posexplode(F.slice("tokens", 1, TREES)).alias("k", "token"))
-        nodes = roots.select(F.xxhash64("k", "token").alias("node"), "v")
-        leaves = None
-        for depth in range(1, DEPTH + 1):
-            nodes = self.open_nodes(nodes)
+        nodes = self.open_nodes(roots.select(F.xxhash64("k", "token").alias("node"), "v"))
+        if nodes.isEmpty():
+            return
+        self.confirm(self.filtered(self.with_centres(nodes)))
+        nodes = self.open_nodes(nodes.select("node", "v"))
+        leaves = []
+        for depth in range(2, DEPTH + 1):
+            leaves.append(nodes.where(F.col("size") <= LEAF).select("node", "v"))
+            nodes = nodes.where(F.col("size") > LEAF)
             if nodes.isEmpty():
                 break
-            self.confirm(self.filtered(self.with_centres(nodes)))
-            nodes = self.open_nodes(nodes.select("node", "v"))
-            small = nodes if depth == DEPTH else nodes.where(F.col("size") <= LEAF)
-            leaves = small.select("node", "v") if leaves is None else leaves.unionByName(small.select("node", "v"))
-            nodes = self.branch(nodes.where(F.col("size") > LEAF), depth)
-        if leaves is not None:
-            self.confirm(self.within(self.open_nodes(leaves)))
+            nodes = self.open_nodes(self.branch(nodes, depth))
+        else:
+            leaves.append(nodes.select("node", "v"))
+            large = nodes.where(F.col("size") > LEAF)
+            if not large.isEmpty():
+                self.confirm(self.filtered(self.with_centres(large)))
+        self.confirm(self.within(self.open_nodes(reduce(DataFrame.unionByName, leaves))))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id",

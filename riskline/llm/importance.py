@@ -110,7 +110,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = 0, id_col: str = "doc
             for part in slices(batch, "text"):
                 buckets, text = features(*text_buffer(part.column(2)), len(ratios))
                 n = part.num_rows
-                weight = np.bincount(text, ratios[buckets], n)
+                weight = np.bincount(text, ratios[buckets], n).astype(float)
                 bits = part.column(1).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(11)
                 key = weight - np.log(-np.log((bits + 0.5) / 2.0**53))
                 yield pa.RecordBatch.from_arrays(

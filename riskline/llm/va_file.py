@@ -199,7 +199,7 @@ def _search(file: DataFrame, geometry: Approximation, width: int, ids: np.ndarra
                 bound = queries[part] @ corners.T + most[part, None]
                 bound[ids[part][:, None] == row_ids[None, :]] = -np.inf
                 for q in np.flatnonzero((bound >= floor[part, None]).any(axis=1)):
-                    left = np.flatnonzero(bound[q] >= floor[a + q])
+                    left = np.flatnonzero((bound[q] >= floor[a + q]) & np.isfinite(bound[q]))
                     left = left[np.argsort(-bound[q, left], kind="stable")]
                     best = heaps[a + q]
                     for step in range(0, len(left), STEP):
