@@ -70,6 +70,11 @@ def encode_default(c: str | Column, mapping: Mapping[str, int], default: int) ->
     return F.coalesce(_lookup(_col(c), mapping), F.lit(default))
 
 
+def strip(c: Column) -> Column:
+    """White space of any kind taken off both ends (``str.strip``)."""
+    return F.regexp_replace(c, r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$", "")
+
+
 # A text Python's float() accepts (underscores between digits, nan/inf words).
 _NUMERIC_RE = (r"^[+-]?((\d(_?\d)*)(\.(\d(_?\d)*)?)?|\.\d(_?\d)*)([eE][+-]?\d(_?\d)*)?$"
                r"|^[+-]?(nan|inf|infinity)$")
@@ -78,7 +83,7 @@ _NUMERIC_RE = (r"^[+-]?((\d(_?\d)*)(\.(\d(_?\d)*)?)?|\.\d(_?\d)*)([eE][+-]?\d(_?
 def to_numeric(c: str | Column) -> Column:
     """Text → double, unparseable → null (Python rules: ``1_0`` is 10, ``1d`` is not a number)."""
     c = _col(c)
-    s = F.trim(c.cast("string"))
+    s = strip(c.cast("string"))
     ok = F.lower(s).rlike(_NUMERIC_RE)
     return F.when(ok, F.regexp_replace(s, "_", "").try_cast("double"))
 
@@ -96,7 +101,7 @@ def dependents_to_number(c: str | Column, default: float | None = 0.0,
 def dependents_to_int(c: str | Column, default: int = 0, plus_forms: tuple[str, ...] = ("3+",)) -> Column:
     """P5 (request form): ``3+`` → 3, else Python ``int()`` of the text, else ``default``."""
     c = _col(c)
-    s = F.trim(c.cast("string"))
+    s = strip(c.cast("string"))
     as_int = F.when(s.rlike(r"^[+-]?\d(_?\d)*$"), F.regexp_replace(s, "_", "").try_cast("int"))
     return F.when(c.isin(*plus_forms), F.lit(3)).otherwise(F.coalesce(as_int, F.lit(default)))
 
@@ -104,14 +109,14 @@ def dependents_to_int(c: str | Column, default: int = 0, plus_forms: tuple[str,
 def normalize_binary(c: str | Column, mode: str = "zero") -> Column:
     """One normaliser for predictions and truth labels.
 
-    ``upper(trim(text))``: Y/YES/T/TRUE → 1, N/NO/F/FALSE → 0, a number ≥ 0.5 → 1 else 0.
+    ``upper(strip(text))``: Y/YES/T/TRUE → 1, N/NO/F/FALSE → 0, a number ≥ 0.5 → 1 else 0.
 
     * ``null``  – null or unparseable → null
     * ``zero``  – null or unparseable → 0
     * ``truth`` – 1 only for Y, 1, YES, TRUE; everything else 0
     """
     c = _col(c)
-    s = F.upper(F.trim(c.cast("string")))
+    s = F.upper(strip(c.cast("string")))
     if mode == "truth":
         return F.when(s.isin(*TRUTH_TOKENS), F.lit(1)).otherwise(F.lit(0))
     num = to_numeric(s)

@@ -102,6 +102,20 @@ def approved(model_prediction, fraud="fraud_detected", score="risk_score") -> Co
     return _true(_col(model_prediction) == 1) & ~_true(_col(fraud)) & _true(_col(score) < 65.0)
 
 
+def round_one_decimal(x) -> Column:
+    """A double rounded to one decimal by its exact binary value, ties to even (Python's ``round(x, 1)``).
+
+    10x = 8x + 2x, both exact; the rounding error of the sum (two-sum) tells which side of a
+    tie the exact product lies on."""
+    eight, two = _col(x) * F.lit(8.0), _col(x) * F.lit(2.0)
+    s = eight + two
+    b = s - eight
+    error = (eight - (s - b)) + (two - b)
+    tie = (s - F.floor(s)) == 0.5
+    up, down = F.ceil(s).cast("double"), F.floor(s).cast("double")
+    return F.when(tie & (error > 0), up).when(tie & (error < 0), down).otherwise(F.rint(s)) / F.lit(10.0)
+
+
 # --- R5 -----------------------------------------------------------------------
 def recommended_loan(applicant="ApplicantIncome", coapplicant="CoapplicantIncome",
                      term="Loan_Amount_Term", credit="Credit_History", dependents="Dependents",
@@ -109,15 +123,15 @@ def recommended_loan(applicant="ApplicantIncome", coapplicant="CoapplicantIncome
     """Safe amount (thousands): income/periods · ratio · term / 1000, one decimal.
 
     ratio = 0.40 on good credit else 0.15, minus min(0.05·dependents, 0.15), at least 0.10.
-    ``dependents`` is the raw text (``3+`` → 3, unparseable → 0).
+    ``dependents`` names the raw text (``3+`` → 3, unparseable → 0) or is a number column.
     """
     total = _col(applicant) + _col(coapplicant)
     monthly = total / F.lit(float(income_periods))
     ratio = F.when(_true(_col(credit) == 1.0), F.lit(0.40)).otherwise(F.lit(0.15))
-    deps = dependents_to_int(dependents, 0)
+    deps = dependents_to_int(dependents, 0) if isinstance(dependents, str) else dependents
     ratio = ratio - F.least(F.lit(0.05) * deps, F.lit(0.15))
     ratio = F.greatest(F.lit(0.10), ratio)
-    return F.bround((monthly * ratio * _col(term)) / F.lit(1000.0), 1)
+    return round_one_decimal((monthly * ratio * _col(term)) / F.lit(1000.0))
 
 
 # --- R6 -----------------------------------------------------------------------
@@ -127,7 +141,7 @@ def interest_rate(predicted, level="risk_level") -> Column:
     adj = (F.when(lv == RISK_LOW, F.least(p, F.lit(9.0)))
             .when(lv == RISK_MEDIUM, F.greatest(p, F.lit(9.0)))
             .otherwise(F.greatest(p, F.lit(14.0))))
-    return F.bround(clip(adj, 6.5, 18.0), 2)
+    return F.rint(clip(adj, 6.5, 18.0) * F.lit(100.0)) / F.lit(100.0)  # NumPy: scale, nearest even, unscale
 
 
 # --- R7 -----------------------------------------------------------------------

@@ -21,12 +21,7 @@ def _col(c):
 
 def recommended_loan_numeric(dependents: str = "Dependents") -> Column:
     """R5 over features where Dependents is already a number."""
-    total = F.col("ApplicantIncome") + F.col("CoapplicantIncome")
-    monthly = total / F.lit(12.0)
-    ratio = F.when(F.coalesce(F.col("Credit_History") == 1.0, F.lit(False)), F.lit(0.40)).otherwise(F.lit(0.15))
-    deps = F.coalesce(F.floor(F.col(dependents)).cast("int"), F.lit(0))
-    ratio = F.greatest(F.lit(0.10), ratio - F.least(F.lit(0.05) * deps, F.lit(0.15)))
-    return F.bround((monthly * ratio * F.col("Loan_Amount_Term")) / F.lit(1000.0), 1)
+    return R.recommended_loan(dependents=F.coalesce(F.floor(F.col(dependents)).cast("int"), F.lit(0)))
 
 
 def decide(df: DataFrame, default_probability, raw_anomaly, approval_prediction, predicted_interest,

@@ -20,9 +20,9 @@ from riskline.operators import ranking as K
 # Column names the reference looks for, in its order.
 PREDICTION_CANDIDATES = ("Loan_Status_Predicted", "NB_Predicted", "DT_Predicted", "Logistic_Predicted",
                          "RF_Predicted", "Loan_Status", "Prediction", "pred", "Predicted")
-# The second tool's list (truth column first is excluded there).
-PREDICTION_CANDIDATES_REPORT = ("Loan_Status_Predicted", "Predicted", "Prediction", "pred",
-                                "NB_Predicted", "DT_Predicted", "Logistic_Predicted", "RF_Predicted")
+# The report's list of the same, in its order.
+PREDICTION_CANDIDATES_REPORT = ("Loan_Status_Predicted", "NB_Predicted", "DT_Predicted", "Logistic_Predicted",
+                                "RF_Predicted", "Prediction", "pred", "Loan_Status")
 PROBABILITY_WORDS = ("prob", "proba", "score", "confidence")
 BOOLEAN_TOKENS = ("Y", "N", "YES", "NO", "TRUE", "FALSE", "1", "0", "1.0", "0.0", "T", "F")
 NOT_APPLICABLE = "MAE / MSE / RMSE not applicable to classification"
@@ -41,10 +41,14 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 def align_by_key(truth: DataFrame, preds: DataFrame, key: str, pred_col: str,
                  prob_col: str | None = None, mode: str = "zero") -> DataFrame:
     """Every truth row with its model's prediction (normalised, missing → 0)
-    and probability (missing → 0).  A left equi-join: the planner broadcasts a
-    small side by statistics, otherwise sort-merges on the key."""
-    cols = [key, pred_col] + ([prob_col] if prob_col else [])
-    j = truth.join(preds.select(*cols), key, "left")
+    and probability (missing → 0).  A key predicted more than once counts once, with
+    its smallest prediction (then smallest probability; nulls last), so no truth row
+    is multiplied.  The predictions are reduced on the join's own key: no further
+    shuffle; the planner broadcasts a small side by statistics."""
+    cols = [pred_col] + ([prob_col] if prob_col else [])
+    order = F.struct(*[x for c in cols for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c).alias(c))])
+    one = preds.groupBy(key).agg(F.min(order).alias("_p")).select(key, *[F.col(f"_p.{c}").alias(c) for c in cols])
+    j = truth.join(one, key, "left")
     out = j.withColumn("prediction", F.coalesce(normalize_binary(pred_col, mode), F.lit(0))).drop(pred_col)
     if prob_col:
         out = out.withColumn("probability", F.coalesce(F.col(prob_col).cast("double"), F.lit(0.0))).drop(prob_col)
@@ -89,7 +93,8 @@ def compare_predictions(truth: DataFrame, long: DataFrame, key: str, truth_col:
                      normalize_binary(truth_col, "truth").alias("v"))
     p = long.select(key, "model", F.coalesce(normalize_binary("prediction", mode), F.lit(0)).alias("v"))
     names = list(models) + [actual]
-    wide = t.unionByName(p).groupBy(key).pivot("model", names).agg(F.first("v"))
+    # the smallest of repeated values: a repeated key gives one row whatever the task order
+    wide = t.unionByName(p).groupBy(key).pivot("model", names).agg(F.min("v"))
     return wide.where(F.col(f"`{actual}`").isNotNull()).select(
         key, *[F.coalesce(F.col(f"`{m}`"), F.lit(0)).alias(f"{m}_pred") for m in models],
         F.col(f"`{actual}`").alias("Actual_bin"))
@@ -134,20 +139,24 @@ def metrics_summary(df: DataFrame, label: str = "label", pred: str = "prediction
 
 # --- A11 / A12 / A16 ------------------------------------------------------------
 def score_table(df: DataFrame, label: str = "label", score: str = "probability",
-                by: Sequence[str] = ("model",), buckets: int = K.DEFAULT_BUCKETS) -> DataFrame:
+                by: Sequence[str] = ("model",), buckets: int | None = None) -> DataFrame:
     """Distinct scores per group, descending, with running positives/negatives
-    (cum_pos, cum_neg count rows scoring ≥ the score) and group totals."""
+    (cum_pos, cum_neg count rows scoring ≥ the score) and group totals.  A missing
+    score counts as 0; a group without any score (a model that gives no
+    probability) has no rows."""
     by = list(by)
-    s = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("score")).agg(
-        F.count_if(_col(label) == 1).alias("pos"), F.count_if(_col(label) == 0).alias("neg"))
-    s = s.withColumn("_down", -F.col("score"))
+    s = df.groupBy(*by, F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("score")).agg(
+        F.count_if(_col(label) == 1).alias("pos"), F.count_if(_col(label) == 0).alias("neg"),
+        F.count(F.col(score)).alias("_scored"))
+    tot = s.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum("_scored").alias("_scored")).where(
+        "_scored > 0").drop("_scored")
+    s = s.drop("_scored").withColumn("_down", -F.col("score"))
     x = K.prefix_sums(s, ["_down"], ["pos", "neg"], by, buckets).drop("_down")
-    tot = s.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if not by:
         t = K.one_row(tot)
+        x = x.where(F.lit(bool(t)))
         return x.withColumn("P", F.lit(t.get("P") or 0).cast("long")).withColumn("N", F.lit(t.get("N") or 0).cast("long"))
-    # one row per group (few models): broadcast
-    return x.join(F.broadcast(tot), by)
+    return x.join(K.broadcast_if_small(tot), by)
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "probability",
@@ -208,22 +217,19 @@ def rmse(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFr
 
 
 # --- A14 / A15 -------------------------------------------------------------------
-def detect_prediction_column(df: DataFrame, candidates: Sequence[str] = PREDICTION_CANDIDATES,
-                             sample_rows: int | None = None) -> str | None:
+def detect_prediction_column(df: DataFrame, candidates: Sequence[str] = PREDICTION_CANDIDATES) -> str | None:
     """The first known name present; else the first column whose non-null
-    values are all boolean-like tokens.  All columns are tested in one aggregation
-    (optionally over the first ``sample_rows`` rows); only one boolean per column
-    reaches the driver."""
+    values are all boolean-like tokens.  All columns and rows are tested in one
+    aggregation; only one boolean per column reaches the driver."""
     for c in candidates:
         if c in df.columns:
             return c
-    src = df.limit(sample_rows) if sample_rows else df
     checks = []
     for c in df.columns:
         s = F.upper(F.trim(F.col(f"`{c}`").cast("string")))
         checks.append(F.struct(F.bool_and(F.when(s.isNotNull(), s.isin(*BOOLEAN_TOKENS))).alias("ok"),
                                F.count(s).alias("n")).alias(c))
-    row = src.agg(*checks).first()
+    row = df.agg(*checks).first()
     for c in df.columns:
         ok, n = row[c]["ok"], row[c]["n"]
         if n and ok:
@@ -259,7 +265,7 @@ def model_report(long: DataFrame, label: str = "label", pred: str = "prediction"
     count differs from ``expected_rows`` gets an error text instead of numbers."""
     by = list(by)
     m = classification_metrics(long, label, pred, by)
-    a = roc_auc(long.where(F.col(score).isNotNull()), label, score, by)
+    a = roc_auc(long, label, score, by)
     n = long.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
     out = m.join(a, by, "left").join(n, by)
     err = F.lit(None).cast("string")

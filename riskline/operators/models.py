@@ -39,7 +39,7 @@ def hash_rank(key: str | Column, seed: int) -> Column:
 
 # --- T1 / T2 ---------------------------------------------------------------------
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.2, seed: int = 42,
-                     buckets: int = K.DEFAULT_BUCKETS) -> DataFrame:
+                     buckets: int | None = None) -> DataFrame:
     """Add ``split`` ('train'/'test') with exact per-class test counts.
 
     n_test = ceil(fraction · n); each class gets floor(n_k · n_test / n) and the
@@ -130,9 +130,9 @@ def fit_decision_tree(train: DataFrame, label: str, features: str = "features",
 
 
 def fit_random_forest(train: DataFrame, label: str, features: str = "features", trees: int = 100,
-                      seed: int = 22, max_depth: int = 12, max_bins: int = 64):
+                      seed: int = 22, max_depth: int = 30, max_bins: int = 64):
     """100-tree forest, √p features per split.  The reference grows trees
-    to full depth; Spark stops at 30, and 12 (default here) bounds memory per tree."""
+    to full depth; Spark stops at 30, the default."""
     return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=max_depth,
                                   maxBins=max_bins, featureSubsetStrategy="sqrt", seed=seed).fit(train)
 
@@ -157,7 +157,7 @@ def fit_segments(df: DataFrame, k: int = 3, seed: int = 42, n_init: int = 10, fe
     from concurrent.futures import ThreadPoolExecutor
 
     def one(i):
-        return i, KMeans(featuresCol=features, k=k, seed=seed + i, maxIter=100).fit(df)
+        return i, KMeans(featuresCol=features, k=k, seed=seed + i, maxIter=300).fit(df)
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallel, n_init))) as pool:
         fits = list(pool.map(one, range(n_init)))

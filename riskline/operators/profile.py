@@ -40,14 +40,15 @@ def missing_mask(df: DataFrame, key: str, cols: Sequence[str] | None = None) ->
 
 
 def shorten(text: Column | str, width: int = 120, placeholder: str = "...") -> Column:
-    """Whitespace collapsed; if longer than ``width``, whole words are dropped from
-    the end until the rest plus ``placeholder`` fits (``textwrap.shorten``)."""
+    """Whitespace collapsed; if longer than ``width``, whole words (and parts of words
+    joined by a hyphen) are dropped from the end until the rest plus ``placeholder``
+    fits; a first word that does not fit leaves the placeholder alone (``textwrap.shorten``)."""
     t = F.col(text) if isinstance(text, str) else text
-    s = F.regexp_replace(F.trim(t), r"\s+", " ")
+    s = F.trim(F.regexp_replace(t, r"\s+", " "))
     room = width - len(placeholder)
-    head = F.regexp_extract(F.substring(s, 1, room + 1), r"^(.*\S)\s", 1)
-    cut = F.when(head == "", F.substring(s, 1, room)).otherwise(head)
-    return F.when(F.length(s) <= width, s).otherwise(F.concat(cut, F.lit(placeholder)))
+    # the longest head that ends before a space, or behind the hyphen between two words with letters
+    head = F.regexp_extract(s, rf"^(.{{0,{room}}})(?<=\S)(?:(?= )|(?<=\w[^0-9\W]-)(?=\w+[^0-9\W]))", 1)
+    return F.when(F.length(s) <= width, s).otherwise(F.concat(head, F.lit(placeholder)))
 
 
 def sample_uniques(df: DataFrame, cols: Sequence[str], key: str, k: int = 6, width: int = 120,
@@ -72,8 +73,7 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 20) -> DataFrame:
     rng = rng.select("column",
                      F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
                      F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"))
-    # one row per column: bounded by the number of columns
-    x = long.join(F.broadcast(rng), "column")
+    x = long.join(K.broadcast_if_small(rng), "column")  # a row a column
     idx = F.floor((F.col("value") - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo"))))
     counts = x.groupBy("column", F.least(idx.cast("int"), F.lit(bins - 1)).alias("bin")).agg(
         F.count(F.lit(1)).alias("count"))
@@ -104,8 +104,8 @@ def box_stats(df: DataFrame, cols: Sequence[str], whis: float = 1.5) -> DataFram
     # whiskers are exactly the values beyond the fences: one pass gives all of it
     stats = x.groupBy("column", "q1", "median", "q3", "iqr").agg(
         F.sum(n).alias("n"), (F.sum(v * n) / F.sum(n)).alias("mean"),
-        F.min(F.when(v >= lo_fence, v)).alias("whisker_low"),
-        F.max(F.when(v <= hi_fence, v)).alias("whisker_high"),
+        F.least(F.min(F.when(v >= lo_fence, v)), "q1").alias("whisker_low"),  # never inside the box
+        F.greatest(F.max(F.when(v <= hi_fence, v)), "q3").alias("whisker_high"),
         F.sum(F.when((v < lo_fence) | (v > hi_fence), n).otherwise(0)).alias("outliers"))
     return stats.select("column", "n", "mean", "q1", "median", "q3", "iqr", "whisker_low", "whisker_high",
                         "outliers")

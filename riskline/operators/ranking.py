@@ -5,7 +5,7 @@ A window without ``partitionBy`` runs in one task, and Spark's exact
 Both break on very large tables, so everything here works in two levels:
 
 1. ``range_buckets``: approximate quantiles of the ordering column (one partial
-   aggregation) split each part into ``buckets`` contiguous value ranges;
+   aggregation; texts drawn by hash for a text column) split each part into ``buckets`` contiguous value ranges;
 2. totals per (part, bucket) form a table of ``parts × buckets`` rows, whose
    running offsets are broadcast back (its size is bounded by the bucket count,
    not by the data);
@@ -21,10 +21,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_BUCKETS = 64
-# Largest bucket count we accept: the offset table (parts × buckets rows) is broadcast.
+# Rows that one bucket's window ranks, about: more rows make more buckets.
+ROWS_A_BUCKET = 1_000_000
+# Largest bucket count: bounds and offsets (parts × buckets rows) stay small; beyond it buckets grow and spill.
 MAX_BUCKETS = 1 << 14
+# Largest table that is broadcast on the promise that its rows are few.
+BROADCAST_ROWS = 100_000
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Buckets for a frame: at least ``DEFAULT_BUCKETS``, more as its rows grow."""
+    return max(DEFAULT_BUCKETS, min(MAX_BUCKETS, df.count() // ROWS_A_BUCKET))
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast once its rows are counted to be few, else left to the planner."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def one_row(df: DataFrame) -> dict:
@@ -57,6 +72,8 @@ def range_buckets(df: DataFrame, order_col: str, part_cols: Sequence[str] = (),
     part_cols = list(part_cols)
     if buckets == 1:
         return df.withColumn("_bucket", F.lit(0))
+    if isinstance(df.schema[order_col].dataType, T.StringType):
+        return _text_buckets(df, order_col, buckets)
     probs = [i / buckets for i in range(1, buckets)]
     bounds = df.groupBy(*part_cols).agg(
         F.percentile_approx(F.col(order_col), probs, accuracy).alias("_bounds"))
@@ -65,24 +82,35 @@ def range_buckets(df: DataFrame, order_col: str, part_cols: Sequence[str] = (),
         b = one_row(bounds).get("_bounds") or []
         lit = F.array(*[F.lit(x) for x in b]) if b else F.array().cast(f"array<{df.schema[order_col].dataType.simpleString()}>")
         return df.withColumn("_bucket", F.size(F.filter(lit, lambda x: x < v)))
-    # one row per part (parts are few by contract): broadcast
-    x = df.join(F.broadcast(bounds), part_cols, "left")
+    x = df.join(broadcast_if_small(bounds, BROADCAST_ROWS // buckets), part_cols, "left")
     return x.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < v))).drop("_bounds")
 
 
+def _text_buckets(df: DataFrame, order_col: str, buckets: int) -> DataFrame:
+    """Buckets of a text column: bounds are texts drawn by hash (they decide the balance, not the result)."""
+    v = F.col(order_col)
+    drawn = df.select(v.alias("v")).where(v.isNotNull()).distinct().orderBy(F.xxhash64("v"), "v").limit(8 * buckets).collect()
+    texts = sorted(r["v"] for r in drawn)
+    bounds = [texts[len(texts) * i // buckets] for i in range(1, buckets)] if texts else []
+    lit = F.array(*[F.lit(x) for x in sorted(set(bounds))]) if bounds else F.array().cast("array<string>")
+    return df.withColumn("_bucket", F.when(v.isNull(), F.lit(0)).otherwise(F.size(F.filter(lit, lambda x: x < v))))
+
+
 def prefix_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str],
-                part_cols: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS,
+                part_cols: Sequence[str] = (), buckets: int | None = None,
                 prefix: str = "cum_") -> DataFrame:
     """Running (inclusive) sums of ``sum_cols`` within each part, ascending by
-    ``order_cols`` (the first one must be numeric, date or timestamp; the others
-    only break ties).  Adds ``{prefix}{c}`` per summed column."""
+    ``order_cols`` (the first one is numeric, date, timestamp or text; the others
+    only break ties).  Adds ``{prefix}{c}`` per summed column.  ``buckets`` follows
+    from the row count unless given."""
     order_cols, sum_cols, part_cols = list(order_cols), list(sum_cols), list(part_cols)
+    buckets = bucket_count(df) if buckets is None else buckets
     x = range_buckets(df, order_cols[0], part_cols, buckets)
     totals = x.groupBy(*part_cols, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     before = Window.partitionBy(*part_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*part_cols, "_bucket", *[
         F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
-    x = x.join(F.broadcast(offsets), [*part_cols, "_bucket"], "left")
+    x = x.join(broadcast_if_small(offsets) if part_cols else F.broadcast(offsets), [*part_cols, "_bucket"], "left")
     within = (Window.partitionBy(*part_cols, "_bucket").orderBy(*order_cols)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     for c in sum_cols:
@@ -91,7 +119,7 @@ def prefix_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str
 
 
 def add_row_index(df: DataFrame, key: str | Sequence[str], name: str = "row_index",
-                  buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                  buckets: int | None = None) -> DataFrame:
     """0..n−1 in key order, computed without a single-task window.
 
     The index depends only on the key values, never on partitioning or task
@@ -166,7 +194,7 @@ def to_one_row(long: DataFrame, cols: Sequence[str], value: str, key: str = "col
     return long.agg(*[F.max(F.when(F.col(key) == F.lit(c), F.col(value))).alias(c) for c in cols])
 
 
-def ranked_values(freq: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def ranked_values(freq: DataFrame, buckets: int | None = None) -> DataFrame:
     """(column, value, n, lo, hi): each distinct numeric value covers the 0-based
     ranks lo..hi of its column's sorted non-null values."""
     x = prefix_sums(freq, ["value"], ["n"], ["column"], buckets)

@@ -266,14 +266,14 @@ def q_metrics_summary(spark, d):
 def q_roc_auc(spark, d):
     from riskline.operators.evaluate import roc_auc
     from riskline.plans.base import evaluation_long
-    return finish(roc_auc(evaluation_long(spark, d).where(F.col("probability").isNotNull())))
+    return finish(roc_auc(evaluation_long(spark, d)))
 
 
 @query("roc_curve")
 def q_roc_curve(spark, d):
     from riskline.operators.evaluate import roc_curve
     from riskline.plans.base import evaluation_long
-    return finish(roc_curve(evaluation_long(spark, d).where(F.col("probability").isNotNull())))
+    return finish(roc_curve(evaluation_long(spark, d)))
 
 
 @query("model_report")

@@ -115,3 +115,34 @@ def test_golden_compare_predictions(spark):
     assert V.detect_probability_column(
         spark.createDataFrame(pd.read_csv(reference_file("logistic_test_output.csv")).drop(
             columns=["Dependents"]))) == "Logistic_Prob"
+
+
+def test_missing_scores_count_as_zero(spark):
+    from riskline.operators.evaluate import model_report, roc_auc, roc_curve
+    rows = [("m", 1, 0, 0.9), ("m", 0, 0, 0.1), ("m", 1, 0, None), ("m", 0, 0, 0.2), ("none", 1, 1, None), ("none", 0, 0, None)]
+    df = spark.createDataFrame(rows, "model string, label int, prediction int, probability double")
+    assert [(r.model, r.auc) for r in roc_auc(df).collect()] == [("m", 0.5)]
+    assert sorted(r.threshold for r in roc_curve(df).collect() if r.threshold is not None) == [0.0, 0.1, 0.2, 0.9]
+    report = {r.model: r for r in model_report(df).collect()}
+    assert report["m"].auc == 0.5 and report["none"].auc is None and report["none"].rows == 2
+
+
+def test_repeated_keys_do_not_multiply(spark):
+    from riskline.operators.evaluate import align_by_key, compare_predictions
+    truth = spark.createDataFrame([("a", "Y"), ("b", "N")], "k string, t string")
+    preds = spark.createDataFrame([("a", "N", 0.2), ("a", "Y", 0.9), ("a", None, None)], "k string, p string, q double")
+    got = {r.k: (r.prediction, r.probability) for r in align_by_key(truth, preds, "k", "p", "q").collect()}
+    assert got == {"a": (0, 0.2), "b": (0, 0.0)}
+    long = spark.createDataFrame([("a", "m", "1"), ("a", "m", "0")], "k string, model string, prediction string")
+    assert sorted((r.k, r.m_pred) for r in compare_predictions(truth, long, "k", "t", ["m"]).collect()) == [("a", 0), ("b", 0)]
+
+
+def test_positions_of_text_keys(spark):
+    from riskline.operators.evaluate import align_by_position
+    from riskline.operators.ranking import add_row_index
+    keys = [f"LP{i * 7919 % 100003:06d}" for i in range(3000)]
+    truth = spark.createDataFrame([(k,) for k in keys], "Loan_ID string")
+    assert [r.Loan_ID for r in add_row_index(truth, "Loan_ID").orderBy("row_index").collect()] == sorted(keys)
+    preds = truth.where("Loan_ID < 'LP05'").withColumn("pred", F.lit("Y"))
+    got = align_by_position(truth, preds, "Loan_ID", "Loan_ID", ["pred"])
+    assert got.count() == 3000 and got.where("pred = 1").count() == preds.count()

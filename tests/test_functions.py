@@ -137,3 +137,27 @@ def test_rule_attributions_and_display(spark):
     assert m["Credit_History"] == 0.45 and m["ApplicantIncome"] == 0.15 and m["LoanAmount"] == -0.15
     assert m["Debt_to_Income"] == -0.20 and m["CoapplicantIncome"] == 0.0 and m["Gender"] == 0.0
     assert r["d"] == R.DISPLAY_PREMIUM
+
+
+def test_rates_and_amounts_round_as_the_reference(spark):
+    import random
+
+    import numpy as np
+    from riskline.functions import rules as R
+    rng = random.Random(1)
+    values = [9.005, 6.675, 17.995, 10.125] + [round(rng.uniform(6.5, 18), 3) for _ in range(1500)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").withColumn("level", F.lit("Medium Risk"))
+    got = [r.y for r in df.select(R.interest_rate("x", "level").alias("y")).collect()]
+    assert got == [float(np.round(min(max(max(v, 9.0), 6.5), 18.0), 2)) for v in values]
+    values = [0.05, 0.15, 0.25, 0.35, 1.05, 2.675, 1e9 + 0.05, -0.25, 0.0] + [rng.randrange(-10**6, 10**6) / 20 for _ in range(3000)]
+    values += [v * 0.1 for v in range(-999, 999)]
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    assert [r.y for r in df.select(R.round_one_decimal("x").alias("y")).collect()] == [round(float(v), 1) for v in values]
+
+
+def test_strip_takes_all_white_space(spark):
+    from riskline.functions import encode as E
+    df = spark.createDataFrame([("Y\t",), ("\tyes\n",), ("\u00a01 ",), (" n",)], "x string")
+    assert [r.y for r in df.select(E.normalize_binary("x").alias("y")).collect()] == [1, 1, 1, 0]
+    df = spark.createDataFrame([("\t2 ",), ("3+",)], "x string")
+    assert [r.y for r in df.select(E.dependents_to_int("x").alias("y")).collect()] == [2, 3]

@@ -59,3 +59,22 @@ def test_correlation_matches_pandas(spark):
 def test_preview_is_first_rows(spark):
     df = spark.range(100).withColumn("k", 100 - F.col("id"))
     assert [r["k"] for r in P.preview(df, ["id", "nope"], "k", 3).collect()] == [1, 2, 3]
+
+
+def test_shorten_equals_textwrap(spark):
+    import random
+    import textwrap
+
+    from riskline.operators.profile import shorten
+    rng = random.Random(2)
+    texts = ["x" * 200, "a " * 100, "well-known semi-urban high-income " * 9, "a\tb \n c", "", "one " + "y" * 130 + " z", "ab-c1 3-x " * 20]
+    texts += [" ".join("".join(rng.choices("abc-", k=rng.randrange(1, 9))).strip("-") or "a" for _ in range(40)) for _ in range(40)]
+    texts = [t for t in texts if "--" not in t]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.s for r in df.select(shorten("t", 60).alias("s")).collect()] == [textwrap.shorten(t, 60, placeholder="...") for t in texts]
+
+
+def test_whiskers_stay_outside_the_box(spark):
+    from riskline.operators.profile import box_stats
+    r = box_stats(spark.createDataFrame([(1.0,), (1.0,), (1.0,), (10.0,)], "x double"), ["x"]).first()
+    assert (r.q3, r.whisker_high, r.whisker_low, r.outliers) == (3.25, 3.25, 1.0, 1)
