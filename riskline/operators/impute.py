@@ -197,6 +197,30 @@ def clean_v2(df: DataFrame, key: str = "Loan_ID", label: str | None = "Loan_Stat
 from riskline.schema import FEATURES as X_FEATURES, INPUT_COLUMNS  # noqa: E402
 
 
+def request_features(df: DataFrame, key: str = "Loan_ID", medians: dict | None = None,
+                     keep_inputs: bool = False) -> DataFrame:
+    """The features of scoring requests (P3, P5, P7, P9, P10 in their request forms): a value that no map
+    knows gets its column's default code, dependents are ``3+`` or an integer, else 0, and a term ≤ 0
+    counts as 360 in the ratio (the term itself stays).  A missing number is the fitted median of its
+    column, or 0.  Every row gets complete features, so none can fail a batch; a projection, also for
+    streams."""
+    medians = medians or {}
+    out = df
+    if keep_inputs:
+        out = out.withColumn("inputs", F.struct(*[F.col(c) for c in INPUT_COLUMNS]))
+    out = out.withColumn("Dependents", E.dependents_to_int("Dependents", 0).cast("double"))
+    for c in V2_MEDIAN_COLS:
+        known = medians.get(c)
+        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0 if known is None else float(known))))
+    out = (out.withColumn("TotalIncome", X.total_income())
+              .withColumn("LoanAmount_log", X.log1p("LoanAmount"))
+              .withColumn("Debt_to_Income", X.debt_to_income(nonpositive_term=True)))
+    for c, code in E.REQUEST_DEFAULTS.items():
+        out = out.withColumn(c, E.encode_default(c, E.V2_MAPS[c], code).cast("double"))
+    extra = [c for c in ("user_id", "ts") if c in df.columns] + (["inputs"] if keep_inputs else [])
+    return out.select(key, *X_FEATURES, *extra)
+
+
 class CleanV2Model:
     """``clean_v2`` with its statistics learnt once (I3-style) and applied as
     literals: the transform is a projection, so it also runs on a stream, where

@@ -154,4 +154,71 @@ def score(df: DataFrame, models: TrainedModels, key: str = "Loan_ID", explain: s
     return out.drop("_pd", "features")
 
 
-__all__ = ["TrainedModels", "train", "score", "run_row", "E", "R"]
+def score_requests(df: DataFrame, models: TrainedModels, key: str = "Loan_ID", medians: dict | None = None,
+                   explain: str = "rules") -> DataFrame:
+    """T18 on raw applications, a table or a stream: request features, then every model and rule.  A request
+    with unknown categories, missing numbers or a term of 0 is scored like any other."""
+    from riskline.operators.impute import request_features
+    return score(request_features(df, key, medians), models, key, explain)
+
+
+_KINDS = {"approval": "RandomForestClassificationModel", "default": "RandomForestClassificationModel",
+          "interest": "RandomForestRegressionModel", "segments": "KMeansModel"}
+
+
+def save_trained(models: TrainedModels, path: str, spark: SparkSession) -> None:
+    """Everything ``score`` needs under one folder: the Spark ML models with the feature order, the
+    isolation forest's nodes, segment statistics and names, metrics and parameters, all readable by a
+    later session."""
+    from riskline.sources.io import save_models
+    base = path.rstrip("/")
+    save_models({name: getattr(models, name) for name in _KINDS}, list(FEATURES), base, spark)
+    f = models.fraud
+    nodes = [(t, n, *[getattr(f, a)[t, n].item() for a in _NODE_FIELDS])
+             for t in range(f.trees) for n in range(f.feature.shape[1]) if n == 0 or f.size[t, n] > 0]
+    spark.createDataFrame(nodes, "tree int, node int, feature int, threshold double, left int, right int, size int, depth int") \
+        .write.mode("overwrite").parquet(f"{base}/_isolation")
+    models.segment_names.write.mode("overwrite").parquet(f"{base}/_segment_names")
+    values = [("segment_stats", k, float(v)) for k, v in models.segment_stats.items() if v is not None]
+    values += [("metrics", k, float(v)) for k, v in models.metrics.items() if v is not None]
+    values += [("params", k, float(v)) for k, v in models.params.items()]
+    values += [("isolation", "samples", float(f.samples)), ("isolation", "max_depth", float(f.max_depth)),
+               ("isolation", "trees", float(f.trees)), ("isolation", "nodes", float(f.feature.shape[1]))]
+    spark.createDataFrame(values, "part string, name string, value double").write.mode("overwrite").parquet(f"{base}/_values")
+
+
+_NODE_FIELDS = ("feature", "threshold", "left", "right", "size", "depth")
+
+
+def load_trained(spark: SparkSession, path: str) -> TrainedModels:
+    """The models as ``save_trained`` left them; scores equal those of the session that fitted them."""
+    import numpy as np
+    from pyspark.ml.classification import RandomForestClassificationModel
+    from pyspark.ml.clustering import KMeansModel
+    from pyspark.ml.regression import RandomForestRegressionModel
+
+    from riskline.operators.isolation import IsolationForestModel
+    from riskline.sources.io import load_models
+    base = path.rstrip("/")
+    classes = {c.__name__: c for c in (RandomForestClassificationModel, RandomForestRegressionModel, KMeansModel)}
+    stages, names = load_models(spark, base, {k: classes[v] for k, v in _KINDS.items()})
+    if names != list(FEATURES):
+        raise ValueError("the saved models use other features")
+    values: dict[str, dict[str, float]] = {}
+    for r in spark.read.parquet(f"{base}/_values").collect():  # one row a statistic
+        values.setdefault(r["part"], {})[r["name"]] = r["value"]
+    size = values["isolation"]
+    shape = (int(size["trees"]), int(size["nodes"]))
+    arrays = {a: np.zeros(shape) if a == "threshold" else np.full(shape, 0 if a in ("size", "depth") else -1, np.int32)
+              for a in _NODE_FIELDS}
+    nodes = spark.read.parquet(f"{base}/_isolation").toPandas()  # bounded by trees * (2 * samples - 1)
+    for a in _NODE_FIELDS:
+        arrays[a][nodes["tree"], nodes["node"]] = nodes[a]
+    fraud = IsolationForestModel(samples=int(size["samples"]), max_depth=int(size["max_depth"]), **arrays)
+    params = {k: v if k == "fraud_contamination" else int(v) for k, v in values.get("params", {}).items()}
+    return TrainedModels(stages["approval"], stages["default"], stages["interest"], fraud, stages["segments"],
+                         values["segment_stats"], spark.read.parquet(f"{base}/_segment_names"),
+                         metrics=values.get("metrics", {}), params=params)
+
+
+__all__ = ["TrainedModels", "train", "score", "score_requests", "save_trained", "load_trained", "run_row", "E", "R"]

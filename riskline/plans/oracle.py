@@ -568,7 +568,25 @@ oracle("gaussian_nb", _nb_sql())
 # --- streaming (equal to the batch statements) ----------------------------------------
 oracle("score_stream", WITH_DEC + """SELECT "Loan_ID", round(default_probability, 6) AS default_probability,
  round(risk_score, 6) AS risk_score, risk_level, approved, round(recommended_loan_amount, 6) AS recommended_loan_amount,
- round(predicted_interest_rate, 6) AS predicted_interest_rate, segment_name FROM dec""")
+ round(predicted_interest_rate, 6) AS predicted_interest_rate, segment_name,
+ array_to_string(recommendations, ' | ') AS recommendations, CAST(len(attr_keys) AS INTEGER) AS n_attributions FROM dec""")
+oracle("request_features", f"""WITH {LOANS}, rq AS (SELECT "Loan_ID", "Gender", "Education", "Self_Employed",
+ CASE WHEN "Loan_ID" % 11 = 0 THEN 'Coast' ELSE "Property_Area" END AS area,
+ CASE WHEN "Loan_ID" % 23 = 0 THEN 'Unknown' ELSE "Married" END AS married,
+ CASE WHEN "Loan_ID" % 13 = 0 THEN '3 +' WHEN "Loan_ID" % 29 = 0 THEN ' 2 ' ELSE "Dependents" END AS dep,
+ coalesce(CASE WHEN "Loan_ID" % 17 = 0 THEN 0.0E0 WHEN "Loan_ID" % 31 = 0 THEN -12.0E0 ELSE "Loan_Amount_Term" END, 0.0E0) AS term,
+ coalesce("LoanAmount", 0.0E0) AS amount, coalesce("Credit_History", 0.0E0) AS credit, "ApplicantIncome" AS a, "CoapplicantIncome" AS c
+ FROM loans)
+SELECT "Loan_ID", CASE "Gender" WHEN 'Female' THEN 0.0E0 ELSE 1.0E0 END AS "Gender",
+ CASE married WHEN 'Yes' THEN 1.0E0 ELSE 0.0E0 END AS "Married",
+ CASE dep WHEN '3+' THEN 3.0E0 WHEN '1' THEN 1.0E0 WHEN '2' THEN 2.0E0 WHEN ' 2 ' THEN 2.0E0 ELSE 0.0E0 END AS "Dependents",
+ CASE "Education" WHEN 'Graduate' THEN 1.0E0 ELSE 0.0E0 END AS "Education",
+ CASE "Self_Employed" WHEN 'Yes' THEN 1.0E0 ELSE 0.0E0 END AS "Self_Employed",
+ round(a, 6) AS "ApplicantIncome", round(c, 6) AS "CoapplicantIncome", round(amount, 6) AS "LoanAmount",
+ round(term, 6) AS "Loan_Amount_Term", round(credit, 6) AS "Credit_History",
+ CASE area WHEN 'Rural' THEN 0.0E0 WHEN 'Urban' THEN 2.0E0 ELSE 1.0E0 END AS "Property_Area",
+ round(a + c, 6) AS "TotalIncome", round(ln(1 + amount), 6) AS "LoanAmount_log",
+ round(amount * 1000 / ((a + c) * CASE WHEN term <= 0 THEN 360 ELSE term END + 1), 6) AS "Debt_to_Income" FROM rq""")
 oracle("kpi_stream", ORACLE["kpis_by_area"])
 oracle("kpi_stream_windowed", WITH_DEC + f""", w AS (SELECT *, time_bucket(INTERVAL 30 DAY, CAST(ts AS TIMESTAMP),
   TIMESTAMP '1970-01-01') AS ws FROM dec)

@@ -504,6 +504,46 @@ def q_tree_attributions(spark, d):
                            .alias("additivity_residual")))
 
 
+def requests(spark, d):
+    """Scoring requests: the applications, some with values no map knows, odd dependents or terms ≤ 0."""
+    df, k = loans(spark, d), F.col("Loan_ID")
+    return (df.withColumn("Property_Area", F.when(k % 11 == 0, F.lit("Coast")).otherwise(F.col("Property_Area")))
+              .withColumn("Married", F.when(k % 23 == 0, F.lit("Unknown")).otherwise(F.col("Married")))
+              .withColumn("Dependents", F.when(k % 13 == 0, F.lit("3 +")).when(k % 29 == 0, F.lit(" 2 ")).otherwise(F.col("Dependents")))
+              .withColumn("Loan_Amount_Term", F.when(k % 17 == 0, F.lit(0.0)).when(k % 31 == 0, F.lit(-12.0))
+                          .otherwise(F.col("Loan_Amount_Term"))))
+
+
+@query("request_features")
+def q_request_features(spark, d):
+    """T18's input for raw requests (P3, P5, P10 in request form)."""
+    return finish(I.request_features(requests(spark, d)).drop("user_id", "ts"))
+
+
+@query("score_requests")
+def q_score_requests(spark, d):
+    """T18 from raw requests with the fitted models."""
+    from riskline.operators.training import score_requests
+    from riskline.plans.base import trained
+    s = score_requests(requests(spark, d), trained(spark, d))
+    return finish(s.select("Loan_ID", "approved", "risk_score", "risk_level", "default_probability", "fraud_score",
+                           "recommended_loan_amount", "predicted_interest_rate", "segment_name"))
+
+
+@query("score_stream_models")
+def q_score_stream_models(spark, d):
+    """ST1 with the fitted models: the orders stream as raw requests, every decision column logged."""
+    from riskline.operators.training import score_requests
+    from riskline.plans.base import trained
+    from riskline.streaming import application_stream, score_stream
+    models = trained(spark, d)
+    out = _streamed(spark, d, "score-stream-models",
+                    lambda sink, ck: score_stream(application_stream(spark, d), lambda x: score_requests(x, models), sink, ck))
+    return finish(out.select("Loan_ID", "approved", "risk_score", "default_probability", "predicted_interest_rate",
+                             F.array_join("recommendations", " | ").alias("recommendations"),
+                             _map_text("shap_values").alias("attributions"), "segment_name"))
+
+
 @query("runs_view")
 def q_runs_view(spark, d):
     """S6 → S5 → R10: the training run appended to a run log, read back, displayed."""
@@ -554,10 +594,11 @@ def q_score_stream(spark, d):
     """ST1: the orders stream scored and appended; equals the batch decisions."""
     from riskline.streaming import score_stream
     out = _streamed(spark, d, "score-stream",
-                    lambda sink, ck: score_stream(_stream_decisions(spark, d).drop("recommendations", "shap_values"),
-                                                  lambda x: x, sink, ck))
+                    lambda sink, ck: score_stream(_stream_decisions(spark, d), lambda x: x, sink, ck))
     return finish(out.select("Loan_ID", "default_probability", "risk_score", "risk_level", "approved",
-                             "recommended_loan_amount", "predicted_interest_rate", "segment_name"))
+                             "recommended_loan_amount", "predicted_interest_rate", "segment_name",
+                             F.array_join("recommendations", " | ").alias("recommendations"),
+                             F.size("shap_values").alias("n_attributions")))
 
 
 @query("kpi_stream")

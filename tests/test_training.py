@@ -29,6 +29,29 @@ def test_train_and_score(spark, tmp_path):
     assert bad.count() == 0
     assert s.select("segment_name").distinct().count() <= 3
 
+    # saved, loaded and applied again: equal scores
+    from riskline.operators.training import load_trained, save_trained, score_requests
+    save_trained(m, str(tmp_path / "models"), spark)
+    again = load_trained(spark, str(tmp_path / "models"))
+    cols = ["Loan_ID", "risk_score", "fraud_score", "predicted_interest_rate", "segment_cluster", "segment_name", "approved"]
+    assert sorted(map(tuple, score(feats, again).select(cols).collect())) == sorted(map(tuple, s.select(cols).collect()))
+    assert again.params == m.params and again.metrics == m.metrics
+
+    # a request that no map knows is scored like any other; a stream equals the table
+    apps = loan_view(spark, SF_SMALL)
+    odd = apps.limit(50).withColumn("Property_Area", F.lit("Moon")).withColumn("Loan_Amount_Term", F.lit(-12.0)).withColumn(
+        "Dependents", F.lit(None).cast("string")).withColumn("LoanAmount", F.lit(None).cast("double"))
+    got = score_requests(odd, again).collect()
+    assert len(got) == 50 and all(r["risk_level"] and r["segment_name"] and r["Debt_to_Income"] >= 0 for r in got)
+    from riskline.streaming import application_stream, score_stream
+    from riskline.streaming.scoring import run_to_end
+    run_to_end(score_stream(application_stream(spark, SF_SMALL), lambda x: score_requests(x, again),
+                            str(tmp_path / "sink"), str(tmp_path / "ck")))
+    streamed = spark.read.parquet(str(tmp_path / "sink"))
+    assert {"recommendations", "shap_values"} <= set(streamed.columns)
+    table = score_requests(apps, again)
+    assert sorted(map(tuple, streamed.select(cols).collect())) == sorted(map(tuple, table.select(cols).collect()))
+
     append_run(run_row(spark, m), str(tmp_path / "runs"))
     r = read_runs(spark, str(tmp_path / "runs")).first()
     assert r["parameters"]["rf_estimators"] == 10 and r["metrics"]["default_auc"] == m.metrics["default_auc"]
