@@ -11,7 +11,7 @@ In every root's node each class is first compared with the node's centre (the cl
 over all nodes), which links most copies without comparing all pairs. Nodes whose classes are by then in
 one component are done; large ones are branched, small ones compared exhaustively across components, and
 what is still large at the deepest level is compared with its centres and then in pairs of blocks. Comparisons pass a filter on
-sizes and on agreeing coordinates and are then confirmed on the full sets, computed from the texts.
+sizes and on agreeing bytes of ``SKETCH`` minwise tokens and are then confirmed on the full sets, computed from the texts.
 """
 
 from __future__ import annotations
@@ -35,11 +35,12 @@ COORDINATES = 32
 TREES = 10
 LEAF = 1024
 DEPTH = 8
-#: Agreeing coordinates that a pair needs to be confirmed; 0.75 leaves fewer once in 250,000 times.
-AGREEING = 12
+#: Hash functions of a class's sketch, a byte of each one's token; the first ``COORDINATES`` make the paths.
+SKETCH = 128
+#: Agreeing bytes that a pair needs to be confirmed; 0.75 leaves fewer about once in 200,000 times.
+AGREEING = 74
 
-_SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_SKETCH = ["s0", "s1", "s2", "s3"]  # a byte of each coordinate's token
+_SEEDS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def shingle_sets(words: np.ndarray, first: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
@@ -57,8 +58,8 @@ def shingle_sets(words: np.ndarray, first: np.ndarray, width: int = SHINGLE) ->
 
 
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """For each non-empty set the least mixed hash under each coordinate's function: (sets, COORDINATES)."""
-    out = np.zeros((len(sets), COORDINATES), np.uint64)
+    """For each non-empty set the least mixed hash under each function: (sets, SKETCH)."""
+    out = np.zeros((len(sets), SKETCH), np.uint64)
     if sets:
         flat = np.concatenate(sets)
         begins = np.cumsum([0] + [len(s) for s in sets[:-1]])
@@ -71,7 +72,8 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, width: int) -> DataFrame:
-    """(id, row, text) as (id, row, n, c1, c2, tokens): the set's size, its class (two hashes) and minwise tokens."""
+    """(id, row, text) as (id, row, n, c1, c2, tokens, sketch): the set's size, its class (two hashes), minwise
+    tokens and the sketch's bytes, eight to a long."""
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -88,37 +90,29 @@ def sketches(rows: DataFrame, width: int) -> DataFrame:
                     begins = np.cumsum(np.concatenate([[0], n[full][:-1]]))
                     c[0, full] = np.add.reduceat(mix(flat), begins)
                     c[1, full] = np.add.reduceat(mix(flat ^ np.uint64(0xA0761D6478BD642F)), begins)
-                ends = np.zeros(len(sets) + 1, np.int32)
-                ends[1:] = np.cumsum(np.where(n > 0, COORDINATES, 0))
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.ravel().view(np.int64)))
+                sketch = tokens.astype(np.uint8).view(np.int64)
+                lists = []
+                for values in (tokens[:, :COORDINATES].view(np.int64), sketch):
+                    ends = np.zeros(len(sets) + 1, np.int32)
+                    ends[1:] = np.cumsum(np.where(n > 0, values.shape[1], 0))
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel())))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(n), pa.array(c[0].view(np.int64)),
-                     pa.array(c[1].view(np.int64)), lists], ["id", "row", "n", "c1", "c2", "tokens"])
+                     pa.array(c[1].view(np.int64)), *lists], ["id", "row", "n", "c1", "c2", "tokens", "sketch"])
 
-    return rows.mapInArrow(run, f"id {id_type}, row bigint, n bigint, c1 bigint, c2 bigint, tokens array<bigint>")
-
-
-def _sketch_columns(tokens: str) -> list[Column]:
-    """The coordinates' low bytes, eight to a long."""
-    out = []
-    for k, name in enumerate(_SKETCH):
-        byte = [F.shiftleft(F.get(F.col(tokens), F.lit(8 * k + i)).bitwiseAND(F.lit(255)), 8 * i) for i in range(8)]
-        word = byte[0]
-        for b in byte[1:]:
-            word = word.bitwiseOR(b)
-        out.append(word.alias(name))
-    return out
+    return rows.mapInArrow(run, f"id {id_type}, row bigint, n bigint, c1 bigint, c2 bigint, tokens array<bigint>, "
+                                "sketch array<bigint>")
 
 
 def _agreeing(a: str, b: str) -> Column:
-    """Coordinates whose bytes agree."""
+    """Bytes of two sketches that agree."""
     differ = F.lit(0)
-    for s in _SKETCH:
-        x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
+    for s in range(SKETCH // 8):
+        x = F.get(f"{a}.sketch", F.lit(s)).bitwiseXOR(F.get(f"{b}.sketch", F.lit(s)))
         for k in (4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, k))
         differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return F.lit(COORDINATES) - differ
+    return F.lit(SKETCH) - differ
 
 
 class _Join:
@@ -126,7 +120,7 @@ class _Join:
 
     def __init__(self, rows: DataFrame, classes: DataFrame, width: int, similarity: int):
         self.rows, self.classes, self.width, self.similarity = rows, classes, width, similarity
-        self.sketch = classes.select("v", "n", *_sketch_columns("tokens"))
+        self.sketch = classes.select("v", "n", "sketch")
         self.edges: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.roots: DataFrame | None = None
@@ -136,7 +130,7 @@ class _Join:
         return (small * 100 >= large * self.similarity) & (_agreeing(a, b) >= AGREEING)
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
-        """Distinct (a, b), a < b, whose sizes and coordinates allow the similarity."""
+        """Distinct (a, b), a < b, whose sizes and sketches allow the similarity."""
         pairs = pairs.distinct()
         x = pairs.join(self.sketch.alias("x"), F.col("a") == F.col("x.v")).join(
             self.sketch.alias("y"), F.col("b") == F.col("y.v"))
@@ -268,7 +262,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
     rows = docs.select(id_.alias("id"), F.xxhash64(id_.cast("string"), text).alias("row"), text.alias("text"))
     made = staged(sketches(rows, width), "sketches")
     classes = staged(made.where("n > 0").groupBy("n", "c1", "c2").agg(
-        F.min("row").alias("v"), F.min("id").alias("least"), F.first("tokens").alias("tokens")), "classes")
+        F.min("row").alias("v"), F.min("id").alias("least"), F.first("tokens").alias("tokens"),
+        F.first("sketch").alias("sketch")), "classes")
     join = _Join(rows, classes, width, similarity)
     join.run()
     if join.roots is None:
