@@ -1,8 +1,8 @@
 """Imputation (I1–I6) and the two cleaning pipelines built on it.
 
-All statistics of one call are computed in one aggregation job and applied by a
-cross join with the one-row statistics frame (broadcast: its size is one row by
-construction), so the plan stays lazy and the source is not collected.
+The statistics of a call are fitted by jobs of their own, one row of modes and one of
+medians, and applied as literals: the cleaning itself is a projection, the rows are
+never collected.
 """
 
 from __future__ import annotations

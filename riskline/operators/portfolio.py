@@ -35,12 +35,13 @@ def busiest_user(log: DataFrame) -> DataFrame:
 
 def user_history(log: DataFrame, user) -> DataFrame:
     """L3: one user's decisions, newest first (ties by id).  ``user`` is a value or a
-    one-row frame with ``user_id`` (broadcast).  The filter reaches the scan of
-    the day-partitioned log; the sort is a distributed range sort."""
+    frame of at most one row with ``user_id``, whose value is looked up first: the
+    filter is a literal that reaches the scan of the log, whose files are sorted by
+    user (row groups of other users are skipped); the sort is a distributed range sort."""
     if isinstance(user, DataFrame):
-        mine = log.join(F.broadcast(user.select("user_id")), "user_id", "left_semi")
-    else:
-        mine = log.where(F.col("user_id") == F.lit(str(user)))
+        from riskline.operators.ranking import one_row
+        user = one_row(user.select("user_id")).get("user_id")
+    mine = log.where(F.col("user_id") == (F.lit(None).cast("string") if user is None else F.lit(str(user))))
     return mine.orderBy(F.desc("timestamp"), "id")
 
 

@@ -34,8 +34,14 @@ def loans(spark: SparkSession, d: str) -> DataFrame:
 _PREPARED: dict[tuple, DataFrame] = {}
 
 
+def forget() -> None:
+    """Drop what this session prepared or trained: after the input files changed, or to time a query afresh."""
+    _PREPARED.clear()
+    _TRAINED.clear()
+
+
 def prepared(spark: SparkSession, d: str, name: str, build, write: bool = True) -> DataFrame:
-    """A derived table computed once per session and data folder, then reused.
+    """A derived table computed once per session and data folder, then reused until ``forget``.
 
     It is written as parquet to a fresh folder under the session's
     ``spark.checkpoint.dir`` (the shared folder on a cluster) and read back: the
@@ -148,7 +154,7 @@ def evaluation_long(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log_table(spark: SparkSession, d: str) -> DataFrame:
-    """The decision log of all scored applications: appended (day-partitioned) to a
+    """The decision log of all scored applications: appended (month-partitioned) to a
     fresh folder under the checkpoint folder once per session, then read back."""
     from riskline.session import scratch_path
     from riskline.sources.io import append_decisions, decision_log, read_log

@@ -337,8 +337,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY first_seen, va
 j AS (SELECT "column", string_agg(value, ', ' ORDER BY first_seen, value) AS t FROM r WHERE rn <= 6 GROUP BY 1)
 SELECT "column", {shorten_sql('t')} AS sample_uniques FROM j""")
 
-_HIST = ["ApplicantIncome", "CoapplicantIncome", "LoanAmount", "Loan_Amount_Term", "TotalIncome",
-         "LoanAmount_log", "Debt_to_Income"]
+_HIST = ["Gender", "Married", "Dependents", "Education", "Self_Employed", "ApplicantIncome", "CoapplicantIncome",
+         "LoanAmount", "Loan_Amount_Term", "Credit_History", "Property_Area", "TotalIncome", "LoanAmount_log",
+         "Debt_to_Income"]
 oracle("histogram20", WITH_V2 + f""", l AS ({_long('v2', _HIST, 'DOUBLE')}),
 l2 AS (SELECT * FROM l WHERE value IS NOT NULL AND NOT isnan(value)),
 rng AS (SELECT "column", CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo,

@@ -164,8 +164,10 @@ def q_kpis_by_area(spark, d):
 
 # --- profiles -------------------------------------------------------------------
 CAT_COLS = ["Gender", "Married", "Dependents", "Education", "Self_Employed", "Property_Area"]
-HIST_COLS = ["ApplicantIncome", "CoapplicantIncome", "LoanAmount", "Loan_Amount_Term", "TotalIncome",
-             "LoanAmount_log", "Debt_to_Income"]
+# every numeric column of the cleaned frame
+HIST_COLS = ["Gender", "Married", "Dependents", "Education", "Self_Employed", "ApplicantIncome", "CoapplicantIncome",
+             "LoanAmount", "Loan_Amount_Term", "Credit_History", "Property_Area", "TotalIncome", "LoanAmount_log",
+             "Debt_to_Income"]
 BOX_COLS = ["ApplicantIncome", "CoapplicantIncome", "LoanAmount", "TotalIncome"]
 DEMO_COLS = ["ApplicantIncome", "CoapplicantIncome", "TotalIncome", "LoanAmount", "LoanAmount_log"]
 
