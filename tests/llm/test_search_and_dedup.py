@@ -253,6 +253,20 @@ def test_lines_repeated_rows_and_empty(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_in_large_bands_are_found(spark):
+    """Every passage is in half of the lines, so every band is far larger than LEAF; pairs share 9 of 10 passages."""
+    rng = random.Random(11)
+    pool = ["".join(rng.choices("abcdefghijklmnop", k=99)) + " " for _ in range(20)]
+    lines = []
+    for _ in range(150):
+        chosen = rng.sample(range(20), 11)
+        lines += ["".join(pool[i] for i in sorted(chosen[:10])), "".join(pool[i] for i in sorted(chosen[1:]))]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.dedup_lines(docs, dropped_col="gone").collect() if r.gone}
+    want = plain_lines(lines)
+    assert len(want) >= 140 and gone <= set(want) and len(gone) >= 0.993 * len(want)
+
+
 # --- importance ---------------------------------------------------------------
 
 def plain_grams(text):
