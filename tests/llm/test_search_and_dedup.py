@@ -267,6 +267,25 @@ def test_lines_in_large_bands_are_found(spark):
     assert len(want) >= 140 and gone <= set(want) and len(gone) >= 0.993 * len(want)
 
 
+def test_edited_lines_of_ordinary_length(spark):
+    """One character replaced in mid-line from 40 characters on, one word of five from 60 on, in any script."""
+    rng = random.Random(12)
+    lines, edits = [], []
+    for alphabet in ("abcdefghijklmnop", "дежзиклмнопрстуф", "あいうえおかきくけこさしすせそた"):
+        for n in range(40, 121, 4):
+            words = "".join("".join(rng.choices(alphabet, k=5)) + " " for _ in range(n // 6 + 1))[:n - 1] + alphabet[0]
+            lines.append(words)
+            edits.append(words[:n // 2] + "7" + words[n // 2 + 1:])
+            if n >= 60:
+                at = n // 12 * 6
+                lines.append(alphabet[1] + words)
+                edits.append(alphabet[1] + words[:at] + "90214" + words[at + 5:])
+    k = len(lines)
+    docs = spark.createDataFrame(list(enumerate(lines + edits)), "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.dedup_lines(docs, dropped_col="gone").collect() if r.gone}
+    assert set(range(k, 2 * k)) <= gone
+
+
 # --- importance ---------------------------------------------------------------
 
 def plain_grams(text):
