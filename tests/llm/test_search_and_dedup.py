@@ -286,6 +286,13 @@ def test_edited_lines_of_ordinary_length(spark):
     assert set(range(k, 2 * k)) <= gone
 
 
+def test_short_lines_that_repeat_go(spark):
+    docs = spark.createDataFrame([(1, "Share\n\nok\r\n\r\nRead more"), (2, "Read more\nok\r\n\r\n\nno"), (3, " Share \n日本\n日本語"),
+                                  (4, "日本\n本日\nx")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: "Share\n\nok\r\n\r\nRead more", 2: "\r\n\nno", 3: "日本\n日本語", 4: "本日\nx"}
+
+
 # --- importance ---------------------------------------------------------------
 
 def plain_grams(text):
