@@ -35,6 +35,7 @@ class TrainedModels:
     interest: object
     fraud: object
     segments: object
+    explained: object                  # approval forest of bounded depth, for TreeSHAP only
     segment_stats: dict                # means m_<c> and population stds s_<c> of the segment inputs
     segment_names: DataFrame           # k rows: cluster → name
     metrics: dict = field(default_factory=dict)
@@ -50,16 +51,16 @@ def _named(model, prefix: str):
     return model
 
 
-def train(spark: SparkSession, feats: DataFrame, key: str = "Loan_ID", trees: int = 100, max_depth: int = 8,
+def train(spark: SparkSession, feats: DataFrame, key: str = "Loan_ID", trees: int = 100, max_depth: int = 30,
           seed: int = 42, forest_seed: int = 22, k: int = 3, n_init: int = 10,
-          iso_trees: int = 100, iso_samples: int = 256, contamination: float = 0.05) -> TrainedModels:
+          iso_trees: int = 100, iso_samples: int = 256, contamination: float = 0.05,
+          explained_depth: int = 8) -> TrainedModels:
     """Fit the v2 models on ``feats`` (v2 features with Loan_Status_encoded,
-    Default, Interest_Rate).  The assembled frame is cached: six fits read it.
+    Default, Interest_Rate).  The assembled frame is cached: every fit reads it.
 
-    ``max_depth`` bounds every forest: a tree's size, its broadcast node table and
-    the cost of explaining it (TreeSHAP is linear in leaves) all grow as 2^depth.
-    The reference grows unbounded trees on 614 rows; on large tables 8 keeps
-    the explainer affordable, and Spark accepts up to 30."""
+    ``max_depth`` bounds every forest that scores; the reference grows unbounded trees, and
+    30 is the deepest Spark accepts. TreeSHAP is linear in leaves, which grow as 2^depth, so
+    it explains an approval forest of its own, of ``explained_depth``."""
     from riskline.operators.isolation import fit_isolation_forest
 
     data = M.assemble(feats.where(F.col("Loan_Status_encoded").isNotNull()))
@@ -72,7 +73,7 @@ def train(spark: SparkSession, feats: DataFrame, key: str = "Loan_ID", trees: in
                                *[F.stddev_pop(c).alias(f"s_{c}") for c in M.SEGMENT_INPUTS]))
     seg = _apply_segment_scaling(seg_in, stats).cache()
 
-    # five independent fits over cached frames, submitted as concurrent Spark jobs
+    # six independent fits over cached frames, submitted as concurrent Spark jobs
     from concurrent.futures import ThreadPoolExecutor
     jobs = {
         "segments": lambda: M.fit_segments(seg, k=k, seed=seed, n_init=n_init),
@@ -82,13 +83,15 @@ def train(spark: SparkSession, feats: DataFrame, key: str = "Loan_ID", trees: in
                                                       max_depth=max_depth), "default"),
         "interest": lambda: _named(M.fit_interest(tr, "Interest_Rate", trees=trees, seed=forest_seed,
                                                   max_depth=max_depth), "interest"),
+        "explained": lambda: _named(M.fit_random_forest(tr, "Loan_Status_encoded", trees=trees, seed=forest_seed,
+                                                        max_depth=min(max_depth, explained_depth)), "explained"),
         "fraud": lambda: fit_isolation_forest(data, FEATURES, key, trees=iso_trees, samples=iso_samples, seed=seed),
     }
     with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
         futures = {name: pool.submit(fn) for name, fn in jobs.items()}
         fitted = {name: f.result() for name, f in futures.items()}
-    approval, default, interest, fraud, segments = (
-        fitted[n] for n in ("approval", "default", "interest", "fraud", "segments"))
+    approval, default, interest, fraud, segments, explained = (
+        fitted[n] for n in ("approval", "default", "interest", "fraud", "segments", "explained"))
     seg_pred = segments.transform(seg)
     sil = M.silhouette(seg_pred)
     names = name_segments(M.centers_frame(spark, segments)).cache()
@@ -100,7 +103,7 @@ def train(spark: SparkSession, feats: DataFrame, key: str = "Loan_ID", trees: in
     rm = rmse(interest.transform(te), "Interest_Rate", "interest_pred").first()["rmse"]
     seg.unpersist()
     data.unpersist()
-    return TrainedModels(approval, default, interest, fraud, segments, stats, names,
+    return TrainedModels(approval, default, interest, fraud, segments, explained, stats, names,
                          metrics={"approval_accuracy": acc, "default_auc": auc, "interest_rate_rmse": rm,
                                   "segmentation_silhouette": sil},
                          params={"rf_estimators": trees, "kmeans_clusters": k,
@@ -125,7 +128,7 @@ def score(df: DataFrame, models: TrainedModels, key: str = "Loan_ID", explain: s
     """Every model over every row, then the decision rules (§2.9).
 
     ``explain``: ``rules`` (T16 fallback map) or ``shap`` (T15 TreeSHAP of the
-    approval forest).  No step shuffles except the k-row segment-name join,
+    approval forest of bounded depth).  No step shuffles except the k-row segment-name join,
     which is broadcast."""
     from riskline.operators.isolation import anomaly_score
 
@@ -145,7 +148,9 @@ def score(df: DataFrame, models: TrainedModels, key: str = "Loan_ID", explain: s
     attributions = None
     if explain == "shap":
         from riskline.operators.treeshap import tree_attributions
-        x = tree_attributions(x, models.approval, FEATURES, out="shap_values", features_col="features")
+        x = models.explained.transform(x).withColumn("explained_probability", M.positive_probability("explained_prob")).drop(
+            "explained_raw", "explained_prob", "explained_pred")
+        x = tree_attributions(x, models.explained, FEATURES, out="shap_values", features_col="features")
         attributions = F.col("shap_values")
     out = decide(x.drop(*[c for c in drop if c != "features"]), default_probability="_pd",
                  raw_anomaly="raw_anomaly", approval_prediction=F.col("approval_pred").cast("int"),
@@ -163,7 +168,8 @@ def score_requests(df: DataFrame, models: TrainedModels, key: str = "Loan_ID", m
 
 
 _KINDS = {"approval": "RandomForestClassificationModel", "default": "RandomForestClassificationModel",
-          "interest": "RandomForestRegressionModel", "segments": "KMeansModel"}
+          "interest": "RandomForestRegressionModel", "segments": "KMeansModel",
+          "explained": "RandomForestClassificationModel"}
 
 
 def save_trained(models: TrainedModels, path: str, spark: SparkSession) -> None:
@@ -217,7 +223,7 @@ def load_trained(spark: SparkSession, path: str) -> TrainedModels:
     fraud = IsolationForestModel(samples=int(size["samples"]), max_depth=int(size["max_depth"]), **arrays)
     params = {k: v if k == "fraud_contamination" else int(v) for k, v in values.get("params", {}).items()}
     return TrainedModels(stages["approval"], stages["default"], stages["interest"], fraud, stages["segments"],
-                         values["segment_stats"], spark.read.parquet(f"{base}/_segment_names"),
+                         stages["explained"], values["segment_stats"], spark.read.parquet(f"{base}/_segment_names"),
                          metrics=values.get("metrics", {}), params=params)
 
 

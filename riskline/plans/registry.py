@@ -496,13 +496,13 @@ def q_score(spark, d):
 
 @query("tree_attributions")
 def q_tree_attributions(spark, d):
-    """TreeSHAP of the approval forest for every application, with the
-    additivity residual |Σφ + E[f] − P(approve)|."""
+    """TreeSHAP of the explained approval forest for every application, with the
+    additivity residual |Σφ + E[f] − P(approve)| on that forest's own probability."""
     from riskline.plans.base import scored
     s = scored(spark, d, explain="shap")
     total = F.aggregate(F.map_values("shap_values"), F.lit(0.0), lambda a, b: a + b)
     return finish(s.select("Loan_ID", _map_text("shap_values").alias("attributions"),
-                           F.abs(total + F.col("shap_values_expected") - F.col("approval_probability"))
+                           F.abs(total + F.col("shap_values_expected") - F.col("explained_probability"))
                            .alias("additivity_residual")))
 
 

@@ -55,3 +55,19 @@ def test_train_and_score(spark, tmp_path):
     append_run(run_row(spark, m), str(tmp_path / "runs"))
     r = read_runs(spark, str(tmp_path / "runs")).first()
     assert r["parameters"]["rf_estimators"] == 10 and r["metrics"]["default_auc"] == m.metrics["default_auc"]
+
+
+def test_scoring_forests_grow_past_the_explained_one(spark):
+    needs_testdata()
+    from riskline.operators.impute import clean_v2
+    from riskline.operators.training import score, train
+    from riskline.sources.loans import loan_view
+
+    feats = clean_v2(loan_view(spark, SF_SMALL), interest_noise_sd=0.2, keep_inputs=True)
+    m = train(spark, feats, trees=3, n_init=1, iso_trees=5, iso_samples=32)
+    for forest in (m.approval, m.default, m.interest):
+        assert forest.getMaxDepth() == 30 and max(t.depth for t in forest.trees) > 8
+    assert max(t.depth for t in m.explained.trees) <= 8
+    total = F.aggregate(F.map_values("shap_values"), F.lit(0.0), lambda a, b: a + b) + F.col("shap_values_expected")
+    residual = F.abs(total - F.col("explained_probability"))
+    assert score(feats.limit(40), m, explain="shap").agg(F.max(residual)).first()[0] < 1e-6
