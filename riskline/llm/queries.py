@@ -36,7 +36,7 @@ def tokenizer(name: str) -> str:
 @query("op1_importance_resampling")
 def q_importance(spark, d):
     return importance.resample(table(spark, d, "documents"), table(spark, d, "labels"),
-                               (F.col("quality") == 1) & (F.col("toxic") == 0), share=0.85)
+                               (F.col("quality") == 1) & (F.col("toxic") == 0))
 
 
 @query("op2_url_rules")

@@ -324,6 +324,13 @@ def test_importance_equals_plain(spark):
     assert np.mean([got[i].kept for i in range(200) if i % 3]) > 0.6 > 0.2 > np.mean([got[i].kept for i in range(0, 200, 3)])
 
 
+def test_importance_query_draws_the_target_share(spark, tmp_path):
+    from riskline.llm.queries import QUERIES
+    spark.createDataFrame([(i, f"word{i} of text {i * 7}") for i in range(200)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 2), int(i % 10 == 1)) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert QUERIES["op1_importance_resampling"](spark, str(tmp_path)).where("kept").count() == 80  # 40 of 100 labelled
+
+
 def test_importance_without_labels_and_ties(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
