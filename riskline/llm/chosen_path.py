@@ -256,6 +256,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
     an empty set and stand alone. Repeated rows and equal texts are in one component; rows that share an
     id but not a text are separate documents; null ids name no component unless alone. Other columns are
     not read. Whole texts are used; the search is randomised, links are confirmed exactly."""
+    out, component = _grouped(docs, similarity, id_col, text_col, width), F.col("component_id")
+    return out.select(F.col("id").alias(id_col), "row", F.col("n").alias("n_shingles"), component,
+                      F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def _grouped(docs: DataFrame, similarity: int, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, row, n, component_id, root) of every row; the root names the component, null for an empty set."""
     spark = docs.sparkSession
     prepare(spark)
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
@@ -267,20 +274,26 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
     join = _Join(rows, classes, width, similarity)
     join.run()
     if join.roots is None:
-        named = classes.select("n", "c1", "c2", F.col("least").alias("component_id"))
+        named = classes.select("n", "c1", "c2", F.col("least").alias("component_id"), F.col("v").alias("root"))
     else:
         placed = classes.select("n", "c1", "c2", "v", "least").join(
             join.roots.select(F.col("vertex").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
         least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = placed.join(least, "root").select("n", "c1", "c2", "component_id")
+        named = placed.join(least, "root").select("n", "c1", "c2", "component_id", "root")
     out = made.select("id", "row", "n", "c1", "c2").join(named, ["n", "c1", "c2"], "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "row", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select("id", "row", "n", component.alias("component_id"), "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that are near-duplicates of a row with a smaller id; all columns."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where("NOT kept").select(F.col("row").alias("_row")).distinct()
+    """``docs`` with one row of each group of near-duplicates, the first by id (null ids last), then row hash;
+    all columns. Of rows with that row's id and text one stays. Texts without a word all stay."""
+    found = staged(_grouped(docs, SIMILARITY, id_col, text_col, SHINGLE).where("n > 0").groupBy("root", "id", "row").count(), "grouped")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    stays = found.join(first.select("root", F.col("first.row").alias("stays")), "root")
+    single = F.col("row") == F.col("stays")
+    gone = stays.where(~single | (F.col("count") > 1)).select(F.col("row").alias("_row")).distinct()
+    again = stays.where(single & (F.col("count") > 1)).select(F.col("row").alias("_row")).distinct()
     row = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`"))
-    return docs.join(gone, row == F.col("_row"), "left_anti")
+    once = docs.join(gone, row == F.col("_row"), "left_anti")
+    return once.unionByName(docs.join(again, row == F.col("_row")).dropDuplicates(["_row"]).drop("_row"))

@@ -191,6 +191,15 @@ def test_near_duplicates_repeated_null_and_empty(spark):
     assert chosen_path.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_one_of_repeated_rows_shared_and_null_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join(words), " ".join(words[:-1] + ["other"])]
+    rows = [(1, near[0]), (1, near[0]), (1, near[1]), (4, near[1]), (None, "p q r s t u"), (None, "P q r s t u"), (None, "p q r s t u"),
+            (8, "e f g"), (8, "e f g"), (9, "l m n"), (None, None), (None, "")]
+    got = [r.doc_id for r in chosen_path.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([1, None, 8, 9, None, None], key=str)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(200, i) for i in range(201, 400)] + [(rng.randrange(500, 900), rng.randrange(500, 900)) for _ in range(250)]
