@@ -304,12 +304,16 @@ def q_label_agreement(spark, d):
 
 @query("detect_columns")
 def q_detect_columns(spark, d):
-    """A14/A15 over the four prediction tables: the detected column names."""
+    """A14/A15 over the four prediction tables, and over the same tables under names that tell nothing,
+    whose columns are found by all rows' values: the detected column names."""
     from riskline.operators.evaluate import detect_prediction_column, detect_probability_column
     from riskline.plans.base import model_outputs
     rows = []
     for m, (df, _, _) in model_outputs(spark, d).items():
         rows.append((m, detect_prediction_column(df), detect_probability_column(df)))
+        plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+        found = detect_prediction_column(plain)
+        rows.append((f"{m}_unnamed", found, detect_probability_column(plain, fallback=True, exclude=("c0", found))))
     return spark.createDataFrame(rows, "model string, prediction_column string, probability_column string")
 
 

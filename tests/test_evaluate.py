@@ -146,3 +146,15 @@ def test_positions_of_text_keys(spark):
     preds = truth.where("Loan_ID < 'LP05'").withColumn("pred", F.lit("Y"))
     got = align_by_position(truth, preds, "Loan_ID", "Loan_ID", ["pred"])
     assert got.count() == 3000 and got.where("pred = 1").count() == preds.count()
+
+
+def test_detect_columns_query_reads_values(spark):
+    from riskline.plans.base import model_outputs
+    from riskline.plans.registry import QUERIES
+    from tests.conftest import SF_SMALL, needs_testdata
+    needs_testdata()
+    got = {r["model"]: (r["prediction_column"], r["probability_column"]) for r in QUERIES["detect_columns"](spark, SF_SMALL).collect()}
+    for m, (df, pred, prob) in model_outputs(spark, SF_SMALL).items():
+        at = df.columns.index
+        assert got[m] == (pred, prob)
+        assert got[f"{m}_unnamed"] == (f"c{at(pred)}", f"c{at(prob)}" if prob else None)
