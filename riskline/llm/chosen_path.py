@@ -5,7 +5,8 @@ minwise tokens (for each of that many hash functions the shingle with the least
 the classes by tokens: a root deals them out by one coordinate's token, and a node that holds more than
 ``LEAF`` classes is branched again by one or two further coordinates, chosen by the node's own hash, so
 that a class that shares its path shares its choices. Two sets of similarity s agree on a coordinate
-with probability s; ``TREES`` independent roots bring the recall at the threshold to the target.
+with probability s; independent roots, as many as the threshold needs, bring the recall at it to the target.
+That counts whole root nodes; a pair that meets only in nodes large enough to be branched can be lost there.
 
 In every root's node each class is first compared with the node's centre (the class with the most company
 over all nodes), which links most copies without comparing all pairs. Nodes whose classes are by then in
@@ -16,6 +17,7 @@ sizes and on agreeing bytes of ``SKETCH`` minwise tokens and are then confirmed
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -31,18 +33,30 @@ SHINGLE = 5
 #: Similarity in hundredths.
 SIMILARITY = 75
 COORDINATES = 32
-#: Roots: at the threshold a pair stays apart in all of them with probability 0.25 ** TREES, one in a million.
-TREES = 10
+#: At the threshold a pair stays apart in all roots with this probability at most.
+MISSED = 1e-6
 LEAF = 1024
 DEPTH = 8
 #: Hash functions of a class's sketch, a byte of each one's token; the first ``COORDINATES`` make the paths.
 SKETCH = 128
-#: Agreeing bytes that a pair needs to be confirmed; 0.75 leaves fewer about once in 200,000 times.
-AGREEING = 74
+#: A pair is confirmed if its agreeing bytes are this many standard deviations below the threshold's mean at least.
+DEVIATIONS = 4.5
 
 _SEEDS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+def trees(similarity: int) -> int:
+    """Roots for a threshold in hundredths; below 0.36 ``COORDINATES`` are too few for the target."""
+    apart = 1 - similarity / 100
+    return min(COORDINATES, math.ceil(math.log(MISSED) / math.log(apart))) if 0 < apart < 1 else 1 if apart <= 0 else COORDINATES
+
+
+def agreeing(similarity: int) -> int:
+    """Agreeing bytes of a sketch that a pair needs to be confirmed; 74 at 0.75."""
+    s = similarity / 100
+    return max(0, round(SKETCH * s - DEVIATIONS * math.sqrt(SKETCH * s * (1 - s))))
+
+
 def shingle_sets(words: np.ndarray, first: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer words is one shingle of all of them."""
     grams = gram_hashes(words, width)
@@ -127,7 +141,7 @@ class _Join:
 
     def fits(self, a: str, b: str) -> Column:
         small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-        return (small * 100 >= large * self.similarity) & (_agreeing(a, b) >= AGREEING)
+        return (small * 100 >= large * self.similarity) & (_agreeing(a, b) >= agreeing(self.similarity))
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
         """Distinct (a, b), a < b, whose sizes and sketches allow the similarity."""
@@ -225,7 +239,7 @@ class _Join:
         return rows.select(F.xxhash64("node", "k", F.get("tokens", F.col("k"))).alias("node"), "v")
 
     def run(self) -> None:
-        roots = self.classes.select("v", F.posexplode(F.slice("tokens", 1, TREES)).alias("k", "token"))
+        roots = self.classes.select("v", F.posexplode(F.slice("tokens", 1, trees(self.similarity))).alias("k", "token"))
         nodes = self.open_nodes(roots.select(F.xxhash64("k", "token").alias("node"), "v"))
         if nodes.isEmpty():
             return

@@ -182,6 +182,17 @@ def test_near_duplicates_equal_plain(spark, monkeypatch, leaf, depth):
     assert all(got[i].n_shingles == len(s) and got[i].kept == (want[i] == i) for i, s in enumerate(sets))
 
 
+def test_near_duplicates_at_half(spark):
+    assert chosen_path.trees(75) == 10 and chosen_path.agreeing(75) == 74
+    words = [[f"w{i}x{k}" for k in range(100)] for i in range(30)]
+    texts = [" ".join(w) for w in words] + [" ".join(w[:62] + ["n"] * 5 + w[:20]) for w in words]
+    sets = plain_sets(texts)
+    assert all(0.5 <= len(a & b) / len(a | b) < 0.6 for a, b in zip(sets[:30], sets[30:]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in chosen_path.near_duplicates(docs, similarity=50).collect()}
+    assert got == {i: i % 30 for i in range(60)}
+
+
 def test_near_duplicates_repeated_null_and_empty(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (3, "A b c d e f"), (5, "other words of the same id"), (None, "x y z"), (None, None), (7, "x y z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
