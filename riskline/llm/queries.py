@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskline.llm import chosen_path, hash_tree, importance, langid, line_dedup, sentencepiece, token_counts, url_rules, va_file, winnow
+from riskline.llm import (bpe, chosen_path, hash_tree, importance, langid, line_dedup, piece_table, sentencepiece, spelling,
+                          token_counts, url_rules, va_file, winnow)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -159,3 +160,70 @@ def q_sentencepiece(spark, d):
     ids = sentencepiece.encode_documents(docs, model).drop("text")
     out = sentencepiece.decode_documents(ids, model)
     return out.select("doc_id", "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(0)).alias("n_pieces"), "decoded")
+
+
+@query("op11_bpe")
+def q_bpe(spark, d):
+    model = tokenizer("word_bpe_49k.json")
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = bpe.decode_documents(bpe.encode_documents(docs, model).drop("text"), model)
+    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), bpe.ids_sha256(F.col("token_ids")).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_fill_in_middle")
+def q_fill_in_middle(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return piece_table.fill_in_middle(docs, digests=True).drop("text")
+
+
+ORACLE["op12_fill_in_middle"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+       regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+d AS (SELECT doc_id, text, u, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS UBIGINT) % (len(u) + 1) AS x,
+       CAST('0x' || substr(h, 9, 8) AS UBIGINT) % (len(u) + 1) AS y, CAST('0x' || substr(h, 17, 8) AS UBIGINT) % 100 AS a,
+       CAST('0x' || substr(h, 25, 8) AS UBIGINT) % 100 AS b FROM t),
+p AS (SELECT doc_id, text, n, coalesce(array_to_string(u[1:least(x, y)], ''), '') AS pre,
+       coalesce(array_to_string(u[least(x, y) + 1:greatest(x, y)], ''), '') AS mid,
+       coalesce(array_to_string(u[greatest(x, y) + 1:n], ''), '') AS suf,
+       CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR a >= 50 THEN 'plain'
+            WHEN b < 80 THEN 'spm' ELSE 'psm' END AS form FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query("op13_spelling_variants")
+def q_spelling(spark, d):
+    return spelling.group_variants(spelling.count_words(table(spark, d, "documents")))
+
+
+ORACLE["op13_spelling_variants"] = r"""
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL
+       SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+       'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+told AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(x), 2),
+       lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))), lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1])), 4294967295) AS h FROM told, crc),
+words AS MATERIALIZED (SELECT word, sum(n) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+       ELSE run END AS word, n FROM hashed) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+holes AS MATERIALIZED (SELECT word, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS p FROM places),
+shorter AS (SELECT DISTINCT word, substr(word, 1, i - 1) || substr(word, i + 1) AS p FROM places),
+less AS MATERIALIZED (SELECT s.word AS a, w.word AS b FROM shorter s JOIN words w ON w.word = s.p),
+near AS (SELECT x.word AS a, y.word AS b FROM holes x JOIN holes y ON x.p = y.p AND x.word <> y.word
+       UNION ALL SELECT a, b FROM less UNION ALL SELECT b, a FROM less),
+ranked AS (SELECT a, b, w.n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY w.n DESC, b) AS r
+       FROM near JOIN words w ON w.word = b),
+named AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN r.n >= 5 * w.n THEN b END AS form,
+       CASE WHEN r.n >= 5 * w.n THEN r.n END AS form_n FROM words w LEFT JOIN ranked r ON r.a = w.word AND r.r = 1),
+way(word, place, step) AS (SELECT word, word, 0 FROM named UNION ALL
+       SELECT way.word, named.form, step + 1 FROM way JOIN named ON named.word = way.place WHERE named.form IS NOT NULL),
+roots AS (SELECT word, arg_max(place, step) AS root FROM way GROUP BY word)
+SELECT word, form, root, CAST(n AS BIGINT) AS n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM named JOIN roots USING (word)
+"""
