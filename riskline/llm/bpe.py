@@ -18,6 +18,7 @@ import json
 import re
 import sys
 import unicodedata
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,19 @@ def unassigned() -> re.Pattern:
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(begins, ends)) + "]")
 
 
+def plain_plane(pattern: str) -> re.Pattern | None:
+    """The pattern over explicit classes of the basic plane, which ``re`` looks up in a bitmap; for texts without
+    other characters. None if the pattern uses classes otherwise than within brackets, or other ones."""
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    outside = regex.sub(r"\[(?:[^\]\\]|\\.)*\]", "", pattern)
+    if "\\" in outside or not set(regex.findall(r"\\(p\{\w+\}|.)", pattern)) <= {"p{L}", "p{N}", "s"}:
+        return None
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        runs = [(m[0][0], m[0][-1]) for m in regex.finditer(f"[{name}]+", plane)]
+        pattern = pattern.replace(name, "".join(f"\\u{ord(a):04x}-\\u{ord(b):04x}" for a, b in runs))
+    return re.compile(pattern)
+
+
 def _single_tuples(merges: list) -> list[tuple[str, str]]:
     return [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
 
@@ -79,6 +93,7 @@ class Model:
         self.forms = [n["type"] for n in steps if n["type"] != "Replace"]
         split = self._steps(spec["pre_tokenizer"], "pretokenizers")[0]
         self.words = regex.compile(split["pattern"]["Regex"])
+        self.plane_words = plain_plane(split["pattern"]["Regex"]) or self.words
         size = max([*vocab.values(), *self.added.values()]) + 1
         self.texts = [b""] * size
         for token, i in [*vocab.items(), *self.added.items()]:
@@ -128,7 +143,7 @@ class Model:
         keys = left * self.size + right
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], order.astype(np.int64)
-        self.made = made.tolist()
+        self.made, self.made_by = made.tolist(), made
         self.rank = dict(zip(zip(left.tolist(), right.tolist()), range(len(made))))
 
     def _index(self, vocab: dict[str, int]) -> None:
@@ -248,8 +263,6 @@ class Model:
         ids = self.inner[data].tolist()
         ids[-1] = int(self.final[data[-1]])
         n = len(ids)
-        if n <= 64:
-            return self._merge_short(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.rank.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -268,21 +281,35 @@ class Model:
         return [t for t in ids if t >= 0]
 
 
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        rank, never = self.rank.get, int(NEVER)
-        ranks = [rank(pair, never) for pair in zip(ids, ids[1:])]
-        while ranks:
-            least = min(ranks)
-            if least == never:
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`merge` for words of one length together: the ids of all in a row, and how many each has."""
+        n, length = len(words), len(words[0])
+        data = np.frombuffer(b"".join(words), np.uint8).reshape(n, length)
+        ids = self.inner[data]
+        ids[:, -1] = self.final[data[:, -1]]
+        ranks = np.full((n, length), NEVER)  # of the pair that begins at each token
+        ranks[:, :-1] = self.pair_rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, length - 1)
+        size, rows = np.full(n, length), np.arange(n)
+        columns = np.arange(length)
+        while len(rows):
+            at = ranks[rows].argmin(axis=1)  # the first of equal ones: the leftmost
+            rank = ranks[rows, at]
+            go = rank < NEVER
+            rows, at, rank = rows[go], at[go], rank[go]
+            if not len(rows):
                 break
-            i = ranks.index(least)
-            ids[i:i + 2] = [self.made[least]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank((ids[i], ids[i + 1]), never)
-            if i:
-                ranks[i - 1] = rank((ids[i - 1], ids[i]), never)
-        return ids
+            take = np.minimum(columns + (columns > at[:, None]), length - 1)  # what stands behind moves up
+            tokens, mine = np.take_along_axis(ids[rows], take, 1), np.take_along_axis(ranks[rows], take, 1)
+            size[rows] -= 1
+            some, last = np.arange(len(rows)), size[rows] - 1
+            tokens[some, at] = self.made_by[rank]
+            mine[some, last] = NEVER
+            mine[:, -1] = NEVER
+            for place in (at - 1, at):
+                k = np.flatnonzero((place >= 0) & (place < last))
+                mine[k, place[k]] = self.pair_rank(tokens[k, place[k]], tokens[k, place[k] + 1])
+            ids[rows], ranks[rows] = tokens, mine
+        return ids[columns < size[:, None]], size
 
 
 class Codec:
@@ -308,8 +335,12 @@ class Codec:
     def plain_words(self, text: str) -> list[str]:
         """The words of a text without special tokens. Where classes of characters may differ with the version of
         Unicode, the library's own rules cut it."""
-        if text.isascii() or not self.unassigned.search("".join(set(text))):
-            return self.model.words.findall(self.normalise(text))
+        if text.isascii():
+            return self.model.plane_words.findall(self.normalise(text))
+        normal = self.normalise(text)
+        chars = "".join({*normal, *text})
+        if not self.unassigned.search(chars):
+            return (self.model.plane_words if max(chars) < "\U00010000" else self.model.words).findall(normal)
         if self.library.normalizer is not None:
             text = self.library.normalizer.normalize_str(text)
         cut = self.library.pre_tokenizer.pre_tokenize_str(text)
@@ -348,14 +379,20 @@ class Codec:
         pairs, back = np.unique(flat[inside] * self.model.size + flat[inside + 1], return_inverse=True)
         fits = self.model.compatible(pairs // self.model.size, pairs % self.model.size)[back]
         good[owner[inside[~fits]]] = False
-        data, at = flat.astype(np.int32).tobytes(), 0
-        for i, n, right in zip(which, (4 * count).tolist(), good.tolist()):
-            if right:
-                self.known[words[i]] = data[at:at + n]
-            else:
-                self.merged += 1
+        self._remember([words[i] for i in which], flat, count)
+        wrong = [which[k] for k in np.flatnonzero(~good)]
+        self.merged += len(wrong)
+        short = [i for i in wrong if len(raw[i]) <= LONG_WORD]
+        for run in by_length([raw[i] for i in short]):
+            group = [short[k] for k in run]
+            self._remember([words[i] for i in group], *self.model.merge_all([raw[i] for i in group]))
+        for i in wrong:
+            if len(raw[i]) > LONG_WORD:
                 self.known[words[i]] = np.array(self.model.merge(raw[i]), np.int32).tobytes()
-            at += n
+
+    def _remember(self, words: list[str], flat: np.ndarray, count: np.ndarray) -> None:
+        data, ends = flat.astype(np.int32).tobytes(), (4 * np.cumsum(count)).tolist()
+        self.known.update(zip(words, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))))
 
     def encode(self, texts: list[str | None], most: int = 1 << 20):
         """The ids of each text as int32 bytes (little-endian), None for None; about ``most`` characters at once."""
@@ -371,7 +408,7 @@ class Codec:
             if not self.known:
                 self.known.update({t: np.array([i], np.int32).tobytes() for t, i in self.model.added.items()})
             known = self.known
-            self.learn(list({w for words in cut for w in words if w not in known}))
+            self.learn(list(filterfalse(known.__contains__, set().union(*cut))))
             for t, words in zip(texts[begin:end], cut):
                 yield None if t is None else b"".join(map(known.__getitem__, words))
             begin = end
@@ -396,6 +433,13 @@ class Codec:
         return b" ".join(parts).decode("utf-8")
 
 
+    def decode_array(self, rows: pa.Array) -> pa.Array:
+        ids = rows.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        ends = np.cumsum([0] + [n or 0 for n in pa.compute.list_value_length(rows).to_pylist()]).tolist()
+        texts = [self.decode(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])]
+        return pa.array([t if ok else None for t, ok in zip(texts, rows.is_valid().to_pylist())], pa.string())
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -419,8 +463,7 @@ def decode(ids: Column, path: str) -> Column:
     """Texts of a column of ids; null stays null."""
     @arrow_udf("string")
     def run(rows: pa.Array) -> pa.Array:
-        decoder = codec(path)
-        return pa.array([None if r is None else decoder.decode(r) for r in (rows[i].as_py() for i in range(len(rows)))], pa.string())
+        return codec(path).decode_array(rows)
 
     return run(ids)
 

@@ -17,7 +17,7 @@ from riskline.llm import bpe, piece_table, spelling
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 ODD = [None, "", " ", "\n", "a", " a  b\n\n c\t ", "it's  what'll x 　y", "x<|endoftext|>y <|endoftext|> z<|startoftext|>",
        "日本語。テキスト、です" * 40, "a" * 5000, "word," * 3000, "\x1c a\x1d\x1e. b\x1f", "😀 👩‍👩‍👧 ok", "ΑΣ ΣΑΣ İß ǅ K Å ﬁ é",
-       "1,234.5 6½ ² Ⅷ ١٢", "\x00\x01 z", "͸ \U0001e6c0x", "<P>x", "a <S> b", "q<M>", "<<P", "tail  ", "=-" * 700, "Straßenbahn straßenbahm"]
+       "1,234.5 6½ ² Ⅷ ١٢", "\ufa6c a\ufacf", "\x00\x01 z", "͸ \U0001e6c0x", "<P>x", "a <S> b", "q<M>", "<<P", "tail  ", "=-" * 700, "Straßenbahn straßenbahm"]
 
 
 @pytest.fixture(scope="module")
@@ -69,14 +69,23 @@ def test_compatible_pairs_are_what_merging_keeps():
     assert model.compatible(a, b).tolist() == whole and 100 < sum(whole) < 3990
 
 
-def test_bpe_long_words_and_heap():
+def test_bpe_merging_together_and_alone():
     model = bpe.Model(WORD_BPE)
     rng = random.Random(8)
-    for n in (65, 300, 2000):
-        word = bytes(rng.choices(b"abcdefghinorstu", k=n))
-        ids = model.inner[np.frombuffer(word, np.uint8)].tolist()
-        ids[-1] = int(model.final[word[-1]])
-        assert model.merge(word) == model._merge_short(ids)
+    for n in (1, 2, 3, 9, 65, 300):
+        words = [bytes(rng.choices(b"aabcdefghinorstu\xc3\xa9", k=n)) for _ in range(50)]
+        ids, count = model.merge_all(words)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [model.merge(w) for w in words]
+    long = bytes(rng.choices(b"abcdefghinorstu", k=100_000))
+    assert sum(len(model.texts[i].replace(b"</w>", b"")) for i in model.merge(long)) == len(long)
+
+
+def test_bpe_words_of_the_basic_plane():
+    model = bpe.Model(WORD_BPE)
+    assert model.plane_words is not model.words
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    assert model.plane_words.findall(plane) == model.words.findall(plane)
+    assert bpe.plain_plane(r"\p{L}+|\s") is None and bpe.plain_plane(r"[\p{Lu}]+") is None
 
 
 def test_bpe_refuses_other_files():
