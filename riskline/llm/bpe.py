@@ -456,7 +456,8 @@ def encode(text: Column, path: str) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         return codec(path).encode_array(texts)
 
-    return run(text)
+    # so called, Spark does not repeat it inside every function of the ids
+    return run.asNondeterministic()(text)
 
 
 def decode(ids: Column, path: str) -> Column:

@@ -14,6 +14,8 @@ is one row per language and piece.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,14 +42,20 @@ MAX_LANGUAGES = 256
 REMEMBERED = 400_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Numbers that are no digits (as ½ or Ⅷ), which ``re`` counts among the word characters; no letters of \\p{L}.
+_NUMBERS = {i: " " for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("No", "Nl")}
+_NUMBER_CHARS = frozenset(map(chr, _NUMBERS))
 
 
 def words_of(text: str | None) -> list[str]:
     """Marked, lower-cased runs of letters, in parts of at most ``PART`` letters."""
     if not text:
         return []
+    text = text.lower()
+    if not text.isascii() and not _NUMBER_CHARS.isdisjoint(set(text)):
+        text = text.translate(_NUMBERS)
     out = []
-    for w in _LETTERS.findall(text.lower()):
+    for w in _LETTERS.findall(text):
         if len(w) <= PART:
             out.append(MARK + w)
         else:

@@ -11,6 +11,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import sentencepiece
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -22,6 +23,42 @@ LATTICE_CELLS = 100_000
 LEADING_BITS = 18
 
 
+def _fields(data: bytes):
+    """(number, value) of every field of a serialised protocol buffer: numbers, or bytes."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value, shift = 0, 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+            continue
+        size = {1: 8, 5: 4}.get(key & 7)
+        size = number() if size is None else size
+        yield key >> 3, data[at:at + size]
+        at += size
+
+
+def require_identity(path: str) -> None:
+    """Raise if the model file's normaliser changes characters or white space beyond the mark in front and for spaces,
+    which is all that texts get here."""
+    with open(path, "rb") as f:
+        spec = dict(_fields(next((v for k, v in _fields(f.read()) if k == 3), b"")))
+    # fields: 2 table of characters, 3 mark in front, 4 extra white space goes, 5 spaces become marks; 3 to 5 are on by default
+    if spec.get(2) or spec.get(4, 1) or not spec.get(3, 1) or not spec.get(5, 1):
+        raise ValueError("the model file's normaliser changes texts, which is not reproduced here")
+
+
 class Vocabulary:
     """The pieces of a SentencePiece model file: text, id, log-probability; and its byte pieces.
 
@@ -29,8 +66,7 @@ class Vocabulary:
     log-probabilities: pieces then get those of Zipf's law by rank, log(1 / (rank + 1)), normalised."""
 
     def __init__(self, path: str):
-        import sentencepiece
-
+        require_identity(path)
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         self.texts = [model.id_to_piece(i) for i in range(n)]

@@ -179,7 +179,8 @@ def encode(text: Column, model: str) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         return codec(model).encode_array(texts)
 
-    return run(text)
+    # so called, Spark does not repeat it inside every function of the ids
+    return run.asNondeterministic()(text)
 
 
 def decode(ids: Column, model: str) -> Column:

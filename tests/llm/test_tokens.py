@@ -156,6 +156,14 @@ def test_expected_uses_add_up():
     assert math.isclose((uses[0] * v.lengths).sum(), 15.0)  # every letter and mark is covered once
 
 
+def test_letters_are_those_of_unicode():
+    import regex
+    plane = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x11000)]))
+    letters = {c for w in langid.words_of(plane) for c in w if c != MARK}
+    assert letters == set(regex.sub(r"\P{L}", "", "".join(c for c in plane.lower() if c.isalpha())))
+    assert langid.words_of("² ½ Ⅷ 12 _ x²y") == [MARK + "x", MARK + "y"] and langid.words_of("½Ⅷ") == []
+
+
 def test_language_id(spark):
     rows = [Row(doc_id=i, text=t, lang=g, lang_pred="mine", score="x") for i, (t, g) in enumerate(
         [("the house and the garden of that street", "en"), ("das haus und der garten in der straße", "de")] * 20
