@@ -1,27 +1,20 @@
-"""Splits, scaling and the Spark ML models.
+"""Splits, scaling and the Spark ML models.
 
 The feature frame is prepared once (cleaned, assembled, cached by the caller)
 and every model reads it.  Splits depend only on the row key and a seed — never
 on partitioning — so a re-run or a lost executor gives the same rows.
 
-Parity limits with the reference (stated, not hidden): Spark's trees bin
-continuous features (``maxBins``), have no ``min_samples_split`` and stop at
-depth 30; random draws differ; k-means starts differ; the silhouette here is
-Spark's squared-Euclidean one (an exact Euclidean silhouette needs all point
-pairs).
+Parity limits with the reference (stated, not hidden): random draws differ, so
+fitted models are compared by invariants and quality.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, NaiveBayes,
-                                       RandomForestClassifier)
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,55 +122,5 @@ def fit_decision_tree(train: DataFrame, label: str, features: str = "features",
                                   maxBins=max_bins, seed=seed).fit(train)
 
 
-def fit_random_forest(train: DataFrame, label: str, features: str = "features", trees: int = 100,
-                      seed: int = 22, max_depth: int = 30, max_bins: int = 64):
-    """100-tree forest, √p features per split.  The reference grows trees
-    to full depth; Spark stops at 30, the default."""
-    return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=max_depth,
-                                  maxBins=max_bins, featureSubsetStrategy="sqrt", seed=seed).fit(train)
-
-
-def fit_interest(train: DataFrame, label: str, features: str = "features", trees: int = 100,
-                 seed: int = 22, max_depth: int = 12, max_bins: int = 64):
-    """Random forest regressor considering all features at each split."""
-    return RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=max_depth,
-                                 maxBins=max_bins, featureSubsetStrategy="all", seed=seed).fit(train)
-
-
-# --- T12 / A18 ----------------------------------------------------------------------
+# T7–T10 are in ``forest``, T12 and A18 in ``segments``
 SEGMENT_INPUTS = ["TotalIncome", "LoanAmount", "Credit_History"]
-
-
-def fit_segments(df: DataFrame, k: int = 3, seed: int = 42, n_init: int = 10, features: str = "seg_features",
-                 parallel: int = 4):
-    """K-means on standardised (income, amount, credit); best of ``n_init``
-    seeds by training cost (ties → earliest seed).  The starts are independent
-    Spark jobs, submitted from ``parallel`` threads so small fits share the
-    cluster instead of queueing; the caller caches ``df`` (every start reads it)."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    def one(i):
-        return i, KMeans(featuresCol=features, k=k, seed=seed + i, maxIter=300).fit(df)
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallel, n_init))) as pool:
-        fits = list(pool.map(one, range(n_init)))
-    return min(fits, key=lambda im: (im[1].summary.trainingCost, im[0]))[1]
-
-
-def segment_frame(df: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
-    """Standardised segment inputs assembled as ``seg_features``."""
-    z = standardize(df, SEGMENT_INPUTS, fit_on, suffix="_z")
-    return VectorAssembler(inputCols=[f"{c}_z" for c in SEGMENT_INPUTS], outputCol="seg_features").transform(z)
-
-
-def centers_frame(spark, model) -> DataFrame:
-    """(cluster, income_center, amount_center, credit_center) of a k-means model (k rows)."""
-    rows = [(i, float(c[0]), float(c[1]), float(c[2])) for i, c in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(rows, "cluster int, income_center double, amount_center double, credit_center double")
-
-
-def silhouette(pred: DataFrame, features: str = "seg_features", prediction: str = "prediction") -> float:
-    """Spark's silhouette (squared Euclidean), computed from per-cluster
-    aggregates in one pass — the reference's Euclidean one needs every point pair."""
-    return ClusteringEvaluator(featuresCol=features, predictionCol=prediction,
-                               distanceMeasure="squaredEuclidean").evaluate(pred)

@@ -1,120 +1,114 @@
 """Production training (v2) and batch scoring.
 
-``train`` fits every model on one prepared feature frame:
-
-* one stratified split, with all three targets on the same row (the reference
-  splits three times and misaligns the default and interest targets: D-1, D-2);
-* approval and default forests, interest forest regressor, isolation forest and
-  k-means segments; hold-out metrics as one run-log row.
-
-``score`` applies all of them to any frame of features in one pass (each model
-is a projection once fitted), then the decision rules — the same code serves a
-table and a stream.
+``train`` prepares one split, with all three targets on the same row (the reference
+splits three times and misaligns the default and interest targets: D-1, D-2). The
+models are fitted by name, each when it is first asked for: approval and default
+forests, the interest forest, the isolation forest, the segments, and the hold-out
+metrics as one run-log row.
+
+``score`` applies all of them to any frame of features (each model is a projection
+once fitted), then the decision rules — the same code serves a table and a stream.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import cached_property
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskline.functions import encode as E
 from riskline.functions import rules as R
+from riskline.operators import forest as G
 from riskline.operators import models as M
+from riskline.operators import segments as S
 from riskline.operators.decide import decide, name_segments
 from riskline.operators.evaluate import roc_auc, rmse
+from riskline.operators.isolation import IsolationForestModel, anomaly_score, fit_isolation_forest
 from riskline.schema import FEATURES, RUN
 
+#: Draws of a tree at most: noisy classes gain nothing from more (README), values do.
+CLASS_ROWS, VALUE_ROWS = 2_048, 16_384
+
 
-@dataclass
 class TrainedModels:
-    approval: object
-    default: object
-    interest: object
-    fraud: object
-    segments: object
-    explained: object                  # approval forest of bounded depth, for TreeSHAP only
-    segment_stats: dict                # means m_<c> and population stds s_<c> of the segment inputs
-    segment_names: DataFrame           # k rows: cluster → name
-    metrics: dict = field(default_factory=dict)
-    params: dict = field(default_factory=dict)
-
-
-def _named(model, prefix: str):
-    """Give a fitted model distinct output columns so several can be chained."""
-    for setter, suffix in (("setPredictionCol", "pred"), ("setProbabilityCol", "prob"),
-                           ("setRawPredictionCol", "raw")):
-        if hasattr(model, setter):
-            getattr(model, setter)(f"{prefix}_{suffix}")
-    return model
-
-
-def train(spark: SparkSession, feats: DataFrame, key: str = "Loan_ID", trees: int = 100, max_depth: int = 30,
-          seed: int = 42, forest_seed: int = 22, k: int = 3, n_init: int = 10,
-          iso_trees: int = 100, iso_samples: int = 256, contamination: float = 0.05,
-          explained_depth: int = 8) -> TrainedModels:
-    """Fit the v2 models on ``feats`` (v2 features with Loan_Status_encoded,
-    Default, Interest_Rate).  The assembled frame is cached: every fit reads it.
-
-    ``max_depth`` bounds every forest that scores; the reference grows unbounded trees, and
-    30 is the deepest Spark accepts. TreeSHAP is linear in leaves, which grow as 2^depth, so
-    it explains an approval forest of its own, of ``explained_depth``."""
-    from riskline.operators.isolation import fit_isolation_forest
-
-    data = M.assemble(feats.where(F.col("Loan_Status_encoded").isNotNull()))
-    data = M.stratified_split(data, "Loan_Status_encoded", key, 0.2, seed).cache()
-    tr, te = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
-
-    seg_in = data.select(key, *M.SEGMENT_INPUTS)
-    from riskline.operators.ranking import one_row
-    stats = one_row(seg_in.agg(*[F.avg(c).alias(f"m_{c}") for c in M.SEGMENT_INPUTS],
-                               *[F.stddev_pop(c).alias(f"s_{c}") for c in M.SEGMENT_INPUTS]))
-    seg = _apply_segment_scaling(seg_in, stats).cache()
-
-    # six independent fits over cached frames, submitted as concurrent Spark jobs
-    from concurrent.futures import ThreadPoolExecutor
-    jobs = {
-        "segments": lambda: M.fit_segments(seg, k=k, seed=seed, n_init=n_init),
-        "approval": lambda: _named(M.fit_random_forest(tr, "Loan_Status_encoded", trees=trees, seed=forest_seed,
-                                                       max_depth=max_depth), "approval"),
-        "default": lambda: _named(M.fit_random_forest(tr, "Default", trees=trees, seed=forest_seed,
-                                                      max_depth=max_depth), "default"),
-        "interest": lambda: _named(M.fit_interest(tr, "Interest_Rate", trees=trees, seed=forest_seed,
-                                                  max_depth=max_depth), "interest"),
-        "explained": lambda: _named(M.fit_random_forest(tr, "Loan_Status_encoded", trees=trees, seed=forest_seed,
-                                                        max_depth=min(max_depth, explained_depth)), "explained"),
-        "fraud": lambda: fit_isolation_forest(data, FEATURES, key, trees=iso_trees, samples=iso_samples, seed=seed),
-    }
-    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-        futures = {name: pool.submit(fn) for name, fn in jobs.items()}
-        fitted = {name: f.result() for name, f in futures.items()}
-    approval, default, interest, fraud, segments, explained = (
-        fitted[n] for n in ("approval", "default", "interest", "fraud", "segments", "explained"))
-    seg_pred = segments.transform(seg)
-    sil = M.silhouette(seg_pred)
-    names = name_segments(M.centers_frame(spark, segments)).cache()
-
-    scored = approval.transform(te)
-    acc = scored.agg(F.avg((F.col("approval_pred") == F.col("Loan_Status_encoded")).cast("double"))).first()[0]
-    pd_te = default.transform(te).withColumn("p", M.positive_probability("default_prob"))
-    auc = roc_auc(pd_te.select(F.col("Default").alias("label"), "p"), "label", "p", by=()).first()["auc"]
-    rm = rmse(interest.transform(te), "Interest_Rate", "interest_pred").first()["rmse"]
-    seg.unpersist()
-    data.unpersist()
-    return TrainedModels(approval, default, interest, fraud, segments, explained, stats, names,
-                         metrics={"approval_accuracy": acc, "default_auc": auc, "interest_rate_rmse": rm,
-                                  "segmentation_silhouette": sil},
-                         params={"rf_estimators": trees, "kmeans_clusters": k,
-                                 "fraud_contamination": contamination})
-
-
-def _apply_segment_scaling(df: DataFrame, stats: dict) -> DataFrame:
-    """Standardise the segment inputs with the training statistics (literals)."""
-    x = M.scale_with(df, M.SEGMENT_INPUTS, stats, suffix="_z")
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=[f"{c}_z" for c in M.SEGMENT_INPUTS], outputCol="seg_features").transform(x)
+    """The v2 models over one prepared table; ``how`` are the parameters of :func:`train`."""
+
+    def __init__(self, spark: SparkSession, data: DataFrame | None, key: str, **how):
+        self.spark, self.data, self.key, self.how = spark, data, key, how
+
+    @cached_property
+    def _train(self) -> DataFrame:
+        return self.data.where("split = 'train'")
+
+    @cached_property
+    def _test(self) -> DataFrame:
+        return self.data.where("split = 'test'")
+
+    def _forest(self, label: str, regression: bool = False) -> G.Forest:
+        rows = self.how["value_rows"] if regression else self.how["class_rows"]
+        return G.fit_forest(self._train, label, FEATURES, self.key, trees=self.how["trees"], seed=self.how["forest_seed"],
+                            regression=regression, rows_per_tree=rows)
+
+    @cached_property
+    def approval(self) -> G.Forest:
+        return self._forest("Loan_Status_encoded")
+
+    @cached_property
+    def default(self) -> G.Forest:
+        return self._forest("Default")
+
+    @cached_property
+    def interest(self) -> G.Forest:
+        return self._forest("Interest_Rate", regression=True)
+
+    @cached_property
+    def fraud(self) -> IsolationForestModel:
+        return fit_isolation_forest(self._train, FEATURES, self.key, trees=self.how["iso_trees"], samples=self.how["iso_samples"],
+                                    seed=self.how["seed"])
+
+    @cached_property
+    def segments(self) -> S.Segments:
+        return S.fit_segments(self.data, self.key, k=self.how["k"], seed=self.how["seed"], n_init=self.how["n_init"])
+
+    @cached_property
+    def segment_names(self) -> dict[int, str]:
+        """The name of each of the k clusters."""
+        return {r["cluster"]: r["segment_name"] for r in name_segments(S.centers_frame(self.spark, self.segments)).collect()}
+
+    @cached_property
+    def params(self) -> dict:
+        return {"rf_estimators": self.how["trees"], "kmeans_clusters": self.how["k"], "fraud_contamination": self.how["contamination"]}
+
+    @cached_property
+    def metrics(self) -> dict:
+        """Hold-out metrics; fits the forests and the segments."""
+        held = with_interest(with_default(with_approval(self._test, self), self), self)
+        held = held.select("Loan_Status_encoded", F.col("Default").alias("label"), "Interest_Rate", "approval_pred",
+                           F.col("default_probability").alias("p"), "interest_pred").cache()
+        out = {"approval_accuracy": held.agg(F.avg((F.col("approval_pred") == F.col("Loan_Status_encoded")).cast("double"))).first()[0],
+               "default_auc": roc_auc(held.select("label", "p"), "label", "p", by=()).first()["auc"],
+               "interest_rate_rmse": rmse(held, "Interest_Rate", "interest_pred").first()["rmse"],
+               "segmentation_silhouette": S.silhouette(self.data, self.segments, self.key, self.how["seed"])}
+        held.unpersist()
+        return out
+
+
+def train(spark: SparkSession, feats: DataFrame, key: str = "Loan_ID", trees: int = 100, seed: int = 42, forest_seed: int = 22,
+          k: int = 3, n_init: int = 10, iso_trees: int = 100, iso_samples: int = 256, contamination: float = 0.05,
+          class_rows: int = CLASS_ROWS, value_rows: int = VALUE_ROWS) -> TrainedModels:
+    """The v2 models for ``feats`` (v2 features with Loan_Status_encoded, Default, Interest_Rate); nothing is fitted
+    before it is asked for. Key, features, targets and split are written to the shared folder once.
+
+    Trees grow until their leaves are pure, each on a bootstrap of ``class_rows`` or ``value_rows`` draws at most."""
+    from riskline.session import scratch_path
+    targets = [c for c in ("Loan_Status_encoded", "Default", "Interest_Rate") if c in feats.columns]
+    data = feats.where(F.col("Loan_Status_encoded").isNotNull()).select(key, *FEATURES, *targets)
+    path = scratch_path(spark, "training")
+    M.stratified_split(data, "Loan_Status_encoded", key, 0.2, seed).write.parquet(path)
+    return TrainedModels(spark, spark.read.parquet(path), key, trees=trees, seed=seed, forest_seed=forest_seed, k=k, n_init=n_init,
+                         iso_trees=iso_trees, iso_samples=iso_samples, contamination=contamination, class_rows=class_rows, value_rows=value_rows)
 
 
 def run_row(spark: SparkSession, models: TrainedModels, when: datetime | None = None) -> DataFrame:
@@ -124,68 +118,102 @@ def run_row(spark: SparkSession, models: TrainedModels, when: datetime | None =
     return spark.createDataFrame([row], RUN)
 
 
-def score(df: DataFrame, models: TrainedModels, key: str = "Loan_ID", explain: str = "rules") -> DataFrame:
-    """Every model over every row, then the decision rules (§2.9).
-
-    ``explain``: ``rules`` (T16 fallback map) or ``shap`` (T15 TreeSHAP of the
-    approval forest of bounded depth).  No step shuffles except the k-row segment-name join,
-    which is broadcast."""
-    from riskline.operators.isolation import anomaly_score
-
-    x = M.assemble(df)
-    x = models.approval.transform(x)
-    x = models.default.transform(x)
-    x = models.interest.transform(x)
-    x = anomaly_score(x, models.fraud, FEATURES, out="raw_anomaly")
-    x = _apply_segment_scaling(x, models.segment_stats)
-    x = models.segments.setPredictionCol("segment_cluster").transform(x)
-    x = x.join(F.broadcast(models.segment_names.withColumnRenamed("cluster", "segment_cluster")),
-               "segment_cluster", "left")
-    drop = ["features", "seg_features", "approval_raw", "approval_prob", "default_raw", "default_prob",
-            *[f"{c}_z" for c in M.SEGMENT_INPUTS]]
-    x = (x.withColumn("_pd", M.positive_probability("default_prob"))
-          .withColumn("approval_probability", M.positive_probability("approval_prob")))
+# --- one model each, as projections ------------------------------------------------------
+def complete(df: DataFrame) -> DataFrame:
+    """A feature column that is missing altogether is added as 0."""
+    for c in FEATURES:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(0.0))
+    return df
+
+
+def with_approval(df: DataFrame, models: TrainedModels) -> DataFrame:
+    """``approval_probability`` and ``approval_pred`` (1 from a probability above one half on, as the larger class)."""
+    out = complete(df).withColumn("approval_probability", G.predicted(df.sparkSession, models.approval))
+    return out.withColumn("approval_pred", (F.col("approval_probability") > 0.5).cast("int"))
+
+
+def with_default(df: DataFrame, models: TrainedModels) -> DataFrame:
+    return complete(df).withColumn("default_probability", G.predicted(df.sparkSession, models.default))
+
+
+def with_interest(df: DataFrame, models: TrainedModels) -> DataFrame:
+    return complete(df).withColumn("interest_pred", G.predicted(df.sparkSession, models.interest))
+
+
+def with_anomaly(df: DataFrame, models: TrainedModels) -> DataFrame:
+    out = anomaly_score(complete(df), models.fraud, FEATURES, out="raw_anomaly")
+    return out.withColumn("fraud_score", R.fraud_score("raw_anomaly")).withColumn("fraud_detected", R.fraud_detected("fraud_score"))
+
+
+def with_risk(df: DataFrame, models: TrainedModels) -> DataFrame:
+    """Default probability, anomaly, risk score and level."""
+    out = with_anomaly(with_default(df, models), models)
+    return out.withColumn("risk_score", R.risk_score("default_probability")).withColumn("risk_level", R.risk_level("risk_score"))
+
+
+def with_segment(df: DataFrame, models: TrainedModels) -> DataFrame:
+    """``segment_cluster`` and ``segment_name``; the k names are literals."""
+    out = complete(df).withColumn("segment_cluster", S.nearest(models.segments))
+    names = F.create_map(*[F.lit(v) for pair in models.segment_names.items() for v in pair])
+    return out.withColumn("segment_name", F.element_at(names, F.col("segment_cluster")))
+
+
+def with_attributions(df: DataFrame, models: TrainedModels) -> DataFrame:
+    """``shap_values`` of the approval forest that decides, and ``shap_values_expected``."""
+    from riskline.operators.treeshap import tree_attributions
+    return tree_attributions(complete(df), models.approval)
+
+
+def score(df: DataFrame, models: TrainedModels, key: str = "Loan_ID", explain: str = "shap") -> DataFrame:
+    """Every model over every row, then the decision rules (§2.9); no step shuffles.
+
+    ``explain``: ``shap`` (T15 of the approval forest itself) or ``rules`` (the T16 fallback map)."""
+    if explain not in ("shap", "rules"):
+        raise ValueError("explain is 'shap' or 'rules'")
+    x = with_approval(df, models).withColumn("_pd", G.predicted(df.sparkSession, models.default))
+    x = anomaly_score(with_interest(x, models), models.fraud, FEATURES, out="raw_anomaly")
+    x = with_segment(x, models)
     attributions = None
     if explain == "shap":
-        from riskline.operators.treeshap import tree_attributions
-        x = models.explained.transform(x).withColumn("explained_probability", M.positive_probability("explained_prob")).drop(
-            "explained_raw", "explained_prob", "explained_pred")
-        x = tree_attributions(x, models.explained, FEATURES, out="shap_values", features_col="features")
+        x = with_attributions(x, models)
         attributions = F.col("shap_values")
-    out = decide(x.drop(*[c for c in drop if c != "features"]), default_probability="_pd",
-                 raw_anomaly="raw_anomaly", approval_prediction=F.col("approval_pred").cast("int"),
-                 predicted_interest="interest_pred", attributions=attributions,
-                 segment_cluster="segment_cluster", segment_name="segment_name")
-    return out.drop("_pd", "features")
+    out = decide(x, default_probability="_pd", raw_anomaly="raw_anomaly", approval_prediction="approval_pred",
+                 predicted_interest="interest_pred", attributions=attributions, segment_cluster="segment_cluster",
+                 segment_name="segment_name")
+    return out.drop("_pd")
 
 
 def score_requests(df: DataFrame, models: TrainedModels, key: str = "Loan_ID", medians: dict | None = None,
-                   explain: str = "rules") -> DataFrame:
+                   explain: str = "shap") -> DataFrame:
     """T18 on raw applications, a table or a stream: request features, then every model and rule.  A request
     with unknown categories, missing numbers or a term of 0 is scored like any other."""
     from riskline.operators.impute import request_features
     return score(request_features(df, key, medians), models, key, explain)
 
 
-_KINDS = {"approval": "RandomForestClassificationModel", "default": "RandomForestClassificationModel",
-          "interest": "RandomForestRegressionModel", "segments": "KMeansModel",
-          "explained": "RandomForestClassificationModel"}
+# --- S8 -------------------------------------------------------------------------------------
+_FORESTS = ("approval", "default", "interest")
+_NODE_FIELDS = ("feature", "threshold", "left", "right", "size", "depth")
 
 
 def save_trained(models: TrainedModels, path: str, spark: SparkSession) -> None:
-    """Everything ``score`` needs under one folder: the Spark ML models with the feature order, the
-    isolation forest's nodes, segment statistics and names, metrics and parameters, all readable by a
-    later session."""
+    """Everything ``score`` needs under one folder, as Parquet tables readable by a later session: the
+    forests' and the isolation forest's nodes, segments, metrics and parameters, and the feature order."""
     from riskline.sources.io import save_models
     base = path.rstrip("/")
-    save_models({name: getattr(models, name) for name in _KINDS}, list(FEATURES), base, spark)
+    for name in _FORESTS:
+        G.forest_rows(spark, getattr(models, name)).write.mode("overwrite").parquet(f"{base}/{name}")
+    save_models({}, list(FEATURES), base, spark)
     f = models.fraud
     nodes = [(t, n, *[getattr(f, a)[t, n].item() for a in _NODE_FIELDS])
              for t in range(f.trees) for n in range(f.feature.shape[1]) if n == 0 or f.size[t, n] > 0]
     spark.createDataFrame(nodes, "tree int, node int, feature int, threshold double, left int, right int, size int, depth int") \
         .write.mode("overwrite").parquet(f"{base}/_isolation")
-    models.segment_names.write.mode("overwrite").parquet(f"{base}/_segment_names")
-    values = [("segment_stats", k, float(v)) for k, v in models.segment_stats.items() if v is not None]
+    s = models.segments
+    segments = [(i, models.segment_names[i], [float(v) for v in c]) for i, c in enumerate(s.centers)]
+    spark.createDataFrame(segments, "cluster int, name string, center array<double>").write.mode("overwrite").parquet(f"{base}/_segments")
+    values = [("segment_stats", k, float(v)) for k, v in s.stats.items() if v is not None]
     values += [("metrics", k, float(v)) for k, v in models.metrics.items() if v is not None]
     values += [("params", k, float(v)) for k, v in models.params.items()]
     values += [("isolation", "samples", float(f.samples)), ("isolation", "max_depth", float(f.max_depth)),
@@ -193,23 +221,16 @@ def save_trained(models: TrainedModels, path: str, spark: SparkSession) -> None:
     spark.createDataFrame(values, "part string, name string, value double").write.mode("overwrite").parquet(f"{base}/_values")
 
 
-_NODE_FIELDS = ("feature", "threshold", "left", "right", "size", "depth")
-
-
-def load_trained(spark: SparkSession, path: str) -> TrainedModels:
+def load_trained(spark: SparkSession, path: str, key: str = "Loan_ID") -> TrainedModels:
     """The models as ``save_trained`` left them; scores equal those of the session that fitted them."""
-    import numpy as np
-    from pyspark.ml.classification import RandomForestClassificationModel
-    from pyspark.ml.clustering import KMeansModel
-    from pyspark.ml.regression import RandomForestRegressionModel
-
-    from riskline.operators.isolation import IsolationForestModel
     from riskline.sources.io import load_models
     base = path.rstrip("/")
-    classes = {c.__name__: c for c in (RandomForestClassificationModel, RandomForestRegressionModel, KMeansModel)}
-    stages, names = load_models(spark, base, {k: classes[v] for k, v in _KINDS.items()})
+    _, names = load_models(spark, base, {})
     if names != list(FEATURES):
         raise ValueError("the saved models use other features")
+    out = TrainedModels(spark, None, key)
+    for name in _FORESTS:
+        setattr(out, name, G.forest_of(spark.read.parquet(f"{base}/{name}"), FEATURES))
     values: dict[str, dict[str, float]] = {}
     for r in spark.read.parquet(f"{base}/_values").collect():  # one row a statistic
         values.setdefault(r["part"], {})[r["name"]] = r["value"]
@@ -220,11 +241,13 @@ def load_trained(spark: SparkSession, path: str) -> TrainedModels:
     nodes = spark.read.parquet(f"{base}/_isolation").toPandas()  # bounded by trees * (2 * samples - 1)
     for a in _NODE_FIELDS:
         arrays[a][nodes["tree"], nodes["node"]] = nodes[a]
-    fraud = IsolationForestModel(samples=int(size["samples"]), max_depth=int(size["max_depth"]), **arrays)
-    params = {k: v if k == "fraud_contamination" else int(v) for k, v in values.get("params", {}).items()}
-    return TrainedModels(stages["approval"], stages["default"], stages["interest"], fraud, stages["segments"],
-                         stages["explained"], values["segment_stats"], spark.read.parquet(f"{base}/_segment_names"),
-                         metrics=values.get("metrics", {}), params=params)
+    out.fraud = IsolationForestModel(samples=int(size["samples"]), max_depth=int(size["max_depth"]), **arrays)
+    clusters = spark.read.parquet(f"{base}/_segments").orderBy("cluster").collect()  # k rows
+    out.segments = S.Segments(list(S.INPUTS), values["segment_stats"], np.array([r["center"] for r in clusters]))
+    out.segment_names = {r["cluster"]: r["name"] for r in clusters}
+    out.metrics = values.get("metrics", {})
+    out.params = {k: v if k == "fraud_contamination" else int(v) for k, v in values.get("params", {}).items()}
+    return out
 
 
-__all__ = ["TrainedModels", "train", "score", "score_requests", "save_trained", "load_trained", "run_row", "E", "R"]
+__all__ = ["TrainedModels", "train", "score", "score_requests", "save_trained", "load_trained", "run_row"]

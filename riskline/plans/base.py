@@ -63,9 +63,18 @@ def prepared(spark: SparkSession, d: str, name: str, build, write: bool = True)
 
 
 def features(spark: SparkSession, d: str, noise_sd: float = 0.0) -> DataFrame:
-    """v2 features + targets (noise-free interest label unless asked); prepared once."""
-    return prepared(spark, d, f"features:{noise_sd}",
-                    lambda: clean_v2(loans(spark, d), interest_noise_sd=noise_sd, keep_inputs=True))
+    """v2 features + targets (noise-free interest label unless asked); prepared once. The noise is drawn from the
+    row key, so the noisy label is a projection of the one table."""
+    from riskline.functions.features import interest_label
+    f = prepared(spark, d, "features", lambda: clean_v2(loans(spark, d), interest_noise_sd=0.0, keep_inputs=True))
+    return f.withColumn("Interest_Rate", interest_label(noise_sd=noise_sd)) if noise_sd else f
+
+
+def spread(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, dealt to as many tasks as there are cores where ``table``, the scanned table under it, has fewer parts:
+    for projections that cost far more than moving the rows. A large table keeps its parts."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if table.rdd.getNumPartitions() < cores else df
 
 
 def segment_names_for(f: DataFrame) -> DataFrame:
@@ -170,8 +179,8 @@ _TRAINED: dict[tuple, object] = {}
 
 
 def trained(spark: SparkSession, d: str, trees: int = 100, n_init: int = 10):
-    """The v2 models fitted once per session on the prepared features (interest
-    label with its N(0, 0.2) noise, as in the reference)."""
+    """The v2 models over the prepared features (interest label with its N(0, 0.2) noise, as in the reference); each
+    is fitted once per session, when it is first asked for."""
     from riskline.operators.training import train
     key = (spark.sparkContext.applicationId, d.rstrip("/"), trees, n_init)
     m = _TRAINED.get(key)
@@ -181,9 +190,13 @@ def trained(spark: SparkSession, d: str, trees: int = 100, n_init: int = 10):
     return m
 
 
-def scored(spark: SparkSession, d: str, explain: str = "rules") -> DataFrame:
-    """T18 over every application, written once per session."""
+def applications(spark: SparkSession, d: str) -> DataFrame:
+    """The features of every application, spread over all cores for scoring."""
+    f = features(spark, d, noise_sd=0.2)
+    return spread(f.drop("inputs"), f)
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    """T18 over every application, with attributions, written once per session."""
     from riskline.operators.training import score
-    return prepared(spark, d, f"scored-{explain}",
-                    lambda: score(features(spark, d, noise_sd=0.2), trained(spark, d), explain=explain)
-                    .drop("inputs"))
+    return prepared(spark, d, "scored", lambda: score(applications(spark, d), trained(spark, d)))

@@ -450,63 +450,81 @@ def q_decision_tree(spark, d):
 def q_random_forest(spark, d):
     """Fitted on the stratified 80 % (seed 42, forest seed 22), applied to every
     row; ``split`` says which rows were fitted (D-3)."""
-    from riskline.operators.models import fit_random_forest, positive_probability, stratified_split
-    x = stratified_split(_labelled(spark, d), "label", "Loan_ID", 0.2, 42).cache()
-    m = fit_random_forest(x.where(F.col("split") == "train"), "label", seed=22)
-    p = m.transform(x).withColumn("RF_Prob", positive_probability())
+    from riskline.operators import forest
+    from riskline.operators.models import stratified_split
+    from riskline.plans.base import prepared, spread
+    from riskline.schema import FEATURES
+    f = features(spark, d).where(F.col("Loan_Status_encoded").isNotNull()).select("Loan_ID", "Loan_Status_encoded", *FEATURES)
+    x = prepared(spark, d, "forest-split", lambda: stratified_split(f, "Loan_Status_encoded", "Loan_ID", 0.2, 42))
+    m = forest.fit_forest(x.where(F.col("split") == "train"), "Loan_Status_encoded", FEATURES, "Loan_ID", seed=22)
+    p = spread(x, x).withColumn("RF_Prob", forest.predicted(spark, m))
     return finish(p.select("Loan_ID", "split", "RF_Prob", E.label_yn(E.threshold("RF_Prob")).alias("RF_Predicted")))
 
 
 @query("approval")
 def q_approval(spark, d):
-    from riskline.plans.base import scored
-    return scored(spark, d).select("Loan_ID", F.col("approval_pred").cast("int").alias("approval_pred"), "approved")
+    from riskline.operators import training as T
+    from riskline.plans.base import applications, trained
+    m = trained(spark, d)
+    x = T.with_risk(T.with_approval(applications(spark, d), m), m)
+    return x.select("Loan_ID", "approval_pred", R.approved("approval_pred").alias("approved"))
 
 
 @query("default_pd")
 def q_default_pd(spark, d):
-    from riskline.plans.base import scored
-    return finish(scored(spark, d).select("Loan_ID", "default_probability", "risk_score", "risk_level"))
+    from riskline.operators import training as T
+    from riskline.plans.base import applications, trained
+    x = T.with_risk(applications(spark, d), trained(spark, d))
+    return finish(x.select("Loan_ID", "default_probability", "risk_score", "risk_level"))
 
 
 @query("interest_rf")
 def q_interest_rf(spark, d):
-    from riskline.plans.base import scored
-    return finish(scored(spark, d).select("Loan_ID", "interest_pred", "predicted_interest_rate"))
+    from riskline.operators import training as T
+    from riskline.plans.base import applications, trained
+    m = trained(spark, d)
+    x = T.with_interest(T.with_risk(applications(spark, d), m), m)
+    return finish(x.select("Loan_ID", "interest_pred", R.interest_rate("interest_pred").alias("predicted_interest_rate")))
 
 
 @query("segments")
 def q_segments(spark, d):
-    from riskline.plans.base import scored
-    return scored(spark, d).select("Loan_ID", "segment_cluster", "segment_name")
+    from riskline.operators import training as T
+    from riskline.plans.base import trained
+    x = T.with_segment(features(spark, d, noise_sd=0.2), trained(spark, d))
+    return x.select("Loan_ID", "segment_cluster", "segment_name")
 
 
 @query("isolation_forest")
 def q_isolation_forest(spark, d):
-    from riskline.plans.base import scored
-    return finish(scored(spark, d).select("Loan_ID", "raw_anomaly", "fraud_score", "fraud_detected"))
+    from riskline.operators import training as T
+    from riskline.plans.base import applications, trained
+    x = T.with_anomaly(applications(spark, d), trained(spark, d))
+    return finish(x.select("Loan_ID", "raw_anomaly", "fraud_score", "fraud_detected"))
 
 
 @query("score")
 def q_score(spark, d):
-    """Every model and rule over every application."""
+    """Every model and rule over every application, with the approval forest's attributions."""
     from riskline.plans.base import scored
     s = scored(spark, d)
     return finish(s.select("Loan_ID", "approved", "risk_score", "risk_level", "default_probability", "fraud_score",
                            "fraud_detected", "recommended_loan_amount", "predicted_interest_rate",
                            F.array_join("recommendations", " | ").alias("recommendations"),
-                           "segment_cluster", "segment_name"))
+                           _map_text("shap_values").alias("attributions"), "segment_cluster", "segment_name"))
 
 
 @query("tree_attributions")
 def q_tree_attributions(spark, d):
-    """TreeSHAP of the explained approval forest for every application, with the
-    additivity residual |Σφ + E[f] − P(approve)| on that forest's own probability."""
-    from riskline.plans.base import scored
-    s = scored(spark, d, explain="shap")
+    """TreeSHAP of the approval forest that decides for every application, with the
+    additivity residual |Σφ + E[f] − P(approve)|."""
+    from riskline.operators import training as T
+    from riskline.plans.base import applications, trained
+    m = trained(spark, d)
+    s = T.with_attributions(T.with_approval(applications(spark, d), m), m)
     total = F.aggregate(F.map_values("shap_values"), F.lit(0.0), lambda a, b: a + b)
     return finish(s.select("Loan_ID", _map_text("shap_values").alias("attributions"),
-                           F.abs(total + F.col("shap_values_expected") - F.col("explained_probability"))
+                           F.abs(total + F.col("shap_values_expected") - F.col("approval_probability"))
                            .alias("additivity_residual")))
 
 
@@ -530,10 +548,10 @@ def q_request_features(spark, d):
 def q_score_requests(spark, d):
     """T18 from raw requests with the fitted models."""
     from riskline.operators.training import score_requests
-    from riskline.plans.base import trained
-    s = score_requests(requests(spark, d), trained(spark, d))
+    from riskline.plans.base import spread, trained
+    s = score_requests(spread(requests(spark, d), spark.read.parquet(f"{d.rstrip('/')}/orders.parquet")), trained(spark, d))
     return finish(s.select("Loan_ID", "approved", "risk_score", "risk_level", "default_probability", "fraud_score",
-                           "recommended_loan_amount", "predicted_interest_rate", "segment_name"))
+                           "recommended_loan_amount", "predicted_interest_rate", _map_text("shap_values").alias("attributions"), "segment_name"))
 
 
 @query("score_stream_models")
@@ -542,9 +560,10 @@ def q_score_stream_models(spark, d):
     from riskline.operators.training import score_requests
     from riskline.plans.base import trained
     from riskline.streaming import application_stream, score_stream
-    models = trained(spark, d)
+    models, cores = trained(spark, d), spark.sparkContext.defaultParallelism
+    # a micro-batch is dealt to all cores: its attributions cost far more than moving its rows
     out = _streamed(spark, d, "score-stream-models",
-                    lambda sink, ck: score_stream(application_stream(spark, d), lambda x: score_requests(x, models), sink, ck))
+                    lambda sink, ck: score_stream(application_stream(spark, d).repartition(cores), lambda x: score_requests(x, models), sink, ck))
     return finish(out.select("Loan_ID", "approved", "risk_score", "default_probability", "predicted_interest_rate",
                              F.array_join("recommendations", " | ").alias("recommendations"),
                              _map_text("shap_values").alias("attributions"), "segment_name"))
@@ -635,6 +654,6 @@ def q_feature_importance(spark, d):
     are read from the fitted model (one value per feature)."""
     from riskline.plans.base import trained
     from riskline.schema import FEATURES
-    imp = trained(spark, d).approval.featureImportances.toArray().tolist()
+    imp = trained(spark, d).approval.importances()
     rows = sorted(zip(FEATURES, map(float, imp)), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame(rows, "feature string, importance double")

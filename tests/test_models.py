@@ -60,15 +60,148 @@ def test_isolation_forest_flags_outliers(spark):
     assert np.array_equal(iso.threshold, iso2.threshold)
 
 
-def test_tree_shap_additivity(spark):
-    from riskline.operators.treeshap import tree_attributions
-    x = M.assemble(_toy(spark), ["a", "b", "c"])
-    rf = M.fit_random_forest(x, "y", trees=15, max_depth=6)
-    sc = rf.transform(x).withColumn("p", M.positive_probability())
-    sh = tree_attributions(sc, rf, ["a", "b", "c"])
+def test_isolation_forest_of_a_small_table_takes_every_row(spark):
+    from riskline.operators.isolation import fit_isolation_forest
+    iso = fit_isolation_forest(_toy(spark, 40), ["a", "b", "c"], "id", trees=5, samples=256)
+    assert iso.samples == 40 and iso.size[:, 0].tolist() == [40] * 5
+    big = fit_isolation_forest(_toy(spark, 5000), ["a", "b", "c"], "id", trees=7, samples=64)
+    assert big.size[:, 0].tolist() == [64] * 7
+
+
+def _forest(spark, n=1500, **how):
+    from riskline.operators.forest import fit_forest
+    df = _toy(spark, n)
+    return df, fit_forest(df, "y", ["a", "b", "c"], "id", **how)
+
+
+def test_forest_draws_depend_on_keys_only(spark):
+    from riskline.operators.forest import draws, fit_forest, poisson_table
+    df = spark.range(20000)
+    per_tree = {r["tree"]: r["count"] for r in draws(df, "id", 10, 0.05, 3).groupBy("tree").count().collect()}
+    assert len(per_tree) == 10 and all(850 < n < 1150 for n in per_tree.values())
+    assert abs(poisson_table(100.0)[-1] - 1.0) < 1e-9 and poisson_table(0.1)[0] == np.exp(-0.1)
+    toy, a = _forest(spark, trees=6, rows_per_tree=500)
+    b = fit_forest(toy.repartition(7), "y", ["a", "b", "c"], "id", trees=6, rows_per_tree=500)
+    assert np.array_equal(a.threshold, b.threshold) and np.array_equal(a.cover, b.cover)
+    assert all(350 < a.cover[s] < 650 for s in a.start)
+
+
+def test_every_split_of_a_grown_tree_is_a_best_one():
+    from riskline.operators.forest import CRITERIA, grow
+    rng = np.random.default_rng(4)
+    for kind in ("gini", "entropy", "variance"):
+        x = np.c_[rng.normal(size=80), rng.integers(0, 4, 80), rng.normal(size=80).round(1)]
+        y = rng.normal(size=80) if kind == "variance" else (rng.random(80) < 0.4).astype(float)
+        w = rng.integers(1, 4, 80).astype(float)
+        for max_depth, least in ((None, 2), (3, 2), (6, 8)):
+            t = grow(x, y, w, np.random.default_rng(1), 3, kind, max_depth, least)
+            todo = [(0, np.arange(80), 0)]
+            nodes = 0
+            while todo:
+                node, rows, depth = todo.pop()
+                nodes += 1
+                score = lambda m: CRITERIA[kind](w[m].sum(), (w[m] * (y[m] - (y @ w / w.sum() if kind == "variance" else 0))).sum())  # noqa: B023, E731
+                assert abs(t["value"][node] - np.average(y[rows], weights=w[rows])) < 1e-9 and t["cover"][node] == w[rows].sum()
+                cuts = [(f, a) for f in range(3) for a in sorted(set(x[rows, f]))[:-1]]
+                ends = len(set(y[rows])) == 1 or w[rows].sum() < least or depth == max_depth or not cuts
+                assert (t["feature"][node] < 0) == ends
+                if ends:
+                    continue
+                best = max(score(rows[x[rows, f] <= a]) + score(rows[x[rows, f] > a]) for f, a in cuts)
+                right = x[rows, t["feature"][node]] > t["threshold"][node]
+                assert abs(score(rows[~right]) + score(rows[right]) - best) < 1e-9
+                left = t["child"][node]
+                todo += [(left, rows[~right], depth + 1), (left + 1, rows[right], depth + 1)]
+            assert nodes == len(t["feature"])
+    constant = grow(np.zeros((5, 2)), np.arange(5.0), np.ones(5), np.random.default_rng(1), 1, "variance")
+    assert constant["feature"].tolist() == [-1] and constant["value"][0] == 2.0
+
+
+def test_forest_grows_until_leaves_are_pure(spark):
+    df, forest = _forest(spark, trees=5, rows_per_tree=10_000)
+    inner = forest.feature >= 0
+    assert set(np.unique(forest.value[~inner])) <= {0.0, 1.0} and forest.depths().max() > 6
+    x = df.toPandas()
+    p = forest.predict(x[["a", "b", "c"]].to_numpy())
+    assert ((p > 0.5) == x["y"]).mean() > 0.9
+    assert abs(forest.importances().sum() - 1) < 1e-9 and forest.importances().argmin() == 1
+    from riskline.operators.forest import fit_forest, forest_of, forest_rows, predicted
+    again = forest_of(forest_rows(spark, forest), forest.names)
+    assert np.array_equal(again.predict(x[["a", "b", "c"]].to_numpy()), p)
+    got = df.select("id", predicted(spark, forest).alias("p")).toPandas().set_index("id")["p"]
+    assert np.allclose(got[x["id"]].to_numpy(), p, atol=0)
+    values = fit_forest(df, "a", ["b", "c"], "id", trees=3, regression=True)
+    assert np.all(values.cover[values.feature < 0] >= 1)
+
+
+def _brute_shap(forest, row):
+    import itertools
+    import math
+    p = len(forest.names)
+    phi = np.zeros(p)
+
+    def value(t, known):
+        s = forest.tree(t)
+        f, cut, child, v, cover = (getattr(forest, k)[s] for k in ("feature", "threshold", "child", "value", "cover"))
+
+        def go(n):
+            if f[n] < 0:
+                return v[n]
+            left = child[n]
+            if f[n] in known:
+                return go(left + (row[f[n]] > cut[n]))
+            return (cover[left] * go(left) + cover[left + 1] * go(left + 1)) / cover[n]
+        return go(0)
+    for t in range(forest.trees):
+        for i in range(p):
+            for k in range(p):
+                for known in itertools.combinations([j for j in range(p) if j != i], k):
+                    weight = math.factorial(k) * math.factorial(p - k - 1) / math.factorial(p)
+                    phi[i] += weight * (value(t, {*known, i}) - value(t, set(known)))
+    return phi / forest.trees
+
+
+def test_tree_shap_equals_its_definition_and_adds_up(spark):
+    from riskline.operators.forest import predicted
+    from riskline.operators.treeshap import shap_matrix, tree_attributions
+    df, forest = _forest(spark, trees=4, rows_per_tree=300)
+    x = df.toPandas()[["a", "b", "c"]].to_numpy()
+    got = shap_matrix(forest, x[:30])
+    assert np.abs(got[:5] - [_brute_shap(forest, r) for r in x[:5]]).max() < 1e-12
+    assert np.abs(shap_matrix(forest, x[:1]) - got[:1]).max() < 1e-12 and shap_matrix(forest, x[:0]).shape == (0, 3)
+    sh = tree_attributions(df.withColumn("p", predicted(spark, forest)), forest)
     total = F.aggregate(F.map_values("shap_values"), F.lit(0.0), lambda a, b: a + b)
     err = sh.agg(F.max(F.abs(total + F.col("shap_values_expected") - F.col("p")))).first()[0]
     assert err < 1e-9
     mean_abs = sh.select(F.explode("shap_values")).groupBy("key").agg(F.avg(F.abs("value")).alias("m"))
     ranked = [r["key"] for r in mean_abs.orderBy(F.desc("m")).collect()]
     assert ranked[-1] == "b"  # b carries no signal
+
+
+def _blobs(spark, n=900):
+    rng = np.random.default_rng(2)
+    centers = np.array([[0, 0, 0], [8, 1, 0], [0, 9, 2.0]])
+    x = np.concatenate([rng.normal(c, 1, (n // 3, 3)) for c in centers])
+    return x, spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "Loan_ID long, TotalIncome double, LoanAmount double, Credit_History double")
+
+
+def test_segments_are_k_means_and_the_silhouette_is_euclidean(spark):
+    from riskline.operators import segments as S
+    x, df = _blobs(spark)
+    m = S.fit_segments(df, n_init=4)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    far = ((z[:, None] - m.centers[None]) ** 2).sum(axis=2)
+    own = far.argmin(axis=1)
+    assert abs(m.cost - far.min(axis=1).sum()) < 1e-6
+    assert np.abs(np.array([z[own == c].mean(axis=0) for c in range(3)]) - m.centers).max() < 0.02  # means of their rows
+    got = {r["Loan_ID"]: r["c"] for r in df.select("Loan_ID", S.nearest(m).alias("c")).collect()}
+    assert [got[i] for i in range(len(x))] == own.tolist()
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
+    same = own[:, None] == own[None]
+    a = np.where(same, d, 0).sum(axis=1) / (same.sum(axis=1) - 1)
+    b = np.min([np.where(own == c, np.inf, d[:, own == c].mean(axis=1)) for c in range(3)], axis=0)
+    exact = float(np.mean((b - a) / np.maximum(a, b)))
+    assert abs(S.silhouette(df, m) - exact) < 1e-9
+    assert abs(S.silhouette(df, m, anchors=100) - exact) < 0.02
+    one = S.fit_segments(df.limit(1), n_init=2)
+    assert one.k == 3 and S.silhouette(df.limit(1), one) is None

@@ -15,6 +15,7 @@ def test_train_and_score(spark, tmp_path):
     feats = clean_v2(loan_view(spark, SF_SMALL), interest_noise_sd=0.2, keep_inputs=True).cache()
     m = train(spark, feats, trees=10, n_init=2, iso_trees=20, iso_samples=64)
     # one split for all targets: the interest forest learns its label up to the noise
+    assert "approval" not in vars(m)
     assert 0.5 < m.metrics["approval_accuracy"] <= 1.0
     assert m.metrics["default_auc"] > 0.6
     assert m.metrics["interest_rate_rmse"] < 1.0
@@ -57,7 +58,7 @@ def test_train_and_score(spark, tmp_path):
     assert r["parameters"]["rf_estimators"] == 10 and r["metrics"]["default_auc"] == m.metrics["default_auc"]
 
 
-def test_scoring_forests_grow_past_the_explained_one(spark):
+def test_attributions_are_those_of_the_forest_that_decides(spark):
     needs_testdata()
     from riskline.operators.impute import clean_v2
     from riskline.operators.training import score, train
@@ -65,9 +66,10 @@ def test_scoring_forests_grow_past_the_explained_one(spark):
 
     feats = clean_v2(loan_view(spark, SF_SMALL), interest_noise_sd=0.2, keep_inputs=True)
     m = train(spark, feats, trees=3, n_init=1, iso_trees=5, iso_samples=32)
-    for forest in (m.approval, m.default, m.interest):
-        assert forest.getMaxDepth() == 30 and max(t.depth for t in forest.trees) > 8
-    assert max(t.depth for t in m.explained.trees) <= 8
+    assert not {"approval", "default", "interest", "fraud", "segments"} & set(vars(m))  # nothing is fitted unasked
     total = F.aggregate(F.map_values("shap_values"), F.lit(0.0), lambda a, b: a + b) + F.col("shap_values_expected")
-    residual = F.abs(total - F.col("explained_probability"))
-    assert score(feats.limit(40), m, explain="shap").agg(F.max(residual)).first()[0] < 1e-6
+    residual = F.abs(total - F.col("approval_probability"))
+    assert score(feats.limit(40), m).agg(F.max(residual)).first()[0] < 1e-9
+    assert "metrics" not in vars(m) and max(m.approval.depths()) > 8
+    rules = score(feats.limit(40), m, explain="rules")
+    assert "shap_values_expected" not in rules.columns and rules.where("shap_values['Credit_History'] IN (0.45, -0.55)").count() == 40
