@@ -72,6 +72,13 @@ class TrainedModels:
     def segments(self) -> S.Segments:
         return S.fit_segments(self.data, self.key, k=self.how["k"], seed=self.how["seed"], n_init=self.how["n_init"])
 
+    def fit(self) -> "TrainedModels":
+        """Fit whatever is not fitted yet; the fits are independent Spark jobs and run side by side."""
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(5) as pool:
+            list(pool.map(lambda name: getattr(self, name), ("interest", "segments", "approval", "default", "fraud")))
+        return self
+
     @cached_property
     def segment_names(self) -> dict[int, str]:
         """The name of each of the k clusters."""
@@ -83,7 +90,8 @@ class TrainedModels:
 
     @cached_property
     def metrics(self) -> dict:
-        """Hold-out metrics; fits the forests and the segments."""
+        """Hold-out metrics; fits the models."""
+        self.fit()
         held = with_interest(with_default(with_approval(self._test, self), self), self)
         held = held.select("Loan_Status_encoded", F.col("Default").alias("label"), "Interest_Rate", "approval_pred",
                            F.col("default_probability").alias("p"), "interest_pred").cache()
@@ -171,6 +179,7 @@ def score(df: DataFrame, models: TrainedModels, key: str = "Loan_ID", explain: s
     ``explain``: ``shap`` (T15 of the approval forest itself) or ``rules`` (the T16 fallback map)."""
     if explain not in ("shap", "rules"):
         raise ValueError("explain is 'shap' or 'rules'")
+    models.fit()
     x = with_approval(df, models).withColumn("_pd", G.predicted(df.sparkSession, models.default))
     x = anomaly_score(with_interest(x, models), models.fraud, FEATURES, out="raw_anomaly")
     x = with_segment(x, models)

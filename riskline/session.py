@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -60,6 +61,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 _SHIPPED: set[str] = set()
+_SHIPPING = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -69,14 +71,19 @@ def ship_package(spark: SparkSession) -> None:
     The zip goes to the session's checkpoint folder when that is a local path
     (tests), otherwise to the driver's temp folder — Spark's file server copies it
     to every executor either way."""
+    sc = spark.sparkContext
+    with _SHIPPING:
+        if sc.applicationId not in _SHIPPED:
+            _ship(sc, checkpoint_dir(spark) or "")
+            _SHIPPED.add(sc.applicationId)
+
+
+def _ship(sc, ck: str) -> None:
     import hashlib
     import io
     import zipfile
     from pathlib import Path
 
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
     root = Path(__file__).resolve().parent
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
@@ -84,7 +91,6 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, f"riskline/{p.relative_to(root)}")
     data = buf.getvalue()
     digest = hashlib.sha1(data).hexdigest()[:12]
-    ck = checkpoint_dir(spark) or ""
     local = ck.startswith("file:") or (ck and "://" not in ck)
     folder = Path(ck.replace("file://", "").replace("file:", "")) if local else Path(tempfile.gettempdir())
     folder = folder / "riskline-pkg"
@@ -93,4 +99,3 @@ def ship_package(spark: SparkSession) -> None:
     if not target.exists():
         target.write_bytes(data)
     sc.addPyFile(str(target))
-    _SHIPPED.add(sc.applicationId)
