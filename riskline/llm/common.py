@@ -25,7 +25,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     there, so a lost executor costs a re-read and two readers do not compute it twice."""
     path = scratch_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that :func:`staged` wrote and nothing will read again."""
+    for df in tables:
+        if df is not None and getattr(df, "_staged", None):
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df._staged)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            df._staged = None
 
 
 def unused_name(df: DataFrame, name: str) -> str:

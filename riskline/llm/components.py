@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskline.llm.common import staged
+from riskline.llm.common import discard, staged
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
@@ -44,6 +44,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = new
         if not new[0]:
             break
-        e = staged(_small_star(_large_star(e)), "edges")
+        before, e = e, staged(_small_star(_large_star(e)), "edges")
+        discard(before)
     return e.select(F.col("u").alias("vertex"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct())
