@@ -10,9 +10,10 @@ That counts whole root nodes; a pair that meets only in nodes large enough to be
 
 In every root's node each class is first compared with the node's centre (the class with the most company
 over all nodes), which links most copies without comparing all pairs. Nodes whose classes are by then in
-one component are done; large ones are branched, small ones compared exhaustively across components, and
-what is still large at the deepest level is compared with its centres and then in pairs of blocks. Comparisons pass a filter on
-sizes and on agreeing bytes of ``SKETCH`` minwise tokens and are then confirmed on the full sets, computed from the texts.
+one component are done; large ones are branched, small ones compared exhaustively across components, each node in
+one task, and what is still large at the deepest level is compared with its centres and then in pairs of blocks. Comparisons
+pass a filter on sizes and on agreeing bytes of ``SKETCH`` minwise tokens and are then confirmed on the full sets,
+computed from the texts.
 """
 
 from __future__ import annotations
@@ -129,6 +130,32 @@ def _agreeing(a: str, b: str) -> Column:
     return F.lit(SKETCH) - differ
 
 
+class _Block:
+    """The classes that meet in a node or in two blocks of it, in one task."""
+
+    def __init__(self, table: pa.Table, similarity: int):
+        self.v, self.root, self.own, self.n = (table.column(c).to_numpy() for c in ("v", "root", "own", "n"))
+        i, j = (table.column(c)[0].as_py() if len(self.v) else 0 for c in ("i", "j"))
+        self.one, self.two = self.own == i, self.own == j
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy()
+        self.sketch = np.ascontiguousarray(sketch).view(np.uint8).reshape(len(self.v), SKETCH)
+        self.alike, self.similarity = i == j, similarity
+
+    def candidates(self):
+        """(k, others): classes that may be linked with class k by size and sketch, of another component; each pair once."""
+        least = agreeing(self.similarity)
+        for k in np.flatnonzero(self.one).tolist():
+            other = self.two & (self.root != self.root[k])
+            if self.alike:
+                other[:k + 1] = False
+            small, large = np.minimum(self.n, self.n[k]), np.maximum(self.n, self.n[k])
+            others = np.flatnonzero(other & (small * 100 >= large * self.similarity))
+            if len(others):
+                others = others[(self.sketch[others] == self.sketch[k]).sum(axis=1) >= least]
+                if len(others):
+                    yield k, others
+
+
 class _Join:
     """The join over one table of documents."""
 
@@ -156,7 +183,7 @@ class _Join:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+        wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("row")
         if wanted.isEmpty():
             return
         texts = having(self.rows.select("row", "text"), "row", BitTable.of(wanted, "row")).dropDuplicates(["row"])
@@ -186,9 +213,7 @@ class _Join:
                     if sum(map(len, kept.values())) > 4_000_000:
                         kept = {}
 
-        found = staged(both.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint"), "links")
-        self.edges = found if self.edges is None else self.edges.unionByName(found)
-        self.roots = components(self.edges)
+        self.join_links(both.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint"))
 
     def rooted(self, nodes: DataFrame) -> DataFrame:
         """Nodes with each class's component."""
@@ -213,21 +238,69 @@ class _Join:
             F.min("v").alias("c"), F.min_by("root", "v").alias("c_root"))
         return nodes.join(centre, "node").where("root <> c_root").select(F.least("v", "c").alias("a"), F.greatest("v", "c").alias("b"))
 
-    def within(self, leaves: DataFrame) -> DataFrame:
-        """All pairs across components in nodes of ``LEAF`` classes, and in pairs of blocks of larger ones."""
+    def within(self, leaves: DataFrame) -> None:
+        """Links across components in nodes of ``LEAF`` classes, and in pairs of blocks of larger ones.
+
+        Pairs never become rows: a block's classes meet in one task, first by their sketches alone, which leaves the
+        classes that may have a partner there, then these by the sets of their texts; a link that joins what other
+        links of the block have joined already is not looked at."""
         blocks = F.ceil(F.col("size") / (LEAF // 2))
         own = F.when(F.col("size") <= LEAF, F.lit(0)).otherwise(F.pmod(F.xxhash64("v", F.lit("block")), blocks)).cast("long")
         many = F.when(F.col("size") <= LEAF, F.lit(1)).otherwise(blocks).cast("long")
         rows = leaves.select("node", "v", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("other"))
         rows = rows.select("node", "v", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(
             self.sketch, "v")
-        x, y = rows.alias("x"), rows.alias("y")
-        pair = (F.col("x.node") == F.col("y.node")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-        once = (F.col("x.own") == F.col("x.i")) & (F.col("y.own") == F.col("y.j")) & (
-            (F.col("x.i") < F.col("x.j")) | (F.col("x.v") < F.col("y.v")))
-        apart = F.col("x.root") != F.col("y.root")
-        return x.join(y, pair & once & apart & self.fits("x", "y")).select(
-            F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
+        similarity, width = self.similarity, self.width
+
+        def partners(table: pa.Table) -> pa.Table:
+            held = _Block(table, similarity)
+            some = np.zeros(len(held.v), bool)
+            for k, others in held.candidates():
+                some[k] = True
+                some[others] = True
+            return table.filter(pa.array(some))
+
+        schema = "v bigint, node bigint, root bigint, own bigint, i bigint, j bigint, n bigint, sketch array<bigint>"
+        rows = rows.select("v", "node", "root", "own", "i", "j", "n", "sketch").groupBy("node", "i", "j").applyInArrow(partners, schema)
+        rows = staged(rows, "partners")
+        wanted = rows.select(F.col("v").alias("row")).distinct()
+        if wanted.isEmpty():
+            return
+        texts = having(self.rows.select("row", "text"), "row", BitTable.of(wanted, "row")).join(wanted, "row", "left_semi").dropDuplicates(["row"])
+
+        def links(table: pa.Table) -> pa.Table:
+            held = _Block(table, similarity)
+            sets: dict[int, np.ndarray] = {}
+            column = table.column("text").combine_chunks()
+
+            def shingles(k: int) -> np.ndarray:
+                if k not in sets:
+                    words, first = word_hashes(*text_buffer(column.slice(k, 1)), NONSPACE)
+                    sets[k] = shingle_sets(words, first, width)[0]
+                return sets[k]
+
+            root = held.root.copy()
+            a, b = [], []
+            for k, others in held.candidates():
+                for o in others.tolist():
+                    if root[k] == root[o]:
+                        continue
+                    x, y = shingles(k), shingles(o)
+                    common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                    if 100 * common >= similarity * (len(x) + len(y) - common):
+                        a.append(min(held.v[k], held.v[o]))
+                        b.append(max(held.v[k], held.v[o]))
+                        root[root == root[o]] = root[k]
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        found = rows.join(texts.withColumnRenamed("row", "v"), "v").groupBy("node", "i", "j").applyInArrow(links, "a bigint, b bigint")
+        self.join_links(found.distinct())
+
+    def join_links(self, found: DataFrame) -> None:
+        """Add links to the edges and bring the components up to date."""
+        found = staged(found, "links")
+        self.edges = found if self.edges is None else self.edges.unionByName(found)
+        self.roots = components(self.edges)
 
     def branch(self, nodes: DataFrame, depth: int) -> DataFrame:
         """Children of nodes: one coordinate each, and a second one for a third of the nodes."""
@@ -257,7 +330,7 @@ class _Join:
             large = nodes.where(F.col("size") > LEAF)
             if not large.isEmpty():
                 self.confirm(self.filtered(self.with_centres(large)))
-        self.confirm(self.within(self.open_nodes(reduce(DataFrame.unionByName, leaves))))
+        self.within(self.open_nodes(reduce(DataFrame.unionByName, leaves)))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id",
