@@ -66,20 +66,17 @@ def fill_mode(df: DataFrame, cols: Sequence[str], tie: str = "smallest", order_c
     return fill_stats(df, mode_cols=cols, tie=tie, order_col=order_col, mode_fallback=fallback)
 
 
-def median_row(df: DataFrame, cols: Sequence[str], approx: bool = False, accuracy: int = 100000,
-               buckets: int = K.DEFAULT_BUCKETS) -> DataFrame:
+def median_row(df: DataFrame, cols: Sequence[str], approx: bool = False, accuracy: int = 100000) -> DataFrame:
     """One-row frame of medians: exact (mean of the two middle values) or approximate.
 
-    Exact medians come from a value-frequency table and bucketed rank sums
-    (``riskline.operators.ranking``), never from a single-group buffer of all
-    distinct values; ``approx=True`` uses ``percentile_approx`` (one pass).
+    Exact medians are bracketed and counted (``ranking.quantiles``): no row is shuffled, and there is no
+    single-group buffer of all distinct values; ``approx=True`` uses ``percentile_approx`` (one pass).
     """
     cols = list(cols)
     if approx:
         return df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c) for c in cols])
-    freq = K.value_frequencies(df, cols, "double")
-    med = K.exact_quantiles(freq, [0.5], buckets, midpoint=True)
-    return K.to_one_row(med, cols, "q")
+    med = K.quantiles(df, cols, [0.5], midpoint=True)
+    return df.sparkSession.createDataFrame([tuple(med[c][0.5] for c in cols)], ", ".join(f"`{c}` double" for c in cols))
 
 
 def fill_median(df: DataFrame, cols: Sequence[str], fallback: float | None = None,
@@ -88,11 +85,6 @@ def fill_median(df: DataFrame, cols: Sequence[str], fallback: float | None = Non
     return fill_stats(df, median_cols=cols, median_fallback=fallback, approx=approx)
 
 
-def fill_constant(df: DataFrame, values: dict) -> DataFrame:
-    """Constant fill per column."""
-    return df.fillna(values)
-
-
 def replace_zero_term(c: str | Column = "Loan_Amount_Term", standard: float = 360.0) -> Column:
     """A zero term → the standard term."""
     c = F.col(c) if isinstance(c, str) else c

@@ -1,4 +1,4 @@
-"""Splits, scaling and the Spark ML models.
+"""Splits, scaling and the Spark ML models.
 
 The feature frame is prepared once (cleaned, assembled, cached by the caller)
 and every model reads it.  Splits depend only on the row key and a seed — never
@@ -10,12 +10,13 @@ fitted models are compared by invariants and quality.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskline.operators import ranking as K
@@ -32,30 +33,87 @@ def hash_rank(key: str | Column, seed: int) -> Column:
 
 # --- T1 / T2 ---------------------------------------------------------------------
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.2, seed: int = 42,
-                     buckets: int | None = None) -> DataFrame:
+                     listed: int = K.LISTED) -> DataFrame:
     """Add ``split`` ('train'/'test') with exact per-class test counts.
 
     n_test = ceil(fraction · n); each class gets floor(n_k · n_test / n) and the
     rows left over go to the classes with the largest remainders (ties → smaller
-    label).  Within a class, the rows with the smallest hash(key, seed) are the
-    test rows.  Ranks come from bucketed prefix sums partitioned by class, so even
-    a class holding most rows is ranked by many tasks, not one.
-    """
-    x = df.withColumn("_h", hash_rank(key, seed)).withColumn("_one", F.lit(1))
-    ranked = K.prefix_sums(x, ["_h", key], ["_one"], [label], buckets, prefix="_r")
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nk"))
-    # classes are few: windows over this one-row-per-class table are cheap
-    alloc = counts.withColumn("_n", F.sum("_nk").over(Window.partitionBy(F.lit(1))))
-    alloc = alloc.withColumn("_ntest", F.ceil(F.lit(test_fraction) * F.col("_n")))
-    exact = F.col("_nk") * F.col("_ntest") / F.col("_n")
-    alloc = alloc.withColumn("_base", F.floor(exact)).withColumn("_rem", exact - F.floor(exact))
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("_rem"), F.col(label))
-    left = F.col("_ntest") - F.sum("_base").over(Window.partitionBy(F.lit(1)))
-    alloc = alloc.withColumn("_k", (F.col("_base") + F.when(F.row_number().over(w) <= left, 1).otherwise(0))
-                             .cast("long")).select(label, "_k")
-    out = ranked.join(F.broadcast(alloc), label)
-    return out.withColumn("split", F.when(F.col("_r_one") <= F.col("_k"), "test").otherwise("train")) \
-              .drop("_h", "_one", "_r_one", "_k")
+    label).  Within a class, the rows with the smallest (hash(key, seed), key) are the
+    test rows: the hash of the last of them is found by counting leading bits (radix
+    selection, 16 bits a pass, until at most ``listed`` rows are left to list), so the
+    split itself is a projection and no row is shuffled.  Classes are few: a class is
+    65,536 counts and a literal at most.
+
+    Rows without a label are left out; rows without a key are in 'train'.  Rows that repeat
+    the last test key are all in 'test', so no key is on both sides."""
+    x = df.where(F.col(label).isNotNull()).withColumn("_h", hash_rank(key, seed))
+    cuts = _cuts(x.select(F.col(label).alias("c"), F.col("_h").alias("h"), F.col(key).alias("k")), test_fraction, listed)
+    test = F.lit(False)
+    for c, (h, k) in cuts.items():
+        test = test | ((F.col(label) == F.lit(c)) & ((F.col("_h") < F.lit(h)) | ((F.col("_h") == F.lit(h)) & (F.col(key) <= F.lit(k)))))
+    return x.withColumn("split", F.when(test, "test").otherwise("train")).drop("_h")
+
+
+def _cuts(x: DataFrame, test_fraction: float, listed: int) -> dict:
+    """{class: (hash, key) of its last test row} of rows (c, h, k); a class without test rows has no entry."""
+    step, bits = 16, 52
+
+    def counts(rows: DataFrame, taken: int) -> dict:
+        out: dict = {}
+        for r in rows.groupBy("c", F.shiftright("h", max(0, bits - taken)).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect():
+            out.setdefault(r["c"], {})[r["p"]] = r["n"]
+        return out
+
+    first = counts(x, step)
+    sizes = {c: sum(ps.values()) for c, ps in first.items()}
+    want = _allocation(sizes, test_fraction)
+    # per class: the leading bits of the cut, how many there are, the test rows at or below them, the rows that have them
+    at: dict = {}
+
+    def descend(c, ps: dict, rank: int, taken: int) -> None:
+        for p in sorted(k for k in ps if k is not None):
+            if rank <= ps[p]:
+                at[c] = (p, taken, rank, ps[p])
+                return
+            rank -= ps[p]
+        raise AssertionError("a rank beyond the rows of its class")
+
+    for c, ps in first.items():
+        rank = min(want[c], sum(n for p, n in ps.items() if p is not None))
+        if rank:
+            descend(c, ps, rank, step)
+
+    def those(classes) -> DataFrame:
+        keep = F.lit(False)
+        for c in classes:
+            p, taken, _, _ = at[c]
+            keep = keep | ((F.col("c") == F.lit(c)) & (F.shiftright("h", max(0, bits - taken)) == F.lit(p)))
+        return x.where(keep)
+
+    while wide := [c for c, (_, taken, _, n) in at.items() if n > listed and taken < bits]:
+        for c, ps in counts(those(wide), max(at[c][1] for c in wide) + step).items():
+            descend(c, ps, at[c][2], at[c][1] + step)
+    out: dict = {}
+    if at:
+        rows = those(at).groupBy("c", "h", "k").agg(F.count(F.lit(1)).alias("n")).collect()
+        for c, (_, _, rank, _) in at.items():
+            for r in sorted((r for r in rows if r["c"] == c), key=lambda r: (r["h"], r["k"])):
+                rank -= r["n"]
+                if rank <= 0:
+                    out[c] = (r["h"], r["k"])
+                    break
+    return out
+
+
+def _allocation(sizes: dict, fraction: float) -> dict:
+    """Test rows of each class."""
+    n = sum(sizes.values())
+    total = math.ceil(fraction * n)
+    exact = {c: k * total / n for c, k in sizes.items()}
+    base = {c: math.floor(e) for c, e in exact.items()}
+    left = total - sum(base.values())
+    order = sorted(sizes, key=lambda c: (base[c] - exact[c], c))
+    return {c: base[c] + (i < left) for i, c in enumerate(order)}
 
 
 def random_split(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
@@ -115,12 +173,5 @@ def fit_gaussian_nb(train: DataFrame, label: str, features: str = "features"):
     return NaiveBayes(featuresCol=features, labelCol=label, modelType="gaussian").fit(train)
 
 
-def fit_decision_tree(train: DataFrame, label: str, features: str = "features", max_depth: int = 6,
-                      seed: int = 42, max_bins: int = 64):
-    """Entropy tree of depth 6 (Spark has no min_samples_split)."""
-    return DecisionTreeClassifier(featuresCol=features, labelCol=label, impurity="entropy", maxDepth=max_depth,
-                                  maxBins=max_bins, seed=seed).fit(train)
-
-
-# T7–T10 are in ``forest``, T12 and A18 in ``segments``
+# T6 is in ``tree``, T7–T10 are in ``forest``, T12 and A18 in ``segments``
 SEGMENT_INPUTS = ["TotalIncome", "LoanAmount", "Credit_History"]

@@ -2,7 +2,7 @@
 
 Every profile of many columns is one pass: columns are unpivoted into
 (column, value) rows and aggregated together, so ten columns cost one shuffle,
-not ten.  Quantiles are exact and distributed (``ranking.exact_quantiles``).
+not ten.  Quantiles are exact and distributed (``ranking.quantiles``).
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from riskline.operators import ranking as K
 
 NA = "NA"
+BOX_SCHEMA = ("column string, n long, mean double, q1 double, median double, q3 double, iqr double, whisker_low double, "
+              "whisker_high double, outliers long")
 
 
 def value_counts(df: DataFrame, cols: Sequence[str], na: str = NA) -> DataFrame:
@@ -87,28 +89,30 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 20) -> DataFrame:
 
 def box_stats(df: DataFrame, cols: Sequence[str], whis: float = 1.5) -> DataFrame:
     """Per column n, mean, quartiles (linear interpolation), IQR, whiskers (the
-    most extreme data within ``whis``·IQR of the box) and the number of outliers."""
-    freq = K.value_frequencies(df, cols, "double").where(~F.isnan("value"))
-    q = K.exact_quantiles(freq, [0.25, 0.5, 0.75])
-    quart = q.groupBy("column").agg(
-        F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
-        F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
-        F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
-    quart = quart.withColumn("iqr", F.col("q3") - F.col("q1"))
-    lo_fence = F.col("q1") - F.lit(whis) * F.col("iqr")
-    hi_fence = F.col("q3") + F.lit(whis) * F.col("iqr")
-    # quartile table: one row per column, broadcast
-    x = freq.join(F.broadcast(quart), "column")
-    v, n = F.col("value"), F.col("n")
-    # a whisker is the most extreme value inside its fence, so the values beyond the
-    # whiskers are exactly the values beyond the fences: one pass gives all of it
-    stats = x.groupBy("column", "q1", "median", "q3", "iqr").agg(
-        F.sum(n).alias("n"), (F.sum(v * n) / F.sum(n)).alias("mean"),
-        F.least(F.min(F.when(v >= lo_fence, v)), "q1").alias("whisker_low"),  # never inside the box
-        F.greatest(F.max(F.when(v <= hi_fence, v)), "q3").alias("whisker_high"),
-        F.sum(F.when((v < lo_fence) | (v > hi_fence), n).otherwise(0)).alias("outliers"))
-    return stats.select("column", "n", "mean", "q1", "median", "q3", "iqr", "whisker_low", "whisker_high",
-                        "outliers")
+    most extreme data within ``whis``·IQR of the box) and the number of outliers.
+
+    The quartiles are fitted by counting (``ranking.quantiles``) and applied as literals: one
+    aggregation of one row gives the rest, nothing is joined and no row is shuffled.  Nulls and NaN
+    take no part; a column without values has no row."""
+    quart = {c: q for c, q in K.quantiles(df, cols, [0.25, 0.5, 0.75]).items() if q[0.5] is not None}
+    aggs, rows = [], []
+    for i, (c, q) in enumerate(quart.items()):
+        q1, median, q3 = q[0.25], q[0.5], q[0.75]
+        low, high = F.lit(q1 - whis * (q3 - q1)), F.lit(q3 + whis * (q3 - q1))
+        v = F.col(f"`{c}`").cast("double")
+        v = F.when(~F.isnan(v), v)
+        # a whisker is the most extreme value inside its fence, so the values beyond the
+        # whiskers are exactly the values beyond the fences: one pass gives all of it
+        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.min(F.when(v >= low, v)).alias(f"l{i}"),
+                 F.max(F.when(v <= high, v)).alias(f"h{i}"), F.count_if((v < low) | (v > high)).alias(f"o{i}")]
+        rows.append(F.struct(
+            F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"), F.lit(q1).alias("q1"),
+            F.lit(median).alias("median"), F.lit(q3).alias("q3"), F.lit(q3 - q1).alias("iqr"),
+            F.least(F.col(f"l{i}"), F.lit(q1)).alias("whisker_low"),  # never inside the box
+            F.greatest(F.col(f"h{i}"), F.lit(q3)).alias("whisker_high"), F.col(f"o{i}").alias("outliers")))
+    if not rows:
+        return df.sparkSession.createDataFrame([], BOX_SCHEMA)
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
 def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A window without ``partitionBy`` runs in one task, and Spark's exact
 ``percentile``/``median`` keep every distinct value of a group in one buffer.
-Both break on very large tables, so everything here works in two levels:
+Both break on very large tables, so running sums work in two levels (and quantiles
+by counting, see ``quantiles``):
 
 1. ``range_buckets``: approximate quantiles of the ordering column (one partial
    aggregation; texts drawn by hash for a text column) split each part into ``buckets`` contiguous value ranges;
@@ -17,6 +18,8 @@ value held by a third of all rows is one row here and cannot make a hot bucket.
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +33,10 @@ ROWS_A_BUCKET = 1_000_000
 MAX_BUCKETS = 1 << 14
 # Largest table that is broadcast on the promise that its rows are few.
 BROADCAST_ROWS = 100_000
+# Values of a bracket that are listed one by one; a larger bracket is counted by ranges first.
+LISTED = 10_000
+# Ranges a bracket is cut into.
+RANGES = 1_024
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -60,6 +67,20 @@ def _check_buckets(buckets: int) -> int:
     return buckets
 
 
+def _below(bounds: Column, every: Column, v: Column, step: int) -> Column:
+    """How many of the ascending ``bounds`` are below ``v``: every ``step``-th of them (``every``) is compared first,
+    then those of one step, so a row takes about 2·√n comparisons in place of n."""
+    coarse = F.size(F.filter(every, lambda x: x < v)) * step
+    return coarse + F.size(F.filter(F.slice(bounds, coarse + 1, F.lit(step)), lambda x: x < v))
+
+
+def _below_list(values: Sequence, v: Column, type_name: str) -> Column:
+    """:func:`_below` for an ascending list on the driver."""
+    step = math.isqrt(len(values)) + 1
+    bounds, every = (F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast(f"array<{type_name}>") for xs in (values, values[step - 1::step]))
+    return _below(bounds, every, v, step)
+
+
 def range_buckets(df: DataFrame, order_col: str, part_cols: Sequence[str] = (),
                   buckets: int = DEFAULT_BUCKETS, accuracy: int = 10000) -> DataFrame:
     """Add ``_bucket``: the index of the value range of ``order_col`` within its part.
@@ -80,10 +101,11 @@ def range_buckets(df: DataFrame, order_col: str, part_cols: Sequence[str] = (),
     v = F.col(order_col)
     if not part_cols:
         b = one_row(bounds).get("_bounds") or []
-        lit = F.array(*[F.lit(x) for x in b]) if b else F.array().cast(f"array<{df.schema[order_col].dataType.simpleString()}>")
-        return df.withColumn("_bucket", F.size(F.filter(lit, lambda x: x < v)))
+        return df.withColumn("_bucket", _below_list(b, v, df.schema[order_col].dataType.simpleString()))
+    step = math.isqrt(buckets) + 1
+    bounds = bounds.withColumn("_every", F.filter("_bounds", lambda _, i: i % step == step - 1))
     x = df.join(broadcast_if_small(bounds, BROADCAST_ROWS // buckets), part_cols, "left")
-    return x.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < v))).drop("_bounds")
+    return x.withColumn("_bucket", _below(F.col("_bounds"), F.col("_every"), v, step)).drop("_bounds", "_every")
 
 
 def _text_buckets(df: DataFrame, order_col: str, buckets: int) -> DataFrame:
@@ -92,8 +114,7 @@ def _text_buckets(df: DataFrame, order_col: str, buckets: int) -> DataFrame:
     drawn = df.select(v.alias("v")).where(v.isNotNull()).distinct().orderBy(F.xxhash64("v"), "v").limit(8 * buckets).collect()
     texts = sorted(r["v"] for r in drawn)
     bounds = [texts[len(texts) * i // buckets] for i in range(1, buckets)] if texts else []
-    lit = F.array(*[F.lit(x) for x in sorted(set(bounds))]) if bounds else F.array().cast("array<string>")
-    return df.withColumn("_bucket", F.when(v.isNull(), F.lit(0)).otherwise(F.size(F.filter(lit, lambda x: x < v))))
+    return df.withColumn("_bucket", F.when(v.isNull(), F.lit(0)).otherwise(_below_list(sorted(set(bounds)), v, "string")))
 
 
 def prefix_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str],
@@ -150,8 +171,8 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Co
 
 
 # ---------------------------------------------------------------------------
-# Value-frequency tables: one shuffle serves modes, exact medians/quantiles,
-# value counts and distinct samples of many columns at once.
+# Value-frequency tables: one shuffle serves modes, value counts and distinct
+# samples of many columns at once.
 # ---------------------------------------------------------------------------
 def unpivot(df: DataFrame, cols: Sequence[str], value_type: str = "string",
             extra: Sequence[str] = ()) -> DataFrame:
@@ -194,64 +215,76 @@ def to_one_row(long: DataFrame, cols: Sequence[str], value: str, key: str = "col
     return long.agg(*[F.max(F.when(F.col(key) == F.lit(c), F.col(value))).alias(c) for c in cols])
 
 
-def ranked_values(freq: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(column, value, n, lo, hi): each distinct numeric value covers the 0-based
-    ranks lo..hi of its column's sorted non-null values."""
-    x = prefix_sums(freq, ["value"], ["n"], ["column"], buckets)
-    return x.select("column", "value", "n", (F.col("cum_n") - F.col("n")).alias("lo"),
-                    (F.col("cum_n") - 1).alias("hi"))
-
-
-def exact_quantiles(freq: DataFrame, probs: Sequence[float], buckets: int = DEFAULT_BUCKETS,
-                    midpoint: bool = False, accuracy: int = 10000) -> DataFrame:
-    """(column, p, q): exact quantiles of numeric value-frequency tables.
-
-    Default: linear interpolation between the ranks around (n−1)·p (NumPy's
-    default).  ``midpoint=True`` with p = 0.5 gives (a + b) / 2 of the two middle
-    values (the reference's median).
-
-    Only the value ranges that hold a wanted rank are ranked: one aggregation gives
-    each column's total and range bounds, per-bucket totals give the offsets
-    (columns × buckets rows, broadcast), and the window runs inside the few target
-    buckets — not over all distinct values.
+# ---------------------------------------------------------------------------
+# Quantiles by bracketing: rows are counted where they are, only counts move.
+# ---------------------------------------------------------------------------
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], midpoint: bool = False,
+              accuracy: int = 10_000, listed: int = LISTED, ranges: int = RANGES) -> dict[str, dict[float, float | None]]:
+    """Exact quantiles of numeric columns: {column: {p: value}}, null for a column without values.
+
+    Linear interpolation between the ranks around (n−1)·p (NumPy's default); ``midpoint=True`` with p = 0.5 gives
+    (a + b) / 2 of the two middle values (the reference's median). Nulls and NaN take no part.
+
+    A sketch of all columns (one row) brackets each wanted rank. Every further pass counts, for all brackets at once,
+    the values below, in and above each: a bracket of at most ``listed`` values by value, a larger one by ``ranges``
+    equal ranges, of which the one that holds the rank is the next bracket. Counts are exact, so a bracket that the
+    sketch put wrong is only found later. What is shuffled and collected are counts, bounded by columns · probs ·
+    max(``listed``, ``ranges``) whatever the table's size; no row moves. A value that fills a third of the table is one count.
     """
-    _check_buckets(buckets)
-    probs = [float(p) for p in probs]
-    aggs = [F.sum("n").alias("total")]
-    if buckets > 1:
-        aggs.append(F.percentile_approx("value", [i / buckets for i in range(1, buckets)], accuracy).alias("_bounds"))
-    meta = freq.groupBy("column").agg(*aggs)
-    if buckets == 1:
-        meta = meta.withColumn("_bounds", F.array().cast("array<double>"))
-    # one row per column: bounded by the number of columns
-    x = freq.join(F.broadcast(meta.select("column", "_bounds")), "column")
-    v = F.col("value")
-    x = x.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < v))).drop("_bounds")
-    bt = x.groupBy("column", "_bucket").agg(F.sum("n").alias("_bn"))
-    before = Window.partitionBy("column").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
-    pos = (F.col("total") - 1) * F.col("p")
-    want = meta.select("column", "total", F.explode(F.array(*[F.lit(p) for p in probs])).alias("p")).select(
-        "column", "p", F.floor(pos).cast("long").alias("r_lo"),
-        F.least(F.ceil(pos).cast("long"), F.col("total") - 1).alias("r_hi"), (pos - F.floor(pos)).alias("frac"))
-    ranks = want.select("column", F.explode(F.array("r_lo", "r_hi")).alias("_r"))
-    target = (ranks.join(bt, "column")
-              .where(F.col("_r").between(F.col("_off"), F.col("_off") + F.col("_bn") - 1))
-              .select("column", "_bucket", "_off").distinct())
-    # rank inside the target buckets only; both small tables are broadcast
-    sub = x.join(F.broadcast(target), ["column", "_bucket"])
-    within = (Window.partitionBy("column", "_bucket").orderBy("value")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cum = F.col("_off") + F.sum("n").over(within)
-    r = sub.select(F.col("column").alias("_c"), "value", (cum - F.col("n")).alias("lo"), (cum - 1).alias("hi"))
-    in_lo = F.col("r_lo").between(F.col("lo"), F.col("hi"))
-    in_hi = F.col("r_hi").between(F.col("lo"), F.col("hi"))
-    hit = r.join(F.broadcast(want), (F.col("_c") == F.col("column")) & (in_lo | in_hi))
-    both = hit.groupBy("column", "p").agg(
-        F.max(F.when(in_lo, F.col("value"))).alias("v_lo"), F.max(F.when(in_hi, F.col("value"))).alias("v_hi"),
-        F.first("frac").alias("frac"))
-    if midpoint:
-        q = (F.col("v_lo") + F.col("v_hi")) / F.lit(2.0)
-    else:
-        q = F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))
-    return both.select("column", "p", q.alias("q"))
+    cols, probs = list(cols), [float(p) for p in probs]
+    number = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    value = {c: F.when(~F.isnan(number[c]), number[c]) for c in cols}
+    near = 2.0 / accuracy
+    grid = [x for p in probs for x in (max(0.0, p - near), min(1.0, p + near))]
+    row = df.agg(*[x for i, c in enumerate(cols) for x in (
+        F.count(value[c]).alias(f"n{i}"), F.percentile_approx(value[c], grid, accuracy).alias(f"b{i}"))]).first()
+    found: dict[tuple[str, int], float] = {}
+    open_: list[tuple[str, float, float, int, list[int]]] = []   # column, least and greatest value, rows expected, ranks
+    ranks_of = {}
+    for i, c in enumerate(cols):
+        n = row[f"n{i}"]
+        for k, p in enumerate(probs):
+            if n:
+                pos = (n - 1) * p
+                lo, hi = math.floor(pos), min(math.ceil(pos), n - 1)
+                ranks_of[c, p] = (lo, hi, pos - lo)
+                open_.append((c, row[f"b{i}"][2 * k], row[f"b{i}"][2 * k + 1], math.ceil(2 * near * n) + 1, sorted({lo, hi})))
+    while open_:
+        items = [F.struct(F.lit(t).alias("t"), *_bracketed(value[c], lo, hi, rows <= listed, ranges), value[c].alias("v"))
+                 for t, (c, lo, hi, rows, _) in enumerate(open_)]
+        counts = (df.select(F.explode(F.array(*items)).alias("_i")).where("_i.v IS NOT NULL")
+                  .groupBy("_i.t", "_i.range", "_i.one").agg(F.count(F.lit(1)).alias("n"), F.min("_i.v").alias("lo"), F.max("_i.v").alias("hi")))
+        groups: dict[int, list] = {}
+        for r in counts.collect():
+            groups.setdefault(r["t"], []).append(r)
+        later = []
+        for t, (c, _, _, _, ranks) in enumerate(open_):
+            before = 0
+            for r in sorted(groups[t], key=lambda r: r["lo"]):
+                mine = [k for k in ranks if before <= k < before + r["n"]]
+                if mine and r["lo"] == r["hi"]:
+                    found.update({(c, k): r["lo"] for k in mine})
+                elif mine:
+                    later.append((c, r["lo"], r["hi"], r["n"], mine))
+                before += r["n"]
+        open_ = later
+    out: dict[str, dict[float, float | None]] = {c: dict.fromkeys(probs) for c in cols}
+    for (c, p), (lo, hi, frac) in ranks_of.items():
+        a, b = found[c, lo], found[c, hi]
+        out[c][p] = a if a == b else (a + b) / 2.0 if midpoint else a + frac * (b - a)
+    return out
+
+
+def _bracketed(v: Column, lo: float, hi: float, by_value: bool, ranges: int) -> tuple[Column, Column]:
+    """(range, one): 0 below the bracket, ``ranges`` + 1 above it, in it 1 with the value itself where values are
+    listed, else the value's range; both ends of a bracket lie in different ranges, so every pass narrows it."""
+    low, high = max(lo, -sys.float_info.max), min(hi, sys.float_info.max)
+    width = high / 2 - low / 2
+    inside = F.lit(1)
+    by_value = by_value or not width > 0
+    if not by_value:
+        part = (F.least(F.greatest(v, F.lit(low)), F.lit(high)) / 2 - F.lit(low / 2)) / F.lit(width)
+        inside = F.least(F.floor(part * ranges).cast("int"), F.lit(ranges - 1)) + 1
+    which = F.when(v < F.lit(lo), 0).when(v > F.lit(hi), ranges + 1).otherwise(inside)
+    one = F.when(v.between(F.lit(lo), F.lit(hi)), v) if by_value else F.lit(None).cast("double")
+    return which.alias("range"), one.alias("one")

@@ -440,10 +440,11 @@ def q_logistic(spark, d):
 
 @query("decision_tree")
 def q_decision_tree(spark, d):
-    from riskline.operators.models import fit_decision_tree
-    x = _labelled(spark, d)
-    m = fit_decision_tree(x, "label")
-    return m.transform(x).select("Loan_ID", E.label_yn(F.col("prediction").cast("int")).alias("DT_Predicted"))
+    """T6 fitted on every labelled application, applied to the same rows."""
+    from riskline.operators.tree import fit_tree
+    from riskline.schema import FEATURES
+    f = features(spark, d).where(F.col("Loan_Status_encoded").isNotNull())
+    return f.select("Loan_ID", E.label_yn(fit_tree(f, "Loan_Status_encoded", FEATURES).prediction()).alias("DT_Predicted"))
 
 
 @query("random_forest")

@@ -18,6 +18,83 @@ def test_stratified_split_exact_counts(spark):
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_stratified_split_equals_plain_ranking(spark):
+    """Whatever is listed: the test rows of a class are its smallest (hash, key); null labels and keys have their place."""
+    df = spark.range(3000).select(F.when(F.col("id") % 41 != 0, F.concat(F.lit("k"), "id")).alias("k"),
+                                  F.when(F.col("id") % 7 != 0, F.col("id") % 3).alias("y"), "id")
+    rows = df.withColumn("h", M.hash_rank("k", 5)).where("y IS NOT NULL").collect()
+    sizes = {c: sum(r["y"] == c for r in rows) for c in range(3)}
+    want = M._allocation(sizes, 0.3)
+    assert sum(want.values()) == int(np.ceil(0.3 * len(rows)))
+    test = {r["id"] for c in range(3) for r in sorted((r for r in rows if r["y"] == c and r["k"] is not None), key=lambda r: (r["h"], r["k"]))[:want[c]]}
+    for listed in (0, 3, 10_000):
+        got = M.stratified_split(df, "y", "k", 0.3, 5, listed=listed)
+        assert got.columns == ["k", "y", "id", "split"] and got.count() == len(rows)
+        assert {r["id"] for r in got.where("split = 'test'").collect()} == test
+    assert M.stratified_split(df.limit(0), "y", "k").count() == 0
+
+
+def test_stratified_split_keeps_repeated_keys_together(spark):
+    df = spark.range(400).select((F.col("id") % 10).alias("k"), F.lit(1).alias("y"))
+    got = M.stratified_split(df, "y", "k", 0.25, 1).groupBy("k").agg(F.count_distinct("split").alias("n"), F.min("split").alias("s")).collect()
+    assert all(r["n"] == 1 for r in got) and sum(r["s"] == "test" for r in got) == 3
+
+
+def _plain_tree(x, y, depth, min_split, left=0):
+    """The tree's rule by plain loops: (n, p) of a leaf, or (feature, cut, left, right)."""
+    def disorder(n, p):
+        return sum(-c * np.log2(c / n) for c in (p, n - p) if c > 0)
+    n, p = len(y), int(y.sum())
+    if left < depth and 0 < p < n and n >= min_split:
+        best = None
+        for f in range(x.shape[1]):
+            values = np.unique(x[:, f])
+            for v, w in zip(values, values[1:]):
+                m = x[:, f] <= v
+                score = (disorder(m.sum(), y[m].sum()) + disorder((~m).sum(), y[~m].sum()), f, v, w)
+                if best is None or score[0] < best[0] - 1e-9:
+                    best = score
+        if best:
+            _, f, v, w = best
+            m = x[:, f] <= v
+            return f, v + (w - v) / 2, _plain_tree(x[m], y[m], depth, min_split, left + 1), _plain_tree(x[~m], y[~m], depth, min_split, left + 1)
+    return n, p
+
+
+def test_tree_equals_plain(spark):
+    from riskline.operators.tree import fit_tree
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.normal(size=300).round(3), rng.integers(0, 4, 300), np.ones(300)]).astype(float)
+    y = ((x[:, 0] + x[:, 1] / 3 + rng.normal(size=300) / 2) > 0.5).astype(int)
+    df = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y)], "`a b` double, b double, c double, y int")
+    t = fit_tree(df, "y", ["a b", "b", "c"], 5, 8)
+
+    def shape(i):
+        if t.feature[i] < 0:
+            return t.rows[i], t.positives[i]
+        return t.feature[i], t.threshold[i], shape(t.left[i]), shape(t.left[i] + 1)
+    assert shape(0) == _plain_tree(x, y, 5, 8) and t.depth() == 5
+    leaves = {i: (n, p) for i, (f, n, p) in enumerate(zip(t.feature, t.rows, t.positives)) if f < 0}
+    got = df.groupBy(t.node().alias("i")).agg(F.count("*").alias("n"), F.sum("y").alias("p")).collect()
+    assert {r["i"]: (r["n"], r["p"]) for r in got} == leaves
+    share = df.groupBy(t.node().alias("i")).agg(F.avg(t.probability()).alias("s"), F.max(t.prediction()).alias("c")).collect()
+    assert all(np.isclose(r["s"], leaves[r["i"]][1] / leaves[r["i"]][0]) and r["c"] == (2 * leaves[r["i"]][1] > leaves[r["i"]][0]) for r in share)
+
+
+def test_tree_of_missing_values_and_single_class(spark):
+    import pytest
+    from riskline.operators.tree import fit_tree
+    rows = [(None if i % 4 == 0 else float("nan") if i % 4 == 1 else float(i % 4), int(i % 4 < 2), i) for i in range(40)]
+    df = spark.createDataFrame(rows, "x double, y int, id int")
+    t = fit_tree(df, "y", ["x"])
+    assert t.feature == [0, -1, -1] and t.threshold[0] == 3.0 and t.rows == [40, 20, 20]
+    assert df.where(t.prediction() != F.col("y")).count() == 0
+    assert fit_tree(df.where("y = 1"), "y", ["x"]).feature == [-1]
+    assert fit_tree(df.limit(7), "y", ["x"]).feature == [-1]  # fewer rows than a split needs
+    with pytest.raises(ValueError):
+        fit_tree(df.where("y > 1"), "y", ["x"])
+
+
 def test_random_split_is_key_based(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     a = M.random_split(df, "k").where("split = 'test'").count()

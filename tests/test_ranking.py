@@ -33,17 +33,42 @@ def test_row_index_independent_of_partitioning(spark):
     assert a == b
 
 
-@pytest.mark.parametrize("buckets", [1, 8, 64])
-def test_exact_quantiles_match_numpy(spark, buckets):
+@pytest.mark.parametrize("buckets", [2, 3, 10, 200])
+def test_range_buckets_count_the_bounds_below(spark, buckets):
+    df = spark.range(2000).select(F.when(F.col("id") % 50 != 7, F.col("id") * 37 % 1009).alias("v"), (F.col("id") % 2).alias("p"))
+    for x in (K.range_buckets(df, "v", [], buckets), K.range_buckets(df, "v", ["p"], buckets),
+              K.range_buckets(df.withColumn("v", F.format_string("%05d", "v")).withColumn("p", F.lit(0)), "v", [], buckets)):
+        per = x.where("v IS NOT NULL").groupBy("p", "_bucket").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("p", "_bucket").collect()
+        assert len({r["_bucket"] for r in per}) > buckets // 2 and all(0 <= r["_bucket"] < buckets for r in per)
+        assert all(a["hi"] < b["lo"] for a, b in zip(per, per[1:]) if a["p"] == b["p"])
+
+
+PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+
+
+@pytest.mark.parametrize("listed, ranges, accuracy", [(10_000, 1024, 10_000), (5, 4, 100), (1, 2, 10), (0, 1024, 10_000)])
+def test_quantiles_match_numpy(spark, listed, ranges, accuracy):
     rng = np.random.default_rng(3)
     x = np.round(rng.lognormal(8, 1, 1001), 2)
-    x[:100] = x[0]  # a hot value
-    df = spark.createDataFrame([(float(v),) for v in x], "x double")
-    freq = K.value_frequencies(df, ["x"], "double")
-    q = {r["p"]: r["q"] for r in K.exact_quantiles(freq, [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0], buckets=buckets).collect()}
-    assert len(q) == 7
-    for p, v in q.items():
-        assert abs(v - np.percentile(x, p * 100)) < 1e-9
+    x[:400] = x[0]  # a hot value
+    wide = np.where(rng.random(1001) < 0.5, 1e-300, 1e300) * rng.normal(size=1001)
+    df = spark.createDataFrame([(float(a), float(b), None) for a, b in zip(x, wide)], "x double, `a b` double, none double")
+    df = df.unionByName(spark.createDataFrame([(float("nan"), None, None)], df.schema))
+    got = K.quantiles(df, ["x", "a b", "none"], PROBS, accuracy=accuracy, listed=listed, ranges=ranges)
+    for p in PROBS:
+        assert np.isclose(got["x"][p], np.percentile(x, p * 100), rtol=1e-12)
+        assert np.isclose(got["a b"][p], np.percentile(wide, p * 100), rtol=1e-12)
+        assert got["none"][p] is None
+    assert K.quantiles(df, ["x"], [0.5], midpoint=True, accuracy=accuracy, listed=listed, ranges=ranges)["x"][0.5] == np.median(x)
+
+
+def test_quantiles_of_infinite_and_no_values(spark):
+    v = [-np.inf, -np.inf, 1.0, 2.0, 5.0, 7.0, np.inf]
+    df = spark.createDataFrame([(float(x),) for x in v], "x double")
+    for listed in (0, 10_000):
+        got = K.quantiles(df, ["x"], [0.0, 0.5, 1.0], accuracy=10, listed=listed, ranges=4)["x"]
+        assert got == {0.0: -np.inf, 0.5: 2.0, 1.0: np.inf}
+    assert K.quantiles(df.limit(0), ["x"], [0.5])["x"] == {0.5: None}
 
 
 def test_top_k_per_group(spark):
