@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskline.functions.encode import normalize_binary
+from riskline.functions.encode import normalize_binary, strip
 from riskline.operators import ranking as K
 
 # Column names the reference looks for, in its order.
@@ -33,11 +33,6 @@ def _col(c):
 
 
 # --- J1 / J2 / J3 -------------------------------------------------------------
-def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys held by more than one row (a left join on them would multiply rows)."""
-    return df.groupBy(key).count().where(F.col("count") > 1)
-
-
 def align_by_key(truth: DataFrame, preds: DataFrame, key: str, pred_col: str,
                  prob_col: str | None = None, mode: str = "zero") -> DataFrame:
     """Every truth row with its model's prediction (normalised, missing → 0)
@@ -204,11 +199,6 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "probability",
     return origin.unionByName(pts)
 
 
-def class_count(df: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
-    """Distinct labels per group (ROC needs two)."""
-    return df.groupBy(*by).agg(F.count_distinct(_col(label)).alias("classes"))
-
-
 # --- A13 -------------------------------------------------------------------------
 def rmse(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """Root mean squared error per group."""
@@ -226,7 +216,7 @@ def detect_prediction_column(df: DataFrame, candidates: Sequence[str] = PREDICTI
             return c
     checks = []
     for c in df.columns:
-        s = F.upper(F.trim(F.col(f"`{c}`").cast("string")))
+        s = F.upper(strip(F.col(f"`{c}`").cast("string")))
         checks.append(F.struct(F.bool_and(F.when(s.isNotNull(), s.isin(*BOOLEAN_TOKENS))).alias("ok"),
                                F.count(s).alias("n")).alias(c))
     row = df.agg(*checks).first()

@@ -126,6 +126,9 @@ def prefix_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str
     from the row count unless given."""
     order_cols, sum_cols, part_cols = list(order_cols), list(sum_cols), list(part_cols)
     buckets = bucket_count(df) if buckets is None else buckets
+    if buckets == 1:
+        one = Window.partitionBy(*part_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({f"{prefix}{c}": F.sum(c).over(one) for c in sum_cols})
     x = range_buckets(df, order_cols[0], part_cols, buckets)
     totals = x.groupBy(*part_cols, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     before = Window.partitionBy(*part_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -232,8 +235,9 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], midpoi
     max(``listed``, ``ranges``) whatever the table's size; no row moves. A value that fills a third of the table is one count.
     """
     cols, probs = list(cols), [float(p) for p in probs]
-    number = {c: F.col(f"`{c}`").cast("double") for c in cols}
-    value = {c: F.when(~F.isnan(number[c]), number[c]) for c in cols}
+    # one expression a column, computed once a row: the columns may be parsed texts, and each is compared many times
+    df = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
+    value = {c: F.col(f"v{i}") for i, c in enumerate(cols)}
     near = 2.0 / accuracy
     grid = [x for p in probs for x in (max(0.0, p - near), min(1.0, p + near))]
     row = df.agg(*[x for i, c in enumerate(cols) for x in (

@@ -200,3 +200,33 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     """T18 over every application, with attributions, written once per session."""
     from riskline.operators.training import score
     return prepared(spark, d, "scored", lambda: score(applications(spark, d), trained(spark, d)))
+
+
+def numeric_v1(spark: SparkSession, d: str) -> DataFrame:
+    """The offline cleaning as numbers (I3): texts that are no number, and nulls, get the median that their column has
+    in the 'train' part of T2. Columns: key, split, the cleaned columns, the label as 0/1."""
+    from riskline.operators.impute import V1_COLUMNS, MedianFill, clean_v1
+    from riskline.operators.models import random_split
+    c = random_split(prepared(spark, d, "clean_v1", lambda: clean_v1(loans(spark, d))), "Loan_ID", 0.2, 42)
+    model = MedianFill(V1_COLUMNS).fit(c.where(F.col("split") == "train"))
+    return model.transform(c).select("Loan_ID", "split", *V1_COLUMNS, F.col("Loan_Status").try_cast("int").alias("label"))
+
+
+def baseline_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """The v1 pipeline from the applications to the predictions of its four models, written once per session."""
+    from riskline.operators.baseline import fit_baselines
+    from riskline.operators.impute import V1_COLUMNS
+    from riskline.operators.models import stratified_split
+
+    def build():
+        rows = numeric_v1(spark, d).drop("split").where(F.col("label").isNotNull())
+        x = prepared(spark, d, "v1-split", lambda: stratified_split(rows, "label", "Loan_ID", 0.2, 42))
+        return fit_baselines(x, "label", V1_COLUMNS, "Loan_ID").predict(spread(x, x)).drop(*V1_COLUMNS)
+    return prepared(spark, d, "baseline-predictions", build)
+
+
+def baseline_long(spark: SparkSession, d: str, binary: bool = True) -> DataFrame:
+    """(Loan_ID, label, model, prediction, probability) of the v1 pipeline; predictions as 0/1 or as written."""
+    from riskline.operators.baseline import predictions_long as long
+    x = long(baseline_predictions(spark, d), "Loan_ID", "label")
+    return x.withColumn("prediction", E.normalize_binary("prediction", "zero")) if binary else x

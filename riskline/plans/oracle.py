@@ -226,6 +226,17 @@ SELECT "Loan_ID", {_pass('"Gender"', V1['"Gender"'])} AS "Gender", {_pass('"Marr
   {_pass('"Loan_Status"', {"Y": 1, "N": 0})} AS "Loan_Status"
 FROM f""")
 
+_V1_NUM = ["Gender", "Married", "Dependents", "Education", "Self_Employed", "ApplicantIncome", "CoapplicantIncome", "LoanAmount",
+           "Loan_Amount_Term", "Credit_History", "Property_Area", "TotalIncome", "LoanAmount_log"]
+_V1_HASH = "('0x' || substring(md5(CAST(\"Loan_ID\" AS VARCHAR) || ':42'), 1, 13))::BIGINT"
+_V1_CELLS = ", ".join(num(f'"{c}"') + f' AS "{c}"' for c in _V1_NUM)
+_V1_MEDIANS = ", ".join(f'median("{c}") AS m{i}' for i, c in enumerate(_V1_NUM))
+_V1_FILLED = ", ".join(f'round(coalesce("{c}", m{i}, 0.0E0), 6) AS "{c}"' for i, c in enumerate(_V1_NUM))
+oracle("clean_fit_transform", f"""WITH cleaned AS ({ORACLE["clean_v1"]}),
+cells AS (SELECT "Loan_ID", CASE WHEN {_V1_HASH} < {int(0.2 * 16 ** 13)} THEN 'test' ELSE 'train' END AS split, {_V1_CELLS} FROM cleaned),
+med AS (SELECT {_V1_MEDIANS} FROM cells WHERE split = 'train')
+SELECT "Loan_ID", split, {_V1_FILLED} FROM cells, med""")
+
 _V2_OUT = ", ".join(f'round("{c}", 6) AS "{c}"' for c in FEATURE_COLS)
 oracle("clean_v2", WITH_V2 + f"""SELECT "Loan_ID", {_V2_OUT}, "Loan_Status_encoded", "Default",
   round("Interest_Rate", 6) AS "Interest_Rate" FROM v2""")
@@ -452,6 +463,26 @@ SELECT tn, fp, fn, tp, round(coalesce((tp + tn) / nullif(CAST(tp + tn + fp + fn
 
 
 
+def _detect_sql() -> str:
+    """The columns by their fixed names, and by all rows' values where names tell nothing (c0: key, c1: prediction, c2: score)."""
+    tokens = "('Y', 'N', 'YES', 'NO', 'TRUE', 'FALSE', '1', '0', '1.0', '0.0', 'T', 'F')"
+    tables = [("naive_bayes", "'Loan_Status_Predicted'", "NULL", "CASE WHEN good >= 0.6E0 THEN 'Y' ELSE 'N' END", None),
+              ("decision_tree", "'DT_Predicted'", "NULL", """CASE WHEN "Credit_History" = 1.0E0 THEN '1' ELSE '0' END""", None),
+              ("logistic", "'Logistic_Predicted'", "'Logistic_Prob'", "CASE WHEN lr_prob >= 0.5E0 THEN 'Y' ELSE 'N' END", "lr_prob"),
+              ("random_forest", "'RF_Predicted'", "'RF_Prob'", "CASE WHEN rf_prob >= 0.5E0 THEN 'Y' ELSE 'N' END",
+               """CASE WHEN "Loan_ID" % 97 <> 0 THEN rf_prob END""")]
+    parts = []
+    for m, pred, prob, c1, c2 in tables:
+        cells = [('"Loan_ID"', "c0"), (c1, "c1")] + ([(c2, "c2")] if c2 else [])
+        found = "CASE " + " ".join(f"WHEN count({c}) > 0 AND bool_and(upper(trim(CAST({c} AS VARCHAR))) IN {tokens}) THEN '{c}'" for _, c in cells) + " END"
+        score = "CASE WHEN bool_and(c2 BETWEEN 0 AND 1) THEN 'c2' END" if c2 else "NULL"
+        parts.append(f"SELECT '{m}' AS model, {pred} AS prediction_column, CAST({prob} AS VARCHAR) AS probability_column")
+        parts.append(f"""SELECT '{m}_unnamed', {found}, {score} FROM (SELECT {", ".join(f"{x} AS {c}" for x, c in cells)} FROM mp)""")
+    return WITH_EVAL + " UNION ALL ".join(parts)
+
+
+oracle("detect_columns", _detect_sql())
+
 # --- decision log and portfolio --------------------------------------------------------
 LOG_BLOCKS = """, inp AS (SELECT "Loan_ID" AS k, "ApplicantIncome" AS i_app, "CoapplicantIncome" AS i_coapp,
   "LoanAmount" AS i_amount, "Loan_Amount_Term" AS i_term, "Credit_History" AS i_credit, dep_text FROM v2fill),

@@ -86,6 +86,13 @@ def q_interest_label(spark, d):
                                             "Interest_Rate"))
 
 
+@query("clean_fit_transform")
+def q_clean_fit_transform(spark, d):
+    """Medians of the train part, applied to every row of the offline cleaning."""
+    from riskline.plans.base import numeric_v1
+    return finish(numeric_v1(spark, d).drop("label"))
+
+
 # --- decision rules -----------------------------------------------------------
 @query("fraud_rules")
 def q_fraud_rules(spark, d):
@@ -462,6 +469,42 @@ def q_random_forest(spark, d):
     return finish(p.select("Loan_ID", "split", "RF_Prob", E.label_yn(E.threshold("RF_Prob")).alias("RF_Predicted")))
 
 
+# the v1 pipeline: cleaning → I3 → T4–T7 → J3, A9–A12, A20 on what the fitted models predict
+@query("v1_predictions")
+def q_v1_predictions(spark, d):
+    from riskline.plans.base import baseline_predictions
+    return finish(baseline_predictions(spark, d))
+
+
+@query("v1_comparison")
+def q_v1_comparison(spark, d):
+    from riskline.operators.evaluate import compare_predictions
+    from riskline.plans.base import MODELS, baseline_long, baseline_predictions
+    labels = baseline_predictions(spark, d).select("Loan_ID", F.col("label").alias("Loan_Status"))
+    return compare_predictions(labels, baseline_long(spark, d, binary=False), "Loan_ID", "Loan_Status", MODELS)
+
+
+@query("v1_summary")
+def q_v1_summary(spark, d):
+    from riskline.operators.evaluate import metrics_summary
+    from riskline.plans.base import baseline_long
+    return finish(metrics_summary(baseline_long(spark, d)))
+
+
+@query("v1_report")
+def q_v1_report(spark, d):
+    from riskline.operators.evaluate import model_report
+    from riskline.plans.base import baseline_long, baseline_predictions
+    return finish(model_report(baseline_long(spark, d), expected_rows=baseline_predictions(spark, d).count()))
+
+
+@query("v1_roc")
+def q_v1_roc(spark, d):
+    from riskline.operators.evaluate import roc_curve
+    from riskline.plans.base import baseline_long
+    return finish(roc_curve(baseline_long(spark, d)))
+
+
 @query("approval")
 def q_approval(spark, d):
     from riskline.operators import training as T

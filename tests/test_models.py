@@ -282,3 +282,21 @@ def test_segments_are_k_means_and_the_silhouette_is_euclidean(spark):
     assert abs(S.silhouette(df, m, anchors=100) - exact) < 0.02
     one = S.fit_segments(df.limit(1), n_init=2)
     assert one.k == 3 and S.silhouette(df.limit(1), one) is None
+
+
+def test_baselines_fit_and_predict(spark):
+    """Four models fitted side by side; their long frame gives the same counts as plain ones."""
+    from riskline.operators import baseline as B
+    from riskline.operators.evaluate import metrics_summary
+    from riskline.functions.encode import normalize_binary
+    df = M.stratified_split(_toy(spark, 800).withColumn("y", F.col("y").cast("int")), "y", "id").cache()
+    got = B.fit_baselines(df, "y", ["a", "b", "c"], "id", trees=10).predict(df)
+    assert got.columns[:len(df.columns)] == df.columns and got.count() == 800
+    rows = got.collect()
+    assert all((r["Logistic_Prob"] >= 0.5) == (r["Logistic_Predicted"] == "Y") and (r["RF_Prob"] >= 0.5) == (r["RF_Predicted"] == "Y") for r in rows)
+    long = B.predictions_long(got, "id", "y").withColumn("prediction", normalize_binary("prediction", "zero"))
+    accuracy = {r["model"]: r["accuracy"] for r in metrics_summary(long, "y").collect()}
+    assert set(accuracy) == set(B.OUTPUTS)
+    for m, (p, _) in B.OUTPUTS.items():
+        plain = np.mean([(r[p] == "Y") == bool(r["y"]) for r in rows])
+        assert np.isclose(accuracy[m], plain) and plain > 0.75
