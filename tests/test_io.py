@@ -94,3 +94,24 @@ def test_decision_log_append_and_prune(spark, tmp_path):
     back = IO.read_log(spark, str(tmp_path / "log"))
     assert back.count() == 8  # the row without a user is not logged
     assert back.where(F.col("month") == F.lit("2024-02-01").cast("date")).count() == 3
+
+
+def test_log_files_hold_a_bloom_filter_of_the_users(spark, tmp_path):
+    from riskline.schema import INPUT_COLUMNS
+    # more users than a dictionary page holds: the file cannot answer by its dictionary
+    d = spark.range(120_000, numPartitions=1).select(
+        F.col("id").cast("string").alias("Loan_ID"), F.md5(F.col("id").cast("string")).alias("user_id"),
+        F.lit("2024-01-15 10:00:00").alias("ts"), F.lit(0.5).alias("risk_score"),
+        F.struct(*[F.lit(None).cast("string").alias(c) for c in INPUT_COLUMNS]).alias("inputs"))
+    path = tmp_path / "log"
+    IO.append_decisions(IO.decision_log(d).coalesce(1), str(path))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for f in path.rglob("*.parquet"):
+        file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(str(f)), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
+        columns = list(reader.getFooter().getBlocks().get(0).getColumns())
+        offsets = {c.getPath().toDotString(): c.getBloomFilterOffset() for c in columns}
+        reader.close()
+        assert offsets["user_id"] > 0 and offsets["id"] <= 0
+    one = IO.read_log(spark, str(path)).where(F.col("user_id") == "cfcd208495d565ef66e7dff9f98764da")
+    assert [r["id"] for r in one.select("id").collect()] == ["0"]
