@@ -16,7 +16,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 SKIP = {"tree_attributions", "logistic", "decision_tree", "random_forest", "approval", "default_pd", "interest_rf",
         "segments", "isolation_forest", "score", "runs_view", "feature_importance", "detect_columns",
-        "score_stream", "kpi_stream", "kpi_stream_windowed"}
+        "score_stream", "kpi_stream", "kpi_stream_windowed", "score_requests", "score_stream_models",
+        "v1_predictions", "v1_comparison", "v1_summary", "v1_report", "v1_roc"}
 
 
 def main() -> None:
