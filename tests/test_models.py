@@ -255,6 +255,57 @@ def test_tree_shap_equals_its_definition_and_adds_up(spark):
     assert ranked[-1] == "b"  # b carries no signal
 
 
+def test_tree_shap_looks_rows_up_by_subtree(spark, monkeypatch):
+    """However the trees are cut, the values are those of the leaves; many rows cost far fewer lookups than rows times leaves."""
+    from riskline.operators import treeshap as S
+    _, forest = _forest(spark, trees=3, rows_per_tree=400)
+    x = np.random.default_rng(5).random((4000, 3)) * [10, 5, 1]
+    x[7] = forest.threshold[forest.feature == 0][0]
+    plain = np.zeros((len(x), 3))
+    for t in range(3):
+        paths = S._Paths(forest, t)
+        S._add_leaves(plain, paths, np.flatnonzero(paths.feature < 0), paths.places(x)[0])
+    looked, gather = [], S._gather
+    monkeypatch.setattr(S, "_gather", lambda phi, table, place: (looked.append(place.size), gather(phi, table, place)))
+    assert np.abs(S.shap_matrix(forest, x) - plain / 3).max() < 1e-12
+    assert sum(looked) < len(x) * forest.leaves() / 4
+    for cells, few in (((64,), 1), ((1 << 12, 1 << 6, 4), 10), ((1,), 1)):
+        monkeypatch.setattr(S, "CELLS", cells)
+        monkeypatch.setattr(S, "FEW", few)
+        assert np.abs(S.shap_matrix(forest, x) - plain / 3).max() < 1e-12
+
+
+def test_tree_shap_column_keeps_rows_over_several_held_lots(spark, monkeypatch):
+    from riskline.operators import treeshap as S
+    df, forest = _forest(spark, trees=2, rows_per_tree=200)
+    x = df.toPandas().set_index("id")
+    want = dict(zip(x.index, S.shap_matrix(forest, x[["a", "b", "c"]].to_numpy())))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = df.select("id", S.shap_values(spark, forest).alias("v")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and all(np.allclose(r["v"], want[r["id"]], atol=1e-12) for r in got)
+    x = x[["a", "b", "c"]].to_numpy()
+    lots = list(S._in_batches(forest, [x[:10], x[10:11], x[11:50]]))
+    assert [len(p) for p in lots] == [10, 1, 39] and not list(S._in_batches(forest, []))
+
+
+def test_forest_walk_equals_plain_walk(spark):
+    from riskline.operators import forest as G
+    _, forest = _forest(spark, trees=3, rows_per_tree=300)
+    x = np.random.default_rng(6).random((9001, 3)) * [10, 5, 1]
+
+    def walk(t, row):
+        s, n = forest.tree(t), 0
+        while forest.feature[s][n] >= 0:
+            n = forest.child[s][n] + (row[forest.feature[s][n]] > forest.threshold[s][n])
+        return forest.value[s][n]
+    rows = [0, 3999, 4000, 9000]
+    assert np.allclose(forest.predict(x)[rows], [np.mean([walk(t, x[i]) for t in range(3)]) for i in rows], atol=1e-12)
+    assert forest.predict(x[:0]).shape == (0,) and G.ROWS == 4_000
+
+
 def _blobs(spark, n=900):
     rng = np.random.default_rng(2)
     centers = np.array([[0, 0, 0], [8, 1, 0], [0, 9, 2.0]])
