@@ -161,3 +161,33 @@ def test_strip_takes_all_white_space(spark):
     assert [r.y for r in df.select(E.normalize_binary("x").alias("y")).collect()] == [1, 1, 1, 0]
     df = spark.createDataFrame([("\t2 ",), ("3+",)], "x string")
     assert [r.y for r in df.select(E.dependents_to_int("x").alias("y")).collect()] == [2, 3]
+
+
+def test_plain_texts_are_parsed_without_patterns(spark):
+    """Digits and points, and tokens as written, take the short way; it gives what the patterns give."""
+    import math
+    from riskline.functions import encode as E
+    from riskline.operators.impute import MedianFill
+
+    def python(t):
+        try:
+            return float(t)
+        except (TypeError, ValueError):
+            return None
+    texts = ["12", "0.5", ".5", "5.", ".", "", "1.2.3", "0007", " 12 ", "1_0", "1d", "1e3", "-3", "+4", "nan", "inf", "9" * 40, "3+", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", E.to_numeric("t").alias("v")).collect()
+    for r in got:
+        want = python(texts[r["i"]])
+        assert r["v"] == want or (want is not None and math.isnan(want) and math.isnan(r["v"]))
+    tokens = ["Y", "y", " yes ", "1", "0", "N", "no", "TRUE", "F", "0.7", "0.2", "odd", "nan", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t string")
+    rows = df.select("i", E.normalize_binary("t", "null").alias("n"), E.normalize_binary("t").alias("z"), E.normalize_binary("t", "truth").alias("y")).orderBy("i").collect()
+    assert [r["n"] for r in rows] == [1, 1, 1, 1, 0, 0, 0, 1, 0, 1, 0, None, 0, None, None]
+    assert [r["z"] for r in rows] == [1, 1, 1, 1, 0, 0, 0, 1, 0, 1, 0, 0, 0, 0, 0]
+    assert [r["y"] for r in rows] == [1, 1, 1, 1, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0]
+    num = spark.createDataFrame([(1.5, 3, "7"), (float("nan"), None, "x"), (1e300, 5, None)], "a double, b long, c string")
+    m = MedianFill(["a", "b", "c"]).fit(num)
+    assert m.medians == {"a": (1.5 + 1e300) / 2, "b": 4.0, "c": 7.0}
+    plan = m.transform(num)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") + plan.count("rlike") <= 1   # doubles and whole numbers are not read as texts
+    assert "translate" in plan.lower()
