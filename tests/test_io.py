@@ -115,3 +115,21 @@ def test_log_files_hold_a_bloom_filter_of_the_users(spark, tmp_path):
         assert offsets["user_id"] > 0 and offsets["id"] <= 0
     one = IO.read_log(spark, str(path)).where(F.col("user_id") == "cfcd208495d565ef66e7dff9f98764da")
     assert [r["id"] for r in one.select("id").collect()] == ["0"]
+
+
+def test_appending_computes_the_decisions_once(spark, tmp_path):
+    """The log's partitioning takes no sample, for which every decision would be computed again."""
+    from riskline.sources import io as IO
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+    once = F.udf(count, "double").asNondeterministic()
+    log = spark.range(400, numPartitions=4).select(
+        F.col("id").cast("string").alias("id"), (F.col("id") % 7).cast("string").alias("user_id"),
+        F.timestamp_seconds(F.col("id") * 86400).alias("timestamp"), once(F.col("id").cast("double")).alias("v"))
+    IO.append_decisions(log, str(tmp_path / "log"))
+    assert seen.value == 400
+    back = spark.read.parquet(str(tmp_path / "log"))
+    assert back.count() == 400 and back.select("month").distinct().count() == 14
