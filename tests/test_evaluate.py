@@ -158,3 +158,20 @@ def test_detect_columns_query_reads_values(spark):
         at = df.columns.index
         assert got[m] == (pred, prob)
         assert got[f"{m}_unnamed"] == (f"c{at(pred)}", f"c{at(prob)}" if prob else None)
+
+
+def test_answers_carry_only_the_fields_they_use(spark, tmp_path):
+    """Attributions and other inputs of the log take no part; a decision without outputs is answered as before."""
+    from riskline.operators.portfolio import answer_messages
+    from riskline.schema import LOG
+    from pyspark.sql import functions as F
+    empty = spark.createDataFrame([], LOG)
+    rows = spark.range(3).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("u"), "id").alias("user_id"),
+                                 F.timestamp_seconds("id").alias("timestamp"))
+    log = empty.unionByName(rows, allowMissingColumns=True)
+    path = str(tmp_path / "log")
+    log.write.parquet(path)
+    got = answer_messages(spark.createDataFrame([("u1", "how to improve"), ("zz", "how to improve")], "user_id string, text string"), spark.read.schema(LOG).parquet(path))
+    assert len({r["answer"] for r in got.collect()}) == 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "shap_values" not in plan and "recommendations" in plan
