@@ -351,3 +351,16 @@ def test_baselines_fit_and_predict(spark):
     for m, (p, _) in B.OUTPUTS.items():
         plain = np.mean([(r[p] == "Y") == bool(r["y"]) for r in rows])
         assert np.isclose(accuracy[m], plain) and plain > 0.75
+
+
+def test_distances_hold_no_array_of_rows_centres_and_columns():
+    import tracemalloc
+    from riskline.operators.segments import _distances
+    rng = np.random.default_rng(3)
+    x, c = rng.normal(size=(2000, 3)), rng.normal(size=(500, 3))
+    assert np.abs(_distances(x[:50], c) - ((x[:50, None] - c[None]) ** 2).sum(axis=2)).max() < 1e-12
+    tracemalloc.start()
+    _distances(x, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * 8 * 2000 * 500   # 2 arrays of rows and centres beside the result
