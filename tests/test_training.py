@@ -73,3 +73,27 @@ def test_attributions_are_those_of_the_forest_that_decides(spark):
     assert "metrics" not in vars(m) and max(m.approval.depths()) > 8
     rules = score(feats.limit(40), m, explain="rules")
     assert "shap_values_expected" not in rules.columns and rules.where("shap_values['Credit_History'] IN (0.45, -0.55)").count() == 40
+
+
+def test_spread_deals_rows_not_parts(spark, tmp_path):
+    """A file of one row group is scanned in several parts of which one holds every row."""
+    from riskline.plans import base
+
+    path = str(tmp_path / "one")
+    spark.range(40_000).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("a"),
+                               F.xxhash64("id").alias("b")).coalesce(1).write.parquet(path)
+    with_parts = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "0"}
+    before = {c: spark.conf.get(c) for c in with_parts}
+    try:
+        for c, v in with_parts.items():
+            spark.conf.set(c, v)
+        x = spark.read.parquet(path)
+        assert x.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+        for near in ((), ("a", "k")):
+            dealt = base.spread(x, x, near)
+            held = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+            assert len(held) == spark.sparkContext.defaultParallelism and max(held) < 13_000 and sum(held) == 40_000
+        assert base.spread(x, x, ("a", "k")).groupBy(F.spark_partition_id()).agg(F.max("a") - F.min("a")).agg(F.max(F.col("(max(a) - min(a))"))).first()[0] < 4
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
