@@ -81,6 +81,38 @@ def test_tree_equals_plain(spark):
     assert all(np.isclose(r["s"], leaves[r["i"]][1] / leaves[r["i"]][0]) and r["c"] == (2 * leaves[r["i"]][1] > leaves[r["i"]][0]) for r in share)
 
 
+def test_tree_counts_by_value_only_where_a_range_may_hold_the_best_boundary(spark, monkeypatch):
+    """However coarse the ranges, the tree is the plain one; and where the label follows a feature, few ranges are opened."""
+    from riskline.operators import tree as TR
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=900).round(3), rng.integers(0, 400, 900) * (rng.random(900) < 0.5), rng.choice([-0.0, 0.0, 1.5], 900)])
+    x[:9, 0] = [np.inf, -np.inf, np.inf, 7, 7, 7, -np.inf, 8, 9]
+    y = ((np.clip(x[:, 0], -3, 3) + x[:, 1] / 300 + rng.normal(size=900) / 2) > 0.5).astype(int)
+    df = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y)], "`a b` double, b double, c double, y int")
+    written, opened = TR._staged, []
+
+    def staged(table, name):
+        out = written(table, name)
+        if name == "tree-inside":
+            opened.append(out.count())
+        return out
+    monkeypatch.setattr(TR, "_staged", staged)
+    for bins in (2, 16):
+        monkeypatch.setattr(TR, "BINS", bins)
+        t = TR.fit_tree(df, "y", ["a b", "b", "c"], 3, 8)
+
+        def shape(i):
+            if t.feature[i] < 0:
+                return t.rows[i], t.positives[i]
+            return t.feature[i], t.threshold[i], shape(t.left[i]), shape(t.left[i] + 1)
+        assert shape(0) == _plain_tree(x, y, 3, 8)
+    sharp = spark.range(20_000).select((F.col("id") * 1.0).alias("a"), F.xxhash64("id").cast("double").alias("b"), (F.col("id") > 12_345).cast("int").alias("y"))
+    opened.clear()
+    monkeypatch.setattr(TR, "BINS", 64)
+    t = TR.fit_tree(sharp, "y", ["a", "b"], 1)
+    assert t.threshold[0] == 12_345.5 and t.feature[0] == 0 and opened[0] <= 3  # the one that holds it and those at the best edge
+
+
 def test_tree_of_missing_values_and_single_class(spark):
     import pytest
     from riskline.operators.tree import fit_tree
