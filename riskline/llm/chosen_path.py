@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskline.llm.common import BitTable, having, prepare, slices, staged, text_buffer
+from riskline.llm.common import BitTable, discard, having, prepare, slices, staged, text_buffer
 from riskline.llm.components import components
 from riskline.llm.words import NONSPACE, gram_hashes, mix, word_hashes
 
@@ -224,10 +224,12 @@ class _Join:
 
     def open_nodes(self, nodes: DataFrame) -> DataFrame:
         """(node, v, root, size) of the nodes that hold more than one component."""
-        placed = self.rooted(nodes)
+        placed = staged(self.rooted(nodes), "placed")  # read twice: a node's children are made once
         open_ = placed.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(
             "lo <> hi").select("node", "size")
-        return staged(placed.join(open_, "node"), "nodes")
+        out = staged(placed.join(open_, "node"), "nodes")
+        discard(placed)
+        return out
 
     def with_centres(self, nodes: DataFrame) -> DataFrame:
         """Pairs of every class with its node's centre, across components."""

@@ -11,6 +11,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from riskline.llm import chosen_path, components, importance, line_dedup, va_file, winnow
+from riskline.llm.common import staged
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -182,6 +183,22 @@ def test_near_duplicates_equal_plain(spark, monkeypatch, leaf, depth):
     assert all(got[i].n_shingles == len(s) and got[i].kept == (want[i] == i) for i, s in enumerate(sets))
 
 
+def test_nodes_are_branched_once(spark, monkeypatch):
+    """What makes several rows of a class runs once for each level, not once for each reader."""
+    monkeypatch.setattr(chosen_path, "LEAF", 6)
+    monkeypatch.setattr(chosen_path, "DEPTH", 4)
+    made = []
+
+    def watched(df, name):
+        made.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("Generate ")))
+        return staged(df, name)
+
+    monkeypatch.setattr(chosen_path, "staged", watched)
+    docs = spark.createDataFrame(list(enumerate(near_texts(6))), "doc_id long, text string")
+    chosen_path.near_duplicates(docs).count()
+    assert sum(n for _, n in made) >= 3 and max(n for _, n in made) == 1
+
+
 def test_near_duplicates_at_half(spark):
     assert chosen_path.trees(75) == 10 and chosen_path.agreeing(75) == 74
     words = [[f"w{i}x{k}" for k in range(100)] for i in range(30)]
