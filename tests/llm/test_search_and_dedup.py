@@ -330,6 +330,55 @@ def test_short_lines_that_repeat_go(spark):
     assert got == {1: "Share\n\nok\r\n\r\nRead more", 2: "\r\n\nno", 3: "日本\n日本語", 4: "本日\nx"}
 
 
+def test_sketches_refuse_long_unlike_lines(spark):
+    """The union of two unlike lines of 600 units fills a sketch, which tells that they are unlike; similar ones pass."""
+    rng = random.Random(13)
+    lines, near = [], []
+    for n in (120, 600, 690, 1500, 2600, 2900):
+        line = "".join(rng.choices("abcdefghijklmnop", k=n))
+        lines += [line, line[:n // 12] + "7" * (n // 12) + line[n // 6:]]
+        near.append((len(lines) - 2, len(lines) - 1))
+    for n, longer in ((690, 760), (2700, 2950)):  # the longer one is sketched by every 4th of its shingles only
+        line = "".join(rng.choices("abcdefghijklmnop", k=longer))
+        lines += [line[:n], line]
+        near.append((len(lines) - 2, len(lines) - 1))
+    rows = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in enumerate(lines)], "v long, b binary")
+    made = line_dedup._sketches(rows, 70)
+    pairs = made.alias("x").join(made.alias("y"), F.col("x.v") < F.col("y.v")).where(line_dedup._may_be_similar("x", "y", 70))
+    sets = plain_shingles(lines)
+    assert all(len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b]) for a, b in near)
+    assert sorted(tuple(r) for r in pairs.select("x.v", "y.v").collect()) == near
+
+
+def plain_shingles(lines, width=line_dedup.WIDTH):
+    return [{t[i:i + width] for i in range(len(t) - width + 1)} for t in lines]
+
+
+def test_prefixes_tell_small_hashes_apart(spark):
+    """Hashes of a signature are all near the least long."""
+    df = spark.range(5000).select((F.lit(-2**63) + F.col("id") * 2**30).alias("node"))
+    wanted = df.limit(20)
+    assert 20 <= line_dedup._may_hold(df, "node", wanted).count() < 400
+
+
+def test_staged_leaves_no_shuffle_files(spark, tmp_path):
+    import glob
+    import time
+
+    def shuffled():
+        local = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+        return {f for d in local for f in glob.glob(f"{d}/*/shuffle_*")}
+
+    before, key = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    out = staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "no-shuffle-files")
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 7 and spark.conf.get(key, None) == was
+
+
 # --- importance ---------------------------------------------------------------
 
 def plain_grams(text):
