@@ -350,6 +350,30 @@ def test_sketches_refuse_long_unlike_lines(spark):
     assert sorted(tuple(r) for r in pairs.select("x.v", "y.v").collect()) == near
 
 
+def test_bounds_of_the_sketches_drop_pairs_that_cannot_be_similar_and_no_others(spark):
+    """Pairs of similarity 0.45 to 0.95, long ones too: the bounds keep all from 0.7 on, and few far below it."""
+    rng = random.Random(5)
+    lines = []
+    for n in (40, 150, 400, 690, 1500, 6000):
+        for share in (3, 5, 8, 11, 14, 17, 20, 23, 26, 30):
+            line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+            cut = n * share // 100
+            lines += [line, "".join(rng.choices("0123456789", k=cut)) + line[cut:]]
+    rows = spark.createDataFrame([(i, bytearray(x.encode())) for i, x in enumerate(lines)], "v long, b binary")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, len(lines), 2)], "a long, b long")
+    sets = plain_shingles(lines)
+    alike = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(lines), 2)}
+    similar = {i for i, s in alike.items() if s >= 0.7}
+    search = line_dedup._Search(rows, rows, 70)
+    finer = {r.a for r in search.finer(pairs, rows).collect()}
+    assert similar <= finer and len(finer - similar) <= 6 and max(len(lines[i]) for i in set(alike) - finer) == 6000
+    made = line_dedup._sketches(rows, 70)
+    coarse = pairs.join(made.alias("x"), F.col("a") == F.col("x.v")).join(made.alias("y"), F.col("b") == F.col("y.v"))
+    coarse = {r.a for r in coarse.where(line_dedup._may_be_similar("x", "y", 70)).select("a").collect()}
+    short = {i for i in alike if len(lines[i]) <= 150}
+    assert similar <= coarse and all(alike[i] >= 0.62 for i in coarse & short)  # 0.5 by the estimate alone
+
+
 def plain_shingles(lines, width=line_dedup.WIDTH):
     return [{t[i:i + width] for i in range(len(t) - width + 1)} for t in lines]
 
