@@ -350,6 +350,23 @@ def test_sketches_refuse_long_unlike_lines(spark):
     assert sorted(tuple(r) for r in pairs.select("x.v", "y.v").collect()) == near
 
 
+def test_tasks_hold_few_bytes_of_long_texts_at_a_time(spark, tmp_path):
+    """Batches of texts end after some bytes, between the reader and the rows as well as on the way to Python."""
+    import pyarrow as pa
+
+    from riskline.llm import common
+    spark.range(0, 1000, 1, 1).select(F.repeat(F.col("id").cast("string"), 10000).alias("text")).write.parquet(str(tmp_path / "long"))
+    common.prepare(spark)
+    texts = spark.read.parquet(str(tmp_path / "long"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+    got = texts.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 1000 and max(r.size for r in got) <= 2 * common.SLICE_BYTES
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
+
+
 def test_bounds_of_the_sketches_drop_pairs_that_cannot_be_similar_and_no_others(spark):
     """Pairs of similarity 0.45 to 0.95, long ones too: the bounds keep all from 0.7 on, and few far below it."""
     rng = random.Random(5)
