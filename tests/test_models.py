@@ -367,6 +367,28 @@ def test_segments_are_k_means_and_the_silhouette_is_euclidean(spark):
     assert one.k == 3 and S.silhouette(df.limit(1), one) is None
 
 
+def test_the_silhouette_measures_all_pairs_of_large_clusters(spark):
+    from riskline.operators import segments as S
+    x, df = _blobs(spark, 4500)   # clusters of more rows than any sample of 1,000 held
+    m = S.Segments(["TotalIncome", "LoanAmount", "Credit_History"],
+                   {f"{s}_{c}": v for c in ("TotalIncome", "LoanAmount", "Credit_History") for s, v in (("m", 0.0), ("s", 1.0))},
+                   np.array([[0, 0, 0], [8, 1, 0], [0, 9, 2.0], [90.0, 90, 90]]))
+    own = ((x[:, None] - m.centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+    d = np.sqrt(sum((x[:, None, f] - x[None, :, f]) ** 2 for f in range(3)))
+    sums = np.stack([d[:, own == c].sum(axis=1) for c in range(3)], axis=1)
+    size, rows = np.bincount(own, minlength=3), np.arange(len(x))
+    a, means = sums[rows, own] / (size[own] - 1), sums / size
+    means[rows, own] = np.inf
+    b = means.min(axis=1)
+    exact = float(np.mean((b - a) / np.maximum(a, b)))
+    assert abs(S.silhouette(df, m) - exact) < 1e-12
+    # the order, the tiles and a repeated key change nothing; a row alone in its cluster counts 0
+    assert abs(S.silhouette(df.withColumn("Loan_ID", F.lit(1)).orderBy("LoanAmount"), m, anchors=37) - exact) < 1e-12
+    single = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0), (3, 90.0, 90.0, 90.0)], df.schema)
+    far = [(90 ** 2 * 3) ** 0.5, (90 ** 2 * 2 + 89 ** 2) ** 0.5]
+    assert abs(S.silhouette(single, m) - sum((f - 1) / f for f in far) / 3) < 1e-12
+
+
 def test_baselines_fit_and_predict(spark):
     """Four models fitted side by side; their long frame gives the same counts as plain ones."""
     from riskline.operators import baseline as B
