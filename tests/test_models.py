@@ -195,6 +195,52 @@ def test_forest_draws_depend_on_keys_only(spark):
     assert all(350 < a.cover[s] < 650 for s in a.start)
 
 
+def test_trees_draw_as_many_rows_as_there_are(spark):
+    from riskline.operators import forest as G
+    df = _toy(spark, 20_000)   # more than any cap of draws there was
+    forest = G.fit_forest(df, "y", ["a", "b", "c"], "id", trees=3)
+    assert all(19_400 < forest.cover[s] < 20_600 for s in forest.start)
+    # the draws are those of the hash, a row once with their number; rows that share a key keep their own numbers
+    two = df.where("id < 50").unionByName(df.where("id < 50").withColumn("a", F.col("a") + 1))
+    got = {(r["tree"], r["id"], r["a"]): r["_w"] for r in G.dealt(two, "id", 3, 1.0, 5).collect()}
+    want = {(r["tree"], r["id"], r["a"]): r["count"] for r in G.draws(two, "id", 3, 1.0, 5).groupBy("tree", "id", "a").count().collect()}
+    assert got == want
+    grown = G.fit_forest(two, "y", ["a", "b", "c"], "id", trees=3, seed=5)
+    assert grown.cover[grown.start].tolist() == [sum(w for (t, _, _), w in got.items() if t == tree) for tree in range(3)]
+
+
+def test_training_caps_no_bootstrap(spark):
+    from riskline.operators.training import train
+    from riskline.schema import FEATURES
+    rows = spark.range(20_000).withColumn("u", F.rand(3))
+    feats = rows.select(F.col("id").alias("Loan_ID"), *[F.round(F.rand(i) * 9, 2).alias(c) for i, c in enumerate(FEATURES)],
+                        (F.col("u") > 0.4).cast("int").alias("Loan_Status_encoded"), (F.col("u") > 0.8).cast("int").alias("Default"),
+                        F.lit(8.0).alias("Interest_Rate"))
+    m = train(spark, feats, trees=2)
+    for forest in (m.approval, m.default, m.interest):
+        assert all(15_500 < forest.cover[s] < 16_500 for s in forest.start)
+
+
+def test_a_forest_in_files_and_parts_is_the_same(spark, monkeypatch):
+    from riskline.operators import forest as G
+    from riskline.operators import treeshap as S
+    df, whole = _forest(spark, trees=5, rows_per_tree=400)
+    x = df.toPandas().sort_values("id")[["a", "b", "c"]].to_numpy()
+    want, phi = whole.predict(x), S.shap_matrix(whole, x[:300])
+    monkeypatch.setattr(G, "PART", 2 * len(whole.feature) // 5)
+    monkeypatch.setattr(S, "AT_ONCE", 7)
+    cut = G.forest_of(G.forest_rows(spark, whole), whole.names)
+    assert isinstance(cut.value, np.memmap) and len(cut.parts()) > 2
+    for k in ("start", *G._TYPES):
+        assert np.array_equal(getattr(cut, k), getattr(whole, k))
+    got = df.select("id", G.predicted(spark, cut).alias("p"), S.shap_values(spark, cut).alias("v")).orderBy("id").collect()
+    assert [r["p"] for r in got] == want.tolist()
+    assert np.abs(np.array([r["v"] for r in got[:300]]) - phi).max() < 1e-12   # subtree by subtree
+    assert np.abs(S.shap_matrix(cut, x[:300]) - phi).max() < 1e-12
+    leaves = sum((p.feature < 0).sum() for t in range(5) for p in S._subtrees(cut, t))
+    assert leaves == whole.leaves()
+
+
 def test_every_split_of_a_grown_tree_is_a_best_one():
     from riskline.operators.forest import CRITERIA, grow
     rng = np.random.default_rng(4)
